@@ -12,7 +12,8 @@ COMMON_WORDS and one for the rest, so joining them is a broadcast of at most fiv
 
 Defined results: a null or empty text has no words and fails the base rules; a null or unknown lang is compared with the
 mean of all such documents by character class only; texts under `min_judged_words` words are never
-judged by distance; repeated rows are judged alike, one by one. The input's own columns are kept, and the results are put into one
+judged by distance; repeated rows are judged alike, one by one. Counts are made
+once and written to the shared folder, as the references and the verdicts both need them. The input's own columns are kept, and the results are put into one
 struct column, so no name can clash.
 """
 
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, SPACE, words
+from .common import NOT_SPACE, words, written
 
 #: Frequent function words of each language.
 COMMON_WORDS = {
@@ -71,7 +72,7 @@ def _references(df: DataFrame, min_words: int) -> DataFrame:
 
     Shares, not counts: a few very long documents then weigh no more than others."""
     widest = max(map(len, COMMON_WORDS.values())) + 1
-    df = df.where(F.col("_n") >= min_words).withColumn("_chars", F.length("_t"))
+    df = df.where(F.col("_n") >= min_words)
     sums = [F.sum(F.col("_classes")[i] / F.col("_chars")).alias(f"c{i}") for i in range(len(CLASSES) + 1)]
     sums += [F.sum(F.get(F.col("_common"), F.lit(i)) / F.col("_n")).alias(f"w{i}") for i in range(widest)]
     out = df.groupBy(F.col("_lang").alias("_ref_lang")).agg(*sums)
@@ -118,24 +119,28 @@ def _with_repeats(df: DataFrame) -> DataFrame:
 def quality_rules(
     docs: DataFrame,
     out: str = "quality",
+    keep: list[str] | None = None,
     min_words: int = 50,
     repeat_percent: int = 50,
     min_judged_words: int = 80,
     max_distance: float = 0.4,
 ) -> DataFrame:
-    """docs with one struct column `out`: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    """docs, or its columns `keep`, with one struct column `out`: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     class_distance, common_distance, kept. A text that passes the base rules is rejected if it has `min_judged_words` and
     its two distances (the first twice where there is no second) add up to more than max_distance."""
-    names = docs.columns
+    names = [c for c in (docs.columns if keep is None else keep) if c != out]
     known = F.when(docs["lang"].isin(list(COMMON_WORDS)), docs["lang"]).otherwise(F.lit(""))
     base = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"), docs["text"].alias("_text"), known.alias("_lang"))
-    full = _with_common(_with_counts(base))
-    references = _references(_with_common(_with_counts(docs.select(docs["text"].alias("_text"), known.alias("_lang")))), min_words)
-    full = _with_repeats(full)
+    full = _with_repeats(_with_common(_with_counts(base)))
     lines = F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(NOT_SPACE))
-    full = full.withColumn("_lines", lines).join(F.broadcast(references), F.col("_lang") == F.col("_ref_lang"), "left")
+    full = full.withColumn("_lines", lines).select(
+        "_row", "_lang", "_n", "_classes", "_common", "_repeat",
+        F.length("_t").cast("long").alias("_chars"),
+        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("_dup"),
+    )
+    full = written(full, "quality-counts")
+    full = full.join(F.broadcast(_references(full, min_words)), F.col("_lang") == F.col("_ref_lang"), "left")
     full = full.withColumns({
-        "_dup": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "_base": (F.col("_n") < min_words) | (100 * F.col("_repeat") > repeat_percent * F.col("_n")),
         "_dc": F.when(F.col("_n") >= min_words, _distance(F.col("_classes"), F.col("_ref_classes"))),
         "_dw": F.when(F.col("_n") >= min_words, _distance(F.col("_common"), F.col("_ref_common"))),
@@ -143,7 +148,7 @@ def quality_rules(
     far = (F.col("_n") >= min_judged_words) & (F.coalesce(F.col("_dc") + F.coalesce("_dw", "_dc"), F.lit(0.0)) > max_distance)
     verdict = F.struct(
         F.col("_n").alias("n_words"),
-        (F.length("_t") - F.col("_classes")[0]).cast("long").alias("word_chars"),
+        (F.col("_chars") - F.col("_classes")[0]).cast("long").alias("word_chars"),
         F.col("_classes")[3].cast("long").alias("n_symbols"),
         F.col("_dup").alias("n_dup_lines"),
         F.col("_repeat").alias("n_repeat_words"),

@@ -4,19 +4,43 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .line_dedup import dedup_lines
 from .quality_rules import quality_rules
+from .toxicity import ToxicityModel, learn_toxicity, score_toxicity
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "line_dedup.*")
+
+
+def held_out(doc_id: Column) -> Column:
+    """Rows whose labels are kept for evaluation."""
+    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> ToxicityModel:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return learn_toxicity(docs, labels.where(~held_out(F.col("doc_id"))))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, toxicity_model(spark, sf_dir))
+    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "toxicity.*")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return quality_rules(docs).select("doc_id", "quality.*")
+    return quality_rules(docs, keep=["doc_id"]).select("doc_id", "quality.*")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_dedup": op2_line_dedup,
+    "op5_toxicity": op5_toxicity,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {}
