@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 from .line_dedup import dedup_lines
 from .minhash import near_duplicates
+from .packing import pack
 from .quality_rules import quality_rules
 from .toxicity import ToxicityModel, learn_toxicity, score_toxicity
 
@@ -38,6 +40,10 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return quality_rules(docs, keep=["doc_id"]).select("doc_id", "quality.*")
@@ -47,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op5_toxicity": op5_toxicity,
     "op8_minhash": op8_minhash,
+    "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {}
