@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import round_trip_digests
 from .common import table
+from .fingerprint import fingerprints
 from .line_dedup import dedup_lines
 from .minhash import near_duplicates
 from .packing import pack
@@ -41,6 +42,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "toxicity.*")
 
 
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_line_dedup": op2_line_dedup,
     "op5_toxicity": op5_toxicity,
+    "op6_fingerprint": op6_fingerprint,
     "op8_minhash": op8_minhash,
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
