@@ -9,11 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import round_trip_digests
+from .chat_tools import REPLY_SCHEMA, calls_and_results, link_tool_calls
 from .common import table
 from .fingerprint import fingerprints
+from .id_codec import read_ids, write_ids
 from .line_dedup import dedup_lines
 from .minhash import near_duplicates
 from .packing import pack
+from .quality_model import classify_quality
 from .quality_rules import quality_rules
 from .toxicity import ToxicityModel, learn_toxicity, score_toxicity
 
@@ -26,6 +29,18 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "line_dedup.*")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no URL: their source is the host, and the language within it the path."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("host"), F.col("lang").alias("path"))
+    labels = table(spark, sf_dir, "labels")
+    found = classify_quality(docs, labels.where(~held_out(F.col("doc_id"))))
+    return found.withColumn("held_out", F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
+
+
+def op4_id_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_ids(write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows whose labels are kept for evaluation."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1
@@ -46,6 +61,12 @@ def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = calls_and_results(table(spark, sf_dir, "conversations"))
+    linked = link_tool_calls(calls, results, REPLY_SCHEMA)
+    return linked.withColumn("violations", F.array_join("violations", "; "))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
@@ -62,8 +83,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_line_dedup": op2_line_dedup,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op4_id_blocks": op4_id_blocks,
     "op5_toxicity": op5_toxicity,
     "op6_fingerprint": op6_fingerprint,
+    "op7_tool_calls": op7_tool_calls,
     "op8_minhash": op8_minhash,
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
