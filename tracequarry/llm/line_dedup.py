@@ -6,7 +6,7 @@ hash occurs more than once in the corpus are candidates; candidates are then gro
 the first occurrence, by doc_id and place, stays and all others are removed.
 
 Hot chunks: occurrences are reduced to their first one before the shuffle (partial aggregation), and are matched with it
-by a sort-merge join that adaptive execution can split; the texts of candidates are written once to the shared folder.
+by a sort-merge join that adaptive execution can split; chunk places and candidates' bytes are written once to the shared folder.
 
 Defined results: null and empty texts have no lines and stay as they are; a null doc_id comes after all others; rows
 that are equal in doc_id and text are one document, treated alike; a chunk repeated within one document is removed from
@@ -22,17 +22,20 @@ from pyspark.sql import functions as F
 from .common import NOT_SPACE, written
 
 
-def _chunked(docs: DataFrame, divisor: int) -> DataFrame:
-    """_id, _key, _lines, _hashes and the span (start, n) of each chunk with two lines or more."""
-    d = docs.select(docs["doc_id"].alias("_id"), docs["text"].alias("_text")).where(F.col("_text").contains("\n"))
-    d = d.select("_id", _key(F.col("_id"), F.col("_text")).alias("_key"), F.split("_text", "\n", -1).alias("_lines"))
-    d = d.withColumn("_hashes", F.transform("_lines", lambda x: F.xxhash64(x)))
-    h, last = F.col("_hashes"), F.size("_lines") - 1
+def _chunks(docs: DataFrame, divisor: int) -> DataFrame:
+    """_key, start and n (in lines) and _h of each chunk with two lines or more.
+
+    Chunks are made as an array and only that is exploded, so that no row carries a whole text along."""
+    d = docs.select(_key(docs["doc_id"], docs["text"]).alias("_key"), docs["text"].alias("_text")).where(F.col("_text").contains("\n"))
+    d = d.select("_key", F.transform(F.split("_text", "\n", -1), lambda x: F.xxhash64(x)).alias("_hashes"))
+    h, last = F.col("_hashes"), F.size("_hashes") - 1
     rolling = lambda i: F.pmod(F.xxhash64(F.get(h, i - 1), F.get(h, i)), F.lit(divisor))
-    d = d.withColumn("_ends", F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (rolling(i) == 0)))
-    d = d.select("*", F.posexplode("_ends").alias("_i", "_end"))
-    d = d.withColumn("start", F.coalesce(F.get("_ends", F.col("_i") - 1) + 1, F.lit(0))).withColumn("n", F.col("_end") - F.col("start") + 1)
-    return d.where(F.col("n") >= 2).drop("_ends", "_i", "_end")
+    d = d.select("_key", "_hashes", F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (rolling(i) == 0)).alias("_ends"))
+    spans = F.transform("_ends", lambda e, j: F.struct(F.coalesce(F.get("_ends", j - 1) + 1, F.lit(0)).alias("start"), e.alias("end")))
+    d = d.select("_key", "_hashes", F.filter(spans, lambda c: c["end"] > c["start"]).alias("_spans"))
+    size = lambda c: c["end"] - c["start"] + 1
+    chunks = F.transform("_spans", lambda c: F.struct(c["start"].alias("start"), size(c).alias("n"), F.xxhash64(F.slice(h, c["start"] + 1, size(c))).alias("_h")))
+    return d.select("_key", F.explode(chunks).alias("c")).select("_key", "c.*")
 
 
 def _key(doc_id: Column, text: Column) -> Column:
@@ -43,15 +46,16 @@ def _key(doc_id: Column, text: Column) -> Column:
 def dedup_lines(docs: DataFrame, out: str = "line_dedup", divisor: int = 3) -> DataFrame:
     """docs without the passages that an earlier document, or an earlier place, has; `out`: n_lines, n_removed (lines)."""
     names = [c for c in docs.columns if c != out]
-    chunks = _chunked(docs, divisor)
-    part = lambda a: F.slice(a, F.col("start") + 1, F.col("n"))
-    chunk_hash = F.xxhash64(part(F.col("_hashes"))).alias("_h")
-    where = chunks.select("_key", "start", chunk_hash)
-    twice = where.groupBy("_h").agg(F.min("_key").alias("_k0"), F.max("_key").alias("_k1"), F.min("start").alias("_s0"), F.max("start").alias("_s1"))
+    chunks = written(_chunks(docs, divisor), "line-chunks")
+    twice = chunks.groupBy("_h").agg(F.min("_key").alias("_k0"), F.max("_key").alias("_k1"), F.min("start").alias("_s0"), F.max("start").alias("_s1"))
     twice = twice.where((F.col("_k0") != F.col("_k1")) | (F.col("_s0") != F.col("_s1"))).select("_h")
-    chunk_bytes = F.array_join(part(F.col("_lines")), "\n").alias("_bytes")
-    candidates = chunks.select("_id", "_key", "start", "n", chunk_hash, chunk_bytes).where(F.col("_bytes").rlike(NOT_SPACE))
-    candidates = written(candidates.join(twice, "_h", "left_semi"), "line-chunks")
+    listed = chunks.distinct().join(twice, "_h", "left_semi").groupBy("_key").agg(F.collect_list(F.struct("start", "n", "_h")).alias("_spans"))
+    texts = docs.select(docs["doc_id"].alias("_id"), _key(docs["doc_id"], docs["text"]).alias("_key"), docs["text"].alias("_text"))
+    split = texts.join(listed, "_key").select("_id", "_key", "_spans", F.split("_text", "\n", -1).alias("_lines"))
+    chunk_bytes = lambda c: F.array_join(F.slice("_lines", c["start"] + 1, c["n"]), "\n")
+    taken = F.transform("_spans", lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), c["_h"].alias("_h"), chunk_bytes(c).alias("_bytes")))
+    candidates = split.select("_id", "_key", F.explode(taken).alias("c")).select("_id", "_key", "c.*")
+    candidates = written(candidates.where(F.col("_bytes").rlike(NOT_SPACE)), "repeated-chunks")
     place = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_key").alias("key"), F.col("start").alias("start"))
     first = candidates.groupBy("_h", "_bytes").agg(F.min(place).alias("_first"))
     again = candidates.join(first, ["_h", "_bytes"]).where((F.col("_key") != F.col("_first.key")) | (F.col("start") != F.col("_first.start")))

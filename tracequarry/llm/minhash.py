@@ -7,10 +7,9 @@ band keys and a signature of one byte per minimum.
 Candidate pairs never grow with the square of a bucket:
 
 1. each member of a band bucket is paired with the bucket's smallest member only (partial aggregation finds it);
-2. buckets whose other members still lie in several components are dealt into pairs of blocks of at most about BLOCK
-   members, compared by signature in numpy; a block pair with many candidates gives, for each member, its likeliest partner in another
-   component and the hub, the member with most candidates;
-3. once those links have merged components, the same step gives all that is left.
+2. buckets whose other members still lie in several components are dealt into pairs of blocks of bounded size. Within a
+   block pair numpy compares signatures, then the shingle sets, likeliest pairs first, and passes over pairs whose
+   components it has joined already: it gives no more links than there are components to join.
 
 Pairs whose signatures agree often enough are verified on the full sets of their texts. Links become components by
 alternating large-star and small-star; every step is a join or an aggregation, written to the shared folder.
@@ -32,7 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-BLOCK = 512
+#: Members, and bytes of shingle sets, of a block at most (about).
+BLOCK, BLOCK_BYTES = 1024, 16 << 20
 MEMO = 300_000
 MASK = (1 << 64) - 1
 #: Multipliers of the word hashes within a shingle; odd, from the golden ratio's and other fixed bits.
@@ -168,45 +168,78 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _pairs_of_blocks(least: int, every: bool):
-    """Candidate pairs between components in a pair of blocks of one bucket."""
+def _sets(size: int):
+    """The full shingle set of each text, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(size)
+        for batch in batches:
+            sets = [shingles(t).astype("<u8").tobytes() for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_pydict({"rep": batch["rep"], "shingles": pa.array(sets, pa.binary())})
+
+    return run
+
+
+def _links_of_blocks(least: int, percent: int, bands: int):
+    """Links between components in a pair of blocks of one bucket, as few as join what the block pair can join.
+
+    A pair of documents is looked at in the first band that they share only."""
 
     def run(group: pa.Table) -> pa.Table:
-        side = group["side"].to_numpy()
+        side, band = group["side"].to_numpy(), group["band"][0].as_py()
         rep, comp = group["rep"].to_numpy(), group["component"].to_numpy()
+        sets = [np.frombuffer(x, "<u8") for x in group["shingles"].to_pylist()]
         s = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint8).reshape(len(rep), -1)
         rows = np.flatnonzero(side == side.min())
         cols = np.flatnonzero(side == side.max())
-        agree = np.stack([(s[cols] == s[i]).sum(axis=1) for i in rows]) if len(rows) else np.zeros((0, len(cols)))
-        fits = (agree >= least) & (comp[rows][:, None] != comp[cols][None, :])
-        if not every and fits.sum() > 2 * (len(rows) + len(cols)):
-            chosen = np.zeros_like(fits)
-            score = np.where(fits, agree, -1)
-            chosen[np.arange(len(rows)), score.argmax(axis=1)] = True
-            chosen[score.argmax(axis=0), np.arange(len(cols))] = True
-            chosen[fits.sum(axis=1).argmax(), :] = True
-            chosen[:, fits.sum(axis=0).argmax()] = True
-            fits &= chosen
-        i, j = np.nonzero(fits)
-        a, b = rep[rows[i]], rep[cols[j]]
-        return pa.table({"a": pa.array(np.maximum(a, b), pa.int64()), "b": pa.array(np.minimum(a, b), pa.int64())})
+        found: list[tuple[int, int, int]] = []
+        for i in rows:
+            others = cols[cols > i] if side[i] == side[cols[0]] else cols
+            others = others[comp[others] != comp[i]]
+            equal = s[others] == s[i]
+            agree = equal.sum(axis=1)
+            fits = np.flatnonzero(agree >= least)
+            first = equal[fits].reshape(len(fits), bands, s.shape[1] // bands).all(axis=2).argmax(axis=1)
+            found += [(-int(agree[k]), int(i), int(others[k])) for k in fits[first == band]]
+        root: dict[int, int] = {}
+
+        def of(x: int) -> int:
+            while (y := root.get(x, x)) != x:
+                root[x] = root.get(y, y)
+                x = y
+            return x
+
+        out: list[tuple[int, int]] = []
+        for _, i, j in sorted(found):
+            ci, cj = of(int(comp[i])), of(int(comp[j]))
+            if ci == cj:
+                continue
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                root[max(ci, cj)] = min(ci, cj)
+                out.append((max(int(rep[i]), int(rep[j])), min(int(rep[i]), int(rep[j]))))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return run
 
 
-def _open_pairs(reps: DataFrame, buckets: DataFrame, components: DataFrame, least: int, every: bool) -> DataFrame:
-    """Candidate pairs of different components in buckets, besides those with the bucket's smallest member."""
+def _open_links(texts: DataFrame, reps: DataFrame, buckets: DataFrame, components: DataFrame, shape: tuple[int, int, int, int]) -> DataFrame:
+    """Pairs that may link different components of one bucket, besides those with the bucket's smallest member."""
+    size, percent, bands, least = shape
     member = buckets.where("rep <> low").join(components, F.col("rep") == F.col("node"), "left")
-    member = member.select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    open_ = member.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key", "n")
-    member = member.join(open_, "key").join(reps.select("rep", "signature"), "rep")
-    n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    member = member.withColumn("n_blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
+    member = member.select("key", "band", "rep", F.coalesce("component", "rep").alias("component"))
+    open_ = member.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
+    member = written(member.join(open_, "key"), "open-buckets")
+    wanted = member.select("rep").distinct()
+    sets = texts.join(wanted, texts["doc_id"] == wanted["rep"]).select("rep", "text").mapInArrow(_sets(size), "rep long, shingles binary")
+    sets = written(sets.join(reps.select("rep", "signature"), "rep").dropDuplicates(["rep"]), "open-sets")
+    member = member.join(sets.select("rep", F.length("shingles").alias("bytes")), "rep")
+    sums = member.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("n_blocks"))
+    member = member.join(sums, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    member = member.select(
-        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("side"), "rep", "component", "signature"
-    )
-    return member.groupBy("key", "i", "j").applyInArrow(_pairs_of_blocks(least, every), "a long, b long").where("a <> b").distinct()
+    member = member.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("side"), "band", "rep", "component")
+    kinds = "a long, b long"
+    return member.join(sets, "rep").groupBy("key", "i", "j").applyInArrow(_links_of_blocks(least, percent, bands), kinds).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 28, rows: int = 7, slack: float = 4.5) -> DataFrame:
@@ -221,14 +254,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     classes = written(usable.groupBy("mark").agg(F.min("doc_id").alias("rep")), "classes")
     reps = usable.join(classes, (usable["mark"] == classes["mark"]) & (usable["doc_id"] == classes["rep"]), "left_semi")
     reps = written(reps.select(F.col("doc_id").alias("rep"), "mark", "signature", "keys").dropDuplicates(["rep", "mark"]), "representatives")
-    banded = reps.select("rep", F.explode("keys").alias("key"))
+    banded = reps.select("rep", F.posexplode("keys").alias("band", "key"))
     lows = banded.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("top")).where("low <> top").select("key", "low")
     buckets = written(banded.join(lows, "key"), "buckets")
     texts = docs.where(F.col("doc_id").isNotNull())
     links = written(_verified(texts, _likely(reps, buckets.where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct(), least), shingle, percent), "links")
-    for every in (False, True):
-        found = _open_pairs(reps, buckets, connected_components(links), least, every)
-        links = written(links.unionByName(_verified(texts, found, shingle, percent)), "links")
+    more = _open_links(texts, reps, buckets, connected_components(links), (shingle, percent, bands, least))
+    links = written(links.unionByName(_verified(texts, more, shingle, percent)), "links")
     one = usable.groupBy("doc_id").agg(F.min("mark").alias("m0"), F.max("mark").alias("m1")).where("m0 <> m1").select("doc_id")
     shared = usable.join(one, "doc_id").join(classes, "mark").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))  # rows of one doc_id with unlike texts
     components = connected_components(links.unionByName(shared))

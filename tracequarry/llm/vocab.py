@@ -17,13 +17,22 @@ from tokenizers import Tokenizer
 MAX_WORDS = 900_000
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 #: Texts, and plain words, to a step.
-STEP, JOINED = 128, 4000
+STEP, JOINED = 512, 4000
 
 
 def _packed(ids: list[int]) -> bytes:
     return np.array(ids, dtype="<u4").tobytes()
 
 
+def _lowered(text: str) -> str:
+    """In lower case where that is one letter for one, as in Latin-1; fewer distinct words are then left to learn."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 class _Table:
     """Ids of words that follow `lead`; None where the word cannot be encoded by itself."""
 
@@ -31,11 +40,19 @@ class _Table:
         self.vocabulary, self.lead, self.starts, self.ends = vocabulary, lead, starts, ends
         self.known: dict[str, bytes | None] = {}
 
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > MAX_WORDS:
-            self.known.clear()
-            new = list(words)
+    def of(self, words: set[str]) -> dict[str, bytes | None]:
+        """The ids of each of the words: a small table, which later lookups find in the processor's cache."""
+        known = self.known
+        out = {w: known[w] for w in words if w in known}
+        new = [w for w in words if w not in out]
+        if len(known) + len(new) > MAX_WORDS:
+            known.clear()
+        self._learn(new)
+        for w in new:
+            out[w] = known[w]
+        return out
+
+    def _learn(self, new: list[str]) -> None:
         plain, rest = {}, []
         for w in new:
             m = PLAIN.fullmatch(w)
@@ -72,6 +89,7 @@ class Vocabulary:
         names = [self.library.id_to_token(i) or "" for i in range(size)]
         self.marks: dict[str, bytes] = {}
         self.drops_space = sum(n.endswith("</w>") for n in names) > size // 10
+        self.lowers = self.drops_space and self.ids("A B É") == self.ids("a b é")
         if self.drops_space:
             ends = np.array([n.endswith("</w>") for n in names])
             self.spaced = _Table(self, " ", None, ends)
@@ -107,17 +125,15 @@ class Vocabulary:
         return out
 
     def _dropping(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        self.spaced.learn(set().union(*split))
-        get = self.spaced.known.__getitem__
+        split = [(_lowered(t) if self.lowers else t).replace("\n", " ").split(" ") for t in texts]
+        get = self.spaced.of(set().union(*split)).__getitem__
         return [b"".join(map(get, ws)) for ws in split]
 
     def _keeping(self, texts: list[str]) -> list[bytes]:
         split = [[line.split(" ") for line in t.split("\n")] for t in texts]
-        self.first.learn({t[0][0] for t in split})
-        self.on_line.learn({line[0] for t in split for line in t[1:]})
-        self.spaced.learn({w for t in split for line in t for w in line[1:]})
-        first, on_line, spaced = self.first.known, self.on_line.known, self.spaced.known.__getitem__
+        first = self.first.of({t[0][0] for t in split})
+        on_line = self.on_line.of({line[0] for t in split for line in t[1:]})
+        spaced = self.spaced.of(set().union(*[line[1:] for t in split for line in t])).__getitem__
         out = []
         for text, (head, *lines) in zip(texts, split, strict=True):
             try:
