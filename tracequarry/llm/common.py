@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,13 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def _own_root(application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="tracequarry-")
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the cluster names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tracequarry-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    """The folder that driver and executors share; a temporary one for the application only where the cluster names none."""
+    return spark.conf.get("spark.checkpoint.dir", None) or _own_root(spark.sparkContext.applicationId)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
