@@ -182,7 +182,7 @@ def review_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def review_promote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = fixtures.review_items(spark, sf_dir).withColumn("corrected_output", F.upper("output"))
+    items = fixtures.review_items(spark, sf_dir).withColumn("corrected_output", F.concat(F.lit("corrected: "), "output"))
     existing = items.where("status = 'pending'").select(F.col("doc_id").alias("item_index"), "trace_id", F.col("output").alias("expected_output"))
     out = review.promote(items, existing)
     return out.select("part", "idx", "trace_id", F.md5("expected_output").alias("expected_md5"))

@@ -116,7 +116,7 @@ WHEN CASE WHEN metric = 'trace_count' THEN value < threshold ELSE value > thresh
 count(*) FILTER (sampled_as = 'control' AND verdict IS NOT NULL AND status = 'labeled') AS control_reviewed, count(*) FILTER (sampled_as = 'control' AND verdict = 'bad') AS control_missed FROM items)
 SELECT *, round(CASE WHEN control_reviewed > 0 THEN control_missed / control_reviewed END, 6) AS estimated_miss_rate FROM s""",
     "review_promote": f"""WITH {ITEMS} SELECT 0 AS part, doc_id AS idx, trace_id, md5(output) AS expected_md5 FROM items WHERE status = 'pending'
-UNION ALL SELECT 1, doc_id, trace_id, md5(CASE WHEN verdict = 'bad' THEN upper(output) ELSE output END) FROM items WHERE status = 'labeled'""",
+UNION ALL SELECT 1, doc_id, trace_id, md5(CASE WHEN verdict = 'bad' THEN 'corrected: ' || output ELSE output END) FROM items WHERE status = 'labeled'""",
     "eval_exact_match": f"""WITH {RESULTS} SELECT dataset_item_id, CASE WHEN expected_output IS NOT NULL THEN (trim(output) = trim(expected_output))::INT::DOUBLE END AS score,
 CASE WHEN expected_output IS NOT NULL THEN trim(output) = trim(expected_output) END AS passed, CASE WHEN expected_output IS NULL THEN 'no expected output' END AS error FROM results""",
     "eval_regex_match": f"WITH {RESULTS} SELECT dataset_item_id, regexp_matches(output, '^[A-M]', 'i')::INT::DOUBLE AS score, regexp_matches(output, '^[A-M]', 'i') AS passed FROM results",
@@ -141,7 +141,7 @@ AND s.run_id = 'A' AND s.evaluator = 'exact_match' AND s.score IS NOT NULL)""",
 UNION ALL SELECT prompt_slug, '2', version, version_id FROM versions WHERE version = 2""",
     "prompt_listing": f"""WITH {VERSIONS} SELECT t.prompt_slug, t.m AS latest, t.n AS n_versions, l.labels FROM tops t
 LEFT JOIN (SELECT prompt_slug, string_agg(label || '=' || CAST(version AS VARCHAR), ',' ORDER BY label) AS labels FROM labelled GROUP BY 1) l USING (prompt_slug)""",
-    "cost_by_model": f"""WITH {SPANS} SELECT s.model, sum(CAST((prompt_tokens * i + duration_ms * o) / 1000000 AS DECIMAL(18,6)))::DOUBLE AS cost_usd, count(*) AS n FROM spans s
+    "cost_by_model": f"""WITH {SPANS} SELECT s.model, sum(CAST(round(CAST(prompt_tokens * i + duration_ms * o AS DECIMAL(18,2)), 0) AS BIGINT)) / 1000000.0::DOUBLE AS cost_usd, count(*) AS n FROM spans s
 LEFT JOIN (VALUES ('model-0', 1.25, 2.50), ('model-1', 2.25, 3.50), ('model-2', 3.25, 4.50)) p(model, i, o) ON p.model = s.model WHERE s.model IS NOT NULL GROUP BY 1""",
     "span_tree": f"""WITH RECURSIVE {DEDUPED}, placed AS (SELECT d.*, CASE WHEN d.parent_span_id IS NULL THEN 'root' WHEN p.span_id IS NULL THEN 'orphan' ELSE 'child' END AS placement
 FROM deduped d LEFT JOIN deduped p ON p.project_id = d.project_id AND p.trace_id = d.trace_id AND p.span_id = d.parent_span_id),
