@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import SF_DIR, compare
+from helpers import SF_DIR, compare
 
 import __spark_entry__ as entry
 from tracequarry.plans import catalog
