@@ -5,8 +5,9 @@ chunk ends depend on nearby lines only and an insertion elsewhere does not shift
 hash occurs more than once in the corpus are candidates; candidates are then grouped by their very bytes. Of each group
 the first occurrence, by doc_id and place, stays and all others are removed.
 
-Hot chunks: occurrences are reduced to their first one before the shuffle (partial aggregation), and are matched with it
-by a sort-merge join that adaptive execution can split; chunk places and candidates' bytes are written once to the shared folder.
+Hot chunks: occurrences are reduced to their first one before the shuffle (partial aggregation). A chunk hash that occurs
+n times is dealt over n / SALTED salts when its occurrences meet the first one, so that no task gets a hot chunk whole;
+chunk places and candidates' bytes are written once to the shared folder.
 
 Defined results: null and empty texts have no lines and stay as they are; a null doc_id comes after all others; rows
 that are equal in doc_id and text are one document, treated alike; a chunk repeated within one document is removed from
@@ -22,6 +23,10 @@ from pyspark.sql import functions as F
 from .common import NOT_SPACE, written
 
 
+#: Occurrences of one chunk to a salt.
+SALTED = 200
+
+
 def _chunks(docs: DataFrame, divisor: int) -> DataFrame:
     """_key, start and n (in lines) and _h of each chunk with two lines or more.
 
@@ -47,18 +52,20 @@ def dedup_lines(docs: DataFrame, out: str = "line_dedup", divisor: int = 3) -> D
     """docs without the passages that an earlier document, or an earlier place, has; `out`: n_lines, n_removed (lines)."""
     names = [c for c in docs.columns if c != out]
     chunks = written(_chunks(docs, divisor), "line-chunks")
-    twice = chunks.groupBy("_h").agg(F.min("_key").alias("_k0"), F.max("_key").alias("_k1"), F.min("start").alias("_s0"), F.max("start").alias("_s1"))
-    twice = twice.where((F.col("_k0") != F.col("_k1")) | (F.col("_s0") != F.col("_s1"))).select("_h")
-    listed = chunks.distinct().join(twice, "_h", "left_semi").groupBy("_key").agg(F.collect_list(F.struct("start", "n", "_h")).alias("_spans"))
+    twice = chunks.groupBy("_h").agg(F.min("_key").alias("_k0"), F.max("_key").alias("_k1"), F.min("start").alias("_s0"), F.max("start").alias("_s1"), F.count("*").alias("_count"))
+    twice = twice.where((F.col("_k0") != F.col("_k1")) | (F.col("_s0") != F.col("_s1"))).select("_h", F.ceil(F.col("_count") / SALTED).cast("int").alias("salts"))
+    listed = chunks.distinct().join(twice, "_h").groupBy("_key").agg(F.collect_list(F.struct("start", "n", "_h", "salts")).alias("_spans"))
     texts = docs.select(docs["doc_id"].alias("_id"), _key(docs["doc_id"], docs["text"]).alias("_key"), docs["text"].alias("_text"))
     split = texts.join(listed, "_key").select("_id", "_key", "_spans", F.split("_text", "\n", -1).alias("_lines"))
     chunk_bytes = lambda c: F.array_join(F.slice("_lines", c["start"] + 1, c["n"]), "\n")
-    taken = F.transform("_spans", lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), c["_h"].alias("_h"), chunk_bytes(c).alias("_bytes")))
+    taken = F.transform("_spans", lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), c["_h"].alias("_h"), c["salts"].alias("salts"), chunk_bytes(c).alias("_bytes")))
     candidates = split.select("_id", "_key", F.explode(taken).alias("c")).select("_id", "_key", "c.*")
     candidates = written(candidates.where(F.col("_bytes").rlike(NOT_SPACE)), "repeated-chunks")
     place = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_key").alias("key"), F.col("start").alias("start"))
-    first = candidates.groupBy("_h", "_bytes").agg(F.min(place).alias("_first"))
-    again = candidates.join(first, ["_h", "_bytes"]).where((F.col("_key") != F.col("_first.key")) | (F.col("start") != F.col("_first.start")))
+    first = candidates.groupBy("_h", "_bytes").agg(F.min(place).alias("_first"), F.first("salts").alias("salts"))
+    first = first.select("_h", "_bytes", "_first", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("_salt"))
+    salted = candidates.withColumn("_salt", F.pmod(F.xxhash64("_key", "start"), F.col("salts")).cast("int"))
+    again = salted.join(first, ["_h", "_bytes", "_salt"]).where((F.col("_key") != F.col("_first.key")) | (F.col("start") != F.col("_first.start")))
     gone = again.select("_key", "start", "n").distinct().groupBy("_key").agg(F.collect_list(F.struct("start", "n")).alias("_gone"))
 
     row = F.struct(*[docs[c] for c in names])
