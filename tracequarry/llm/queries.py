@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sql
 from .byte_bpe import round_trip_digests
 from .chat_tools import REPLY_SCHEMA, calls_and_results, link_tool_calls
 from .common import table
@@ -77,7 +78,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return quality_rules(docs, keep=["doc_id"]).select("doc_id", "quality.*")
+    found = quality_rules(docs, keep=["doc_id"]).select("doc_id", "quality.*")
+    return found.withColumns({c: F.round(c, 6) for c in ("class_distance", "common_distance")})
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -92,4 +94,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_tool_calls": sql.TOOL_CALLS, "op10_quality_rules": sql.quality_rules_sql()}
