@@ -1,8 +1,8 @@
 """Removal of multi-line passages that other documents have too, in DataFrame functions only.
 
-Lines are hashed; a rolling hash over each pair of adjacent line hashes ends a chunk where it is 0 modulo `divisor`, so
-chunk ends depend on nearby lines only and an insertion elsewhere does not shift them. Chunks of two lines or more whose
-hash occurs more than once in the corpus are candidates; candidates are then grouped by their very bytes. Of each group
+Lines are hashed, and a rolling hash covers each pair of adjacent line hashes. A chunk ends where that hash is less than
+the one before and not more than the one after, so chunk ends depend on four nearby lines only, an insertion elsewhere
+does not shift them, and every chunk but the last has two lines at least, three on average. Chunks of two lines or more whose hash occurs more than once in the corpus are candidates; candidates are then grouped by their very bytes. Of each group
 the first occurrence, by doc_id and place, stays and all others are removed.
 
 Hot chunks: occurrences are reduced to their first one before the shuffle (partial aggregation). A chunk hash that occurs
@@ -27,15 +27,16 @@ from .common import NOT_SPACE, written
 SALTED = 200
 
 
-def _chunks(docs: DataFrame, divisor: int) -> DataFrame:
+def _chunks(docs: DataFrame) -> DataFrame:
     """_key, start and n (in lines) and _h of each chunk with two lines or more.
 
     Chunks are made as an array and only that is exploded, so that no row carries a whole text along."""
     d = docs.select(_key(docs["doc_id"], docs["text"]).alias("_key"), docs["text"].alias("_text")).where(F.col("_text").contains("\n"))
     d = d.select("_key", F.transform(F.split("_text", "\n", -1), lambda x: F.xxhash64(x)).alias("_hashes"))
-    h, last = F.col("_hashes"), F.size("_hashes") - 1
-    rolling = lambda i: F.pmod(F.xxhash64(F.get(h, i - 1), F.get(h, i)), F.lit(divisor))
-    d = d.select("_key", "_hashes", F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (rolling(i) == 0)).alias("_ends"))
+    h, r, last = F.col("_hashes"), F.col("_rolling"), F.size("_hashes") - 1
+    d = d.withColumn("_rolling", F.transform(h, lambda x, i: F.when(i > 0, F.xxhash64(F.get(h, i - 1), x))))
+    low = lambda i: (i > 0) & F.coalesce(F.get(r, i) < F.get(r, i - 1), F.lit(True)) & F.coalesce(F.get(r, i) <= F.get(r, i + 1), F.lit(True))
+    d = d.select("_key", "_hashes", F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | low(i)).alias("_ends"))
     spans = F.transform("_ends", lambda e, j: F.struct(F.coalesce(F.get("_ends", j - 1) + 1, F.lit(0)).alias("start"), e.alias("end")))
     d = d.select("_key", "_hashes", F.filter(spans, lambda c: c["end"] > c["start"]).alias("_spans"))
     size = lambda c: c["end"] - c["start"] + 1
@@ -48,10 +49,10 @@ def _key(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id, text)
 
 
-def dedup_lines(docs: DataFrame, out: str = "line_dedup", divisor: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, out: str = "line_dedup") -> DataFrame:
     """docs without the passages that an earlier document, or an earlier place, has; `out`: n_lines, n_removed (lines)."""
     names = [c for c in docs.columns if c != out]
-    chunks = written(_chunks(docs, divisor), "line-chunks")
+    chunks = written(_chunks(docs), "line-chunks")
     twice = chunks.groupBy("_h").agg(F.min("_key").alias("_k0"), F.max("_key").alias("_k1"), F.min("start").alias("_s0"), F.max("start").alias("_s1"), F.count("*").alias("_count"))
     twice = twice.where((F.col("_k0") != F.col("_k1")) | (F.col("_s0") != F.col("_s1"))).select("_h", F.ceil(F.col("_count") / SALTED).cast("int").alias("salts"))
     listed = chunks.distinct().join(twice, "_h").groupBy("_key").agg(F.collect_list(F.struct("start", "n", "_h", "salts")).alias("_spans"))
@@ -83,10 +84,10 @@ def dedup_lines(docs: DataFrame, out: str = "line_dedup", divisor: int = 3) -> D
     return full.select(*[text.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in names], report.alias(out))
 
 
-def drop_repeated_lines(docs: DataFrame, divisor: int = 3) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """dedup_lines with the columns of docs only; documents of which no word is left are dropped, n_chars follows the text."""
     out = "_line_dedup"
-    d = dedup_lines(docs, out, divisor)
+    d = dedup_lines(docs, out)
     d = d.where((F.col(out)["n_removed"] == 0) | F.col("text").rlike(NOT_SPACE))
     if "n_chars" in docs.columns:
         d = d.withColumn("n_chars", F.when(F.col(out)["n_removed"] == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
