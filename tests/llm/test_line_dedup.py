@@ -2,7 +2,7 @@
 
 import xxhash
 
-from tracequarry.llm.line_dedup import dedup_lines, drop_repeated_lines
+from tracequarry.llm.line_dedup import dedup_lines, dedup_passages, drop_repeated_lines
 
 SEED = 42
 
@@ -76,3 +76,50 @@ def test_odd_rows(odd, none):
     kept = drop_repeated_lines(odd)
     assert kept.columns == odd.columns and kept.where("doc_id = 9011").count() == 2
     assert dedup_lines(none).count() == 0
+
+
+def brute_passages(rows):
+    """Rows after the chunks of brute() and the runs of over 50 words of line pairs that an earlier place has."""
+    seen, first, out = set(), set(), {}
+    for doc_id, text in sorted(rows):
+        lines, gone, hits = text.split("\n"), set(), []
+        for start, chunk in chunks(text) if "\n" in text else ():
+            if chunk.strip() and chunk in seen:
+                gone |= set(range(start, start + chunk.count("\n") + 1))
+            seen.add(chunk)
+        for pair in enumerate(zip(lines, lines[1:], strict=False)):
+            if pair[1] in first:
+                hits.append(pair[0])
+            first.add(pair[1])
+        while hits:
+            n = 1
+            while n < len(hits) and hits[n] == hits[0] + n:
+                n += 1
+            run = range(hits[0], hits[0] + n + 1)
+            if len(" ".join(lines[i] for i in run).split()) > 50:
+                gone |= set(run)
+            hits = hits[n:]
+        out[doc_id] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    return out
+
+
+def test_short_passages(spark):
+    """Passages of 2 to 8 lines and over 50 words between other lines go from all documents but the first, whole."""
+    rows, want = [], {}
+    for n in range(2, 9):
+        for k in range(12):
+            passage = [f"passage {n} {k} {i} " + " ".join(f"w{i}{j}" for j in range(-(-51 // n) - 3)) for i in range(n)] if k % 4 else [f"few {n} {k} {i}" for i in range(n)]
+            for copy in range(3):
+                own = [f"own {n} {k} {copy} {i}" for i in range(6)]
+                rows.append((len(rows), "\n".join([*own[:3], *passage, *own[3:]])))
+                if k % 4:
+                    want[rows[-1][0]] = "\n".join(own) if copy else rows[-1][1]
+    got = {r["doc_id"]: r["text"] for r in dedup_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: got[d] for d in want} == want
+    assert got == brute_passages(rows)
+
+
+def test_passages_of_documents(documents):
+    rows = [(r["doc_id"], r["text"]) for r in documents.where("text is not null").collect()]
+    got = {r["doc_id"]: r["text"] for r in dedup_passages(documents.where("text is not null").select("doc_id", "text")).collect()}
+    assert got == brute_passages(rows)

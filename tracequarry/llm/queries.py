@@ -14,7 +14,7 @@ from .chat_tools import REPLY_SCHEMA, calls_and_results, link_tool_calls
 from .common import table
 from .fingerprint import fingerprints
 from .id_codec import read_ids, write_ids
-from .line_dedup import dedup_lines
+from .line_dedup import dedup_passages
 from .minhash import near_duplicates
 from .packing import pack
 from .quality_model import classify_quality
@@ -27,7 +27,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "line_dedup.*")
+    return dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "line_dedup.*")
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
