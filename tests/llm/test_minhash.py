@@ -3,7 +3,11 @@
 import re
 from itertools import combinations
 
-from tracequarry.llm.minhash import connected_components, drop_near_duplicates, near_duplicates
+import numpy as np
+import pyarrow as pa
+import xxhash
+
+from tracequarry.llm.minhash import _links_of_blocks, connected_components, drop_near_duplicates, near_duplicates
 
 
 def shingle_set(text, k):
@@ -57,3 +61,16 @@ def test_filter_keeps_columns(odd, none):
     out = drop_near_duplicates(odd)
     assert out.columns == odd.columns and out.count() >= 10
     assert near_duplicates(none).count() == 0 and drop_near_duplicates(none).count() == 0
+
+
+def test_links_in_first_band_by_key():
+    """Two texts whose minima of band 0 differ, but not in their low bytes, meet in the bucket of band 1."""
+    minima = np.array([[0x101, 5, 7, 9], [0x201, 5, 7, 9]], np.uint32)
+    keys = [[xxhash.xxh64_intdigest(m[2 * i : 2 * i + 2].tobytes(), seed=i) - (1 << 63) for i in range(2)] for m in minima]
+    assert keys[0][0] != keys[1][0] and keys[0][1] == keys[1][1]
+    group = pa.table({
+        "side": pa.array([0, 0], pa.int32()), "band": pa.array([1, 1], pa.int32()), "rep": pa.array([3, 8], pa.int64()), "component": pa.array([3, 8], pa.int64()),
+        "shingles": pa.array([np.arange(50, dtype="<u8").tobytes()] * 2, pa.binary()),
+        "signature": pa.array([(m & 0xFF).astype(np.uint8).tobytes() for m in minima], pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64())),
+    })
+    assert _links_of_blocks(3, 80)(group).to_pylist() == [{"a": 8, "b": 3}]

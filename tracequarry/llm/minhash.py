@@ -180,26 +180,26 @@ def _sets(size: int):
     return run
 
 
-def _links_of_blocks(least: int, percent: int, bands: int):
+def _links_of_blocks(least: int, percent: int):
     """Links between components in a pair of blocks of one bucket, as few as join what the block pair can join.
 
-    A pair of documents is looked at in the first band that they share only."""
+    A pair of documents is looked at in the first band only whose key they share."""
 
     def run(group: pa.Table) -> pa.Table:
         side, band = group["side"].to_numpy(), group["band"][0].as_py()
         rep, comp = group["rep"].to_numpy(), group["component"].to_numpy()
         sets = [np.frombuffer(x, "<u8") for x in group["shingles"].to_pylist()]
         s = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint8).reshape(len(rep), -1)
+        keys = group["keys"].combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
         rows = np.flatnonzero(side == side.min())
         cols = np.flatnonzero(side == side.max())
         found: list[tuple[int, int, int]] = []
         for i in rows:
             others = cols[cols > i] if side[i] == side[cols[0]] else cols
             others = others[comp[others] != comp[i]]
-            equal = s[others] == s[i]
-            agree = equal.sum(axis=1)
+            agree = (s[others] == s[i]).sum(axis=1)
             fits = np.flatnonzero(agree >= least)
-            first = equal[fits].reshape(len(fits), bands, s.shape[1] // bands).all(axis=2).argmax(axis=1)
+            first = (keys[others[fits]] == keys[i]).argmax(axis=1)
             found += [(-int(agree[k]), int(i), int(others[k])) for k in fits[first == band]]
         root: dict[int, int] = {}
 
@@ -223,23 +223,23 @@ def _links_of_blocks(least: int, percent: int, bands: int):
     return run
 
 
-def _open_links(texts: DataFrame, reps: DataFrame, buckets: DataFrame, components: DataFrame, shape: tuple[int, int, int, int]) -> DataFrame:
+def _open_links(texts: DataFrame, reps: DataFrame, buckets: DataFrame, components: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
     """Pairs that may link different components of one bucket, besides those with the bucket's smallest member."""
-    size, percent, bands, least = shape
+    size, percent, least = shape
     member = buckets.where("rep <> low").join(components, F.col("rep") == F.col("node"), "left")
     member = member.select("key", "band", "rep", F.coalesce("component", "rep").alias("component"))
     open_ = member.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
     member = written(member.join(open_, "key"), "open-buckets")
     wanted = member.select("rep").distinct()
     sets = texts.join(wanted, texts["doc_id"] == wanted["rep"]).select("rep", "text").mapInArrow(_sets(size), "rep long, shingles binary")
-    sets = written(sets.join(reps.select("rep", "signature"), "rep").dropDuplicates(["rep"]), "open-sets")
+    sets = written(sets.join(reps.select("rep", "signature", "keys"), "rep").dropDuplicates(["rep"]), "open-sets")
     member = member.join(sets.select("rep", F.length("shingles").alias("bytes")), "rep")
     sums = member.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("n_blocks"))
     member = member.join(sums, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     member = member.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("side"), "band", "rep", "component")
     kinds = "a long, b long"
-    return member.join(sets, "rep").groupBy("key", "i", "j").applyInArrow(_links_of_blocks(least, percent, bands), kinds).distinct()
+    return member.join(sets, "rep").groupBy("key", "i", "j").applyInArrow(_links_of_blocks(least, percent), kinds).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 28, rows: int = 7, slack: float = 4.5) -> DataFrame:
@@ -259,7 +259,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     buckets = written(banded.join(lows, "key"), "buckets")
     texts = docs.where(F.col("doc_id").isNotNull())
     links = written(_verified(texts, _likely(reps, buckets.where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct(), least), shingle, percent), "links")
-    more = _open_links(texts, reps, buckets, connected_components(links), (shingle, percent, bands, least))
+    more = _open_links(texts, reps, buckets, connected_components(links), (shingle, percent, least))
     links = written(links.unionByName(_verified(texts, more, shingle, percent)), "links")
     one = usable.groupBy("doc_id").agg(F.min("mark").alias("m0"), F.max("mark").alias("m1")).where("m0 <> m1").select("doc_id")
     shared = usable.join(one, "doc_id").join(classes, "mark").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))  # rows of one doc_id with unlike texts
