@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 
 from tracequarry.llm import queries
 from tracequarry.llm.fingerprint import digest, edited, fingerprints, likeness
-from tracequarry.llm.quality_model import classify_quality
+from tracequarry.llm.quality_model import FEATURES, classify_quality, features
 from tracequarry.llm.quality_rules import quality_rules, reject_low_quality
 from tracequarry.llm.toxicity import ToxicityModel, learn_toxicity, maximal_segments, reject_toxic, score_toxicity
 
@@ -145,3 +145,11 @@ def test_site_rates(spark):
         own = (total(hosts[h]) - p[i] + hm * every) / (len(hosts[h]) - 1 + hm)
         deep = (total(sites[h, path]) - p[i] + pm * own) / (len(sites[h, path]) - 1 + pm)
         assert got[i]["host_rate"] == pytest.approx(own, rel=1e-9) and got[i]["path_rate"] == pytest.approx(deep, rel=1e-9)
+
+
+def test_top_word_counts_all_words():
+    """A word that is 40% of a text, but not its first, middle or last word."""
+    words = [f"w{i}" for i in range(60)] + ["junk"] * 40
+    words[50], words[-1], words[60], words[70] = "middle", "end", "a", "b"
+    assert features(" ".join(words))[FEATURES.index("top_word")] == words.count("junk") / 100
+    assert features("")[FEATURES.index("top_word")] == 0
