@@ -1,7 +1,9 @@
 """Toxicity, fingerprints, quality rules and the quality classifier against plain Python, and on held-out labels."""
 
 import hashlib
+import math
 import re
+import time
 from collections import Counter
 from itertools import accumulate
 
@@ -14,7 +16,7 @@ from tracequarry.llm import queries
 from tracequarry.llm.fingerprint import digest, edited, fingerprints, likeness
 from tracequarry.llm.quality_model import FEATURES, classify_quality, features
 from tracequarry.llm.quality_rules import quality_rules, reject_low_quality
-from tracequarry.llm.toxicity import ToxicityModel, learn_toxicity, maximal_segments, reject_toxic, score_toxicity
+from tracequarry.llm.toxicity import ToxicityModel, _tail, learn_toxicity, maximal_segments, reject_toxic, score_toxicity
 
 SF = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -45,6 +47,40 @@ def test_segments(w):
     assert {i for a, b, _ in found for i in range(a, b)} >= {i for i, x in enumerate(w) if x > 0}
 
 
+@pytest.mark.parametrize("seed", range(200))
+def test_segments_are_those_of_the_definition(seed):
+    w = np.random.default_rng(seed).normal(-0.1, 1, seed % 40).tolist()
+    assert [(a, b) for a, b, _ in maximal_segments(w)] == [(a, b) for a, b, _ in brute_segments(w)]
+
+
+@pytest.mark.parametrize("pattern", [[3.0, -4.0], [3.0, -2.0], [1.0, -1.5, 0.2], [5.0, -0.1, -7.0]])
+def test_segments_take_linear_time(pattern):
+    w = pattern * (100_000 // len(pattern))
+    began = time.process_time()
+    maximal_segments(w)
+    assert time.process_time() - began < 2
+
+
+def test_extreme_value_tail():
+    """lambda and K are found again from drawn scores, and p-values are those of the tail."""
+    r = np.random.default_rng(7)
+    n = np.full(4000, 200.0)
+    scores = [(1.5 + r.exponential(1 / 1.3, r.poisson(0.4))).tolist() for _ in n]
+    rate, scale = _tail(n, scores)
+    assert abs(rate - 1.3) < 0.1 and abs(scale * 200 * math.exp(-1.5 * rate) - 0.4) < 0.04
+    m = ToxicityModel({}, rate, scale)
+    got = np.mean([max(own, default=0) >= 3 for own in scores])
+    assert abs(m.p_value(200, 3.0) - got) < 0.02 and m.p_value(200, 3.0) > m.p_value(200, 4.0) and m.p_value(100, 3.0) < m.p_value(200, 3.0)
+
+
+def test_two_passages_far_apart(spark):
+    model = ToxicityModel({"bad": 6.0, "awful": 6.0, "weak": 0.5}, 1.2, 0.01, (-4.0, 1.0, 0.0))
+    text = " ".join(["bad awful", *["plain"] * 300, "weak", *["plain"] * 300, "awful! Bad."])
+    r = score_toxicity(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()["toxicity"]
+    assert [(s["first_word"], s["last_word"]) for s in r["segments"]] == [(0, 1), (603, 604)] and r["n_segments"] == 2
+    assert all(s["score"] == 12 and s["p_value"] < 0.01 for s in r["segments"])
+
+
 def auc(y, s):
     y, s = np.array(y), np.array(s)
     return np.mean([(a > b) + 0.5 * (a == b) for a in s[y == 1] for b in s[y == 0]])
@@ -58,7 +94,7 @@ def test_toxicity_on_held_out_labels(spark):
 
 
 def test_toxicity_rows(spark, odd, none):
-    model = ToxicityModel({"bad": 3.0, "^awful": 2.0}, (-4.0, 1.5, 0.0, 0.0))
+    model = ToxicityModel({"bad": 3.0, "^awful": 2.0}, 1.5, 0.01, (-4.0, 1.5, 0.0), 0.7)
     out = score_toxicity(odd, model)
     assert out.columns == [*odd.columns, "toxicity"] and out.count() == odd.count()
     assert reject_toxic(odd, model).columns == odd.columns and reject_toxic(none, model).count() == 0

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import cache
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracequarry.scratch import forget, scratch_root, written
+
+__all__ = ["NOT_SPACE", "SPACE", "forget", "scratch_root", "table", "words", "written"]
+
 #: Whitespace that separates words; everything else belongs to a word.
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
@@ -18,24 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@cache
-def _own_root(application: str) -> str:
-    return "file://" + tempfile.mkdtemp(prefix="tracequarry-")
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one for the application only where the cluster names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_root(spark.sparkContext.applicationId)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, computed once and written to the shared folder: later reads survive lost executors and carry no lineage."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark).rstrip('/')}/tracequarry/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def words(text: Column) -> Column:
     """The words of a text in order; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+", -1), lambda w: w != "")
