@@ -8,7 +8,7 @@ import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
 
-from tracequarry.llm.id_codec import decode_ids, encode_ids, read_block, read_ids, write_block, write_ids
+from tracequarry.llm.id_codec import blocks_of, decode_ids, encode_ids, read_block, read_ids, write_block, write_ids
 from tracequarry.llm.packing import cutting_plan, pack
 from tracequarry.llm.vocab import vocabulary
 
@@ -49,17 +49,48 @@ def test_damage_is_found():
             read_block(bad)
 
 
-def test_blocks_against_the_library(documents, odd):
+@pytest.mark.parametrize("n", [1 << 15, 1 << 18])
+def test_fewer_bits_than_order_0(n):
+    """On ids of the test documents, lanes' digit counts included; order 0's entropy is without the cost of its table."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    ids = np.frombuffer(b"".join(vocabulary(P.path("byte_bpe_50k.json")).encode(texts)), "<u4")[:n]
+    share = np.bincount(ids)[np.unique(ids)] / n
+    sizes, digits = encode_ids(ids, 50_257)
+    assert len(ids) == n and (32 * len(sizes) + 16 * len(digits)) / n < -(share * np.log2(share)).sum()
+
+
+def test_file_of_blocks():
+    blocks = [write_block([k], [3], np.array([5, 10, 7], "<u4"), 11, shard=4, block=k) for k in range(3)]
+    content = b"".join(b + b"\n" for b in blocks)
+    found = list(blocks_of(content))
+    assert [f[:3] for f in found] == [(4, k, 3) for k in range(3)] and [content[a:b] for *_, a, b in found] == blocks
+    for bad in (content[:-1], content[:-2], b"x" + content, content + b"TQ"):
+        with pytest.raises(ValueError):
+            list(blocks_of(bad))
+
+
+def test_blocks_against_the_library(spark, documents, odd):
     docs = documents.select("doc_id", "text").unionByName(odd.where("doc_id <> 9010 and doc_id is not null").select("doc_id", "text"))
     lib, at, want = library("byte_bpe_50k.json"), 0, []
     for r in sorted(docs.collect(), key=lambda r: (r["doc_id"], r["text"] or "")):
         ids = lib(r["text"], 0)
         want.append((r["doc_id"], at, len(ids), crc(ids)))
         at += len(ids)
-    got = read_ids(write_ids(docs, P.path("byte_bpe_50k.json"))).collect()
+    got = read_ids(spark, write_ids(docs, P.path("byte_bpe_50k.json"))).collect()
     assert sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
 
 
+def test_odd_rows_and_empty_tables(spark, odd, none):
+    texts = sorted(r["text"] or "" for r in odd.collect())
+    got = read_ids(spark, write_ids(odd, P.path("byte_bpe_50k.json")), with_ids=True).collect()
+    lib = library("byte_bpe_50k.json")
+    assert sorted(np.frombuffer(r["ids"], "<u4").tolist() for r in got) == sorted(lib(t, 0) for t in texts)
+    assert sorted(r["start"] for r in got)[0] == 0 and sum(r["n_tokens"] for r in got) == max(r["start"] + r["n_tokens"] for r in got)
+    assert read_ids(spark, write_ids(none, P.path("byte_bpe_50k.json"))).count() == 0
+
+
 def test_packing(documents, odd):
     docs = documents.select("doc_id", "text").unionByName(odd.where("doc_id is not null and doc_id not in (9010, 9011)").select("doc_id", "text"))
     lib = library("word_bpe_49k.json")
@@ -96,7 +127,7 @@ def test_plan_covers_demand():
 
 
 def test_empty_tables(none):
-    assert read_ids(write_ids(none, P.path("byte_bpe_50k.json"))).count() == 0
+    assert read_ids(none.sparkSession, write_ids(none, P.path("byte_bpe_50k.json"))).count() == 0
     assert pack(none, P.path("word_bpe_49k.json")).count() == 0
 
 

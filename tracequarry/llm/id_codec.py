@@ -1,91 +1,207 @@
-"""Token ids as binary blocks, by an adaptive context-mixing range coder.
+"""Token ids as files of binary blocks, by an adaptive context-mixing range coder.
 
 A block holds whole documents. Its ids are dealt to lanes, contiguous runs of equal length; step t codes the t-th id of
 every lane at once in numpy, under one model of the block, and then updates the model with what all lanes showed. The
 model starts anew in each block, so blocks can be read in any order and a damaged one harms no other; a CRC-32 over the
 block's body is checked on reading.
 
-Order 2 and order 1 each predict one id, the one last confirmed after the two (or one) ids before, with a confidence;
-order 0 predicts by the frequencies of ids so far. Adaptive weights, kept for each pair of confidences, mix the three: an
-id is coded as the order-2 prediction, the order-1 prediction, or by order 0. Lanes keep a carry-less range coder of 64
-bits each, with 16-bit output words.
+Model. Order 2 and order 1 keep SLOTS ids with counts for each context (the two ids before, hashed, or the one before);
+order 0 keeps the frequencies of all ids that the others missed, with a share for new ones. The three distributions are
+mixed by weights that are learned for each pair of confidences (how often the contexts were seen, and how one-sidedly):
+an order's weight is the mean share that it had in the probabilities of the ids that came. An id's probability is the sum
+over the orders of weight times probability, so each id takes one coding step; ids in slots come first in the coding
+interval, the others follow in id order with the slots' ids left out. All quantities are integers, so that every machine
+decodes alike.
 
-Block: HEAD (magic, version, documents, ids, lanes, vocabulary, bytes of body, CRC-32 of body), then the body: doc_ids
-(int64; null flags as bytes), ids per document (uint32), words per lane (uint32), words (uint16), all little-endian.
+Coder. Each lane keeps a range coder of 48 bits that puts out 16-bit digits; carries are added up in the digits and
+resolved when the lane ends.
+
+File. Blocks in a row, each followed by a newline. Block: HEAD (magic, version, shard, block, documents, ids, lanes,
+vocabulary, bytes of body, CRC-32 of body), then the body: doc_ids (int64; null flags as bytes), ids per document
+(uint32), digits per lane (uint32), digits (uint16), all little-endian. A file holds one shard; shards and their blocks
+follow ascending doc_id.
 
 Defined results: a null or empty text is its end id alone; documents are written in ascending doc_id order, nulls first,
-ties by text; repeated rows are written each; an empty table gives no blocks. Columns other than doc_id and text are
-dropped. A document's ids are held in memory whole, as its text is.
+ties by a hash of the text; repeated rows are written each; an empty table gives no blocks. Columns other than doc_id and
+text are not read. Strings of special tokens within a text are ordinary text. A document's ids are held in memory whole,
+as its text is.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import scratch_root
 from .vocab import vocabulary
 
-MAGIC, VERSION = b"TQID", 1
-HEAD = struct.Struct("<4sBIIIIII")
-BLOCK_IDS, LANES, LANE_LEAST = 1 << 20, 2048, 64
-TOP, LEAST_RANGE = np.uint64(1 << 48), np.uint64(1 << 32)
-WORD, HIGH = np.uint64(16), np.uint64(48)
-CHOICE_BITS = 12
-SURE = 3
-PAIRS = 1 << 20
+MAGIC, VERSION = b"TQID", 2
+HEAD = struct.Struct("<4sBIIIIIIII")
+BLOCK_IDS, LANES, LANE_LEAST = 1 << 20, 2048, 512
+#: Bytes of text to a shard, about.
+SHARD_BYTES = 64 << 20
+#: Bits of a lane's range at least, of a digit, of the mixed total, and of order 0's total; weights sum to 2 ** 8.
+LOW_BITS, DIGIT, TOTAL_BITS, BASE_BITS = 32, 16, 30, 22
+LEAST, DIGIT_MASK, LOW_MASK = 1 << LOW_BITS, (1 << DIGIT) - 1, (1 << LOW_BITS) - 1
+#: Slots of a context of order 2 and order 1; rows of the order-2 table; greatest count.
+SLOTS2, SLOTS1, ROWS2, MOST = 2, 3, 1 << 18, 60
+COUNT_BITS = 8
+RECIPROCALS = np.array([0, *((1 << 16) // n for n in range(1, MOST * 4))], np.int64)
+
+
+def _confidences() -> np.ndarray:
+    """Class of a context by the sum of its counts and the greatest one: 0 unseen, then seen more often, one-sided or not."""
+    total, top = np.arange(256)[:, None], np.arange(64)[None, :]
+    often = (total > 1).astype(int) + (total > 3) + (total > 15)
+    return np.where(total == 0, 0, 1 + 2 * often + (4 * top >= 3 * total)).astype(np.int64).reshape(-1)
+
+
+CONFIDENCES = _confidences()
+CLASSES = 9
+
+
+def _sum(rows: np.ndarray) -> np.ndarray:
+    """Of a few long rows; quicker than numpy's sum over the first axis."""
+    return reduce(np.add, rows)
+
+
+class _Order:
+    """Slots of ids and their counts by context, one array for each slot; an empty slot has id -1 and count 0."""
+
+    def __init__(self, rows: int, slots: int):
+        self.table = np.full((slots, rows), -1 << COUNT_BITS, np.int64)
+
+    def look(self, at: np.ndarray) -> None:
+        self.at = at
+        packed = np.stack([slot[at] for slot in self.table])
+        self.ids, self.counts = packed >> COUNT_BITS, packed & ((1 << COUNT_BITS) - 1)
+        total = _sum(self.counts)
+        self.confidence = CONFIDENCES[total * 64 + reduce(np.maximum, self.counts)]
+        self.shares = self.counts * RECIPROCALS[total]  # of 2 ** 16
+
+    def learn(self, x: np.ndarray, hit: np.ndarray) -> None:
+        counts, ids = np.minimum(self.counts + hit, MOST), self.ids
+        missed = np.flatnonzero(~reduce(np.logical_or, hit))
+        if len(missed):
+            left, least = counts[0][missed], np.zeros(len(missed), np.int64)
+            for k in range(1, len(counts)):
+                other = counts[k][missed]
+                less = other < left
+                left, least = np.where(less, other, left), np.where(less, k, least)
+            new = left <= 1
+            counts[least, missed] = np.where(new, 1, left - 1)
+            ids[least[new], missed[new]] = x[missed[new]]
+        for slot, packed in zip(self.table, ids << COUNT_BITS | counts, strict=True):
+            slot[self.at] = packed
 
 
 class _Model:
-    """Predictions and their weights; encoder and decoder apply the same updates."""
+    """The mixed distribution of each lane's next id; encoder and decoder apply the same updates."""
 
     def __init__(self, vocabulary_size: int):
         self.size = vocabulary_size
-        self.next1, self.sure1 = np.zeros(vocabulary_size, np.int64), np.zeros(vocabulary_size, np.int8)
-        self.next2, self.sure2 = np.zeros(PAIRS, np.int64), np.zeros(PAIRS, np.int8)
-        self.outcomes = np.ones(2 * 4 * 4 * 3, np.int64)
-        self.counts = np.ones(vocabulary_size, np.int64)
+        self.order2, self.order1 = _Order(ROWS2, SLOTS2), _Order(vocabulary_size, SLOTS1)
+        self.counts = np.zeros(vocabulary_size, np.int64)
         self.waiting: list[np.ndarray] = []
         self.steps, self.due = 0, 1
+        # shares that order 2 and order 1 had, and what they are shares of, by pair of confidences
+        self.had = np.tile(np.array([[90], [60]], np.int64), (1, CLASSES * CLASSES)) * 16
+        self.seen = np.full(CLASSES * CLASSES, 256 * 16, np.int64)
+        known2, known1 = np.divmod(np.arange(CLASSES * CLASSES), CLASSES)
+        self.known = np.stack([known2 > 0, known1 > 0])
+        self._weigh()
         self._cumulate()
 
+    def _weigh(self) -> None:
+        w = np.where(self.known, np.maximum(1, self.had * 250 // self.seen), 0)
+        self.weights = np.vstack([w, 256 - w.sum(axis=0)])
+
     def _cumulate(self) -> None:
-        self.cumulative = np.concatenate([[0], np.cumsum(self.counts)]).astype(np.uint64)
-        self.total = self.cumulative[-1]
+        total = int(self.counts.sum())
+        kinds = int(np.count_nonzero(self.counts))
+        floor = max(1, ((1 << BASE_BITS) // self.size) * (kinds + 8) // (total + kinds + 8))
+        room = (1 << BASE_BITS) - floor * self.size
+        self.base = self.counts * room // max(1, total) + floor
+        self.cumulative = np.concatenate([[0], np.cumsum(self.base)])
 
     def predict(self, before1: np.ndarray, before2: np.ndarray) -> None:
-        self.at1 = before1
-        self.at2 = (before1 * 40_503 + before2 * 2_654_435_761) >> 4 & (PAIRS - 1)
-        self.p1, self.p2 = self.next1[self.at1], self.next2[self.at2]
-        self.c1, self.c2 = self.sure1[self.at1], self.sure2[self.at2]
-        self.context = (self.c2 * 8 + self.c1 * 2 + (self.p1 == self.p2)).astype(np.int64)
-        k = self.outcomes.reshape(-1, 3)
-        room = (1 << CHOICE_BITS) - 3
-        share = k[:, :2] * room // k.sum(axis=1)[:, None] + 1
-        self.f2, self.f1 = share[:, 0].astype(np.uint64)[self.context], share[:, 1].astype(np.uint64)[self.context]
-
-    def update(self, ids: np.ndarray, outcome: np.ndarray) -> None:
-        self.outcomes += np.bincount(self.context * 3 + outcome, minlength=len(self.outcomes)) * 4
-        if self.steps & 31 == 31:
-            self.outcomes -= self.outcomes >> 2
-            self.outcomes += 1
-        for nexts, sure, at, c, p in ((self.next1, self.sure1, self.at1, self.c1, self.p1), (self.next2, self.sure2, self.at2, self.c2, self.p2)):
-            hit = p == ids
-            sure[at] = np.where(hit, np.minimum(c + 1, SURE), np.maximum(c - 1, 0))
-            new = ~hit & (c == 0)
-            nexts[at[new]] = ids[new]
-            sure[at[new]] = 1
-        self.waiting.append(ids[outcome == 2])
+        self.order1.look(before1)
+        self.order2.look((before1 * 40_503 + before2 * 2_654_435_761 >> 5) & (ROWS2 - 1))
+        self.pair = self.order2.confidence * CLASSES + self.order1.confidence
+        w2, w1, self.w0 = self.weights[:, self.pair]
+        self.p2 = self.order2.shares * w2 << (BASE_BITS - 16)
+        self.p1 = self.order1.shares * w1 << (BASE_BITS - 16)
+        # an id in slots of both orders counts in order 2's; slots without a count are empty
+        self.slot_ids, both = np.concatenate([self.order2.ids, self.order1.ids]), np.concatenate([self.p2, self.p1])
+        live = self.slot_ids >= 0
+        for j in range(SLOTS2, SLOTS2 + SLOTS1):
+            for i in range(SLOTS2):
+                same = (self.slot_ids[j] == self.slot_ids[i]) & live[j]
+                both[i] += same * both[j]
+                live[j] &= ~same
+        self.freed = self.base[self.slot_ids] * live  # order 0's part of the slots' ids
+        self.widths = (both + self.freed * self.w0) * live
+        self.live = live
+        self.ends = np.empty_like(self.widths)
+        end = 0
+        for k, width in enumerate(self.widths):
+            self.ends[k] = end = end + width
+
+    def interval(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begin and width of each lane's id of 2 ** TOTAL_BITS, and which lanes have it in no slot."""
+        hit = (self.slot_ids == x) & self.live
+        width = _sum(hit * self.widths)
+        begin = _sum(hit * (self.ends - self.widths))
+        rest = np.flatnonzero(width == 0)
+        y = x[rest]
+        less = _sum((self.slot_ids[:, rest] < y) * self.freed[:, rest])
+        begin[rest] = self.ends[-1, rest] + (self.cumulative[y] - less) * self.w0[rest]
+        width[rest] = self.base[y] * self.w0[rest]
+        return begin, width, rest
+
+    def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The ids at the values, with their begin, width, and the lanes that have theirs in no slot."""
+        lanes = np.arange(len(value))
+        slot = _sum((value >= self.ends).astype(np.int64))
+        rest = np.flatnonzero(slot == len(self.ends))
+        slot[rest] = 0
+        x, width = self.slot_ids[slot, lanes], self.widths[slot, lanes]
+        begin = self.ends[slot, lanes] - width
+        if len(rest):
+            inside = (value[rest] - self.ends[-1, rest]) // self.w0[rest]
+            ids, freed = self.slot_ids[:, rest], self.freed[:, rest]
+            order = np.argsort(np.where(freed > 0, ids, self.size), axis=0, kind="stable")
+            less = np.zeros(len(rest), np.int64)
+            every = np.arange(len(rest))
+            for k in order:  # slots' ids in ascending order are left out
+                less += np.where(inside + less >= self.cumulative[ids[k, every]], freed[k, every], 0)
+            y = np.minimum(np.searchsorted(self.cumulative, inside + less, side="right") - 1, self.size - 1)
+            x[rest], width[rest] = y, self.base[y] * self.w0[rest]
+            begin[rest] = self.ends[-1, rest] + (self.cumulative[y] - less) * self.w0[rest]
+        return x, begin, width, rest
+
+    def update(self, x: np.ndarray, width: np.ndarray, rest: np.ndarray) -> None:
+        n, scale = CLASSES * CLASSES, 256.0 / width
+        for had, order, p in zip(self.had, (self.order2, self.order1), (self.p2, self.p1), strict=True):
+            hit = order.ids == x
+            had += np.bincount(self.pair, np.floor(_sum(hit * p) * scale), n).astype(np.int64)
+            order.learn(x, hit)
+        self.seen += np.bincount(self.pair, minlength=n) * 256
+        self.waiting.append(x[rest])
         self.steps += 1
+        if self.steps < 32 or self.steps % 8 == 0:
+            self._weigh()
         if self.steps == self.due:
-            self.counts += 32 * np.bincount(np.concatenate(self.waiting), minlength=self.size)
+            self.counts += np.bincount(np.concatenate(self.waiting), minlength=self.size)
             self.waiting = []
             self._cumulate()
             self.due = self.steps + min(16, self.steps)
@@ -96,137 +212,82 @@ def _lanes(n: int) -> tuple[int, int]:
     return lanes, -(-n // lanes)
 
 
-class _Writer:
-    def __init__(self, lanes: int):
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, ~np.uint64(0))
-        self.lanes: list[np.ndarray] = []
-        self.words: list[np.ndarray] = []
-
-    def settle(self, own: np.ndarray | None) -> None:
-        """Puts out the leading words that are fixed."""
-        own = np.arange(len(self.low)) if own is None else own
-        while len(own):
-            low, size = self.low[own], self.range[own]
-            same = (low ^ (low + size)) < TOP
-            narrow = ~same & (size < LEAST_RANGE)
-            out = same | narrow
-            if not out.any():
-                break
-            size = np.where(narrow, (np.uint64(0) - low) & (LEAST_RANGE - np.uint64(1)), size)
-            own, low, size = own[out], low[out], size[out]
-            self.lanes.append(own.astype(np.uint16))
-            self.words.append((low >> HIGH).astype("<u2"))
-            self.low[own], self.range[own] = low << WORD, size << WORD
-
-    def finish(self) -> tuple[np.ndarray, np.ndarray]:
-        every = np.arange(len(self.low), dtype=np.uint16)
-        for k in range(4):
-            self.lanes.append(every)
-            self.words.append((self.low >> np.uint64(48 - 16 * k)).astype("<u2"))
-        lanes = np.concatenate(self.lanes)
-        order = np.argsort(lanes, kind="stable")
-        return np.bincount(lanes, minlength=len(self.low)).astype("<u4"), np.concatenate(self.words)[order]
-
-
 def encode_ids(ids: np.ndarray, vocabulary_size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words per lane, and the words of all lanes in a row."""
+    """Digits per lane, and the digits of all lanes in a row."""
     lanes, steps = _lanes(len(ids))
     grid = np.zeros(lanes * steps, np.int64)
     grid[: len(ids)] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
-    model, out = _Model(vocabulary_size), _Writer(lanes)
+    model = _Model(vocabulary_size)
+    low, size = np.zeros(lanes, np.int64), np.full(lanes, 1 << LOW_BITS + DIGIT, np.int64)
+    digits, at = np.zeros((2 * steps + 3, lanes), np.int64), np.zeros(lanes, np.int64)
     one = two = np.zeros(lanes, np.int64)
     for x in grid:
         model.predict(one, two)
-        outcome = np.where(x == model.p2, 0, np.where(x == model.p1, 1, 2))
-        step = out.range >> np.uint64(CHOICE_BITS)
-        begin = np.where(outcome == 0, np.uint64(0), np.where(outcome == 1, model.f2, model.f2 + model.f1))
-        width = np.where(outcome == 0, model.f2, np.where(outcome == 1, model.f1, np.uint64(1 << CHOICE_BITS) - model.f2 - model.f1))
-        out.low += step * begin
-        out.range = step * width
-        out.settle(None)
-        rest = np.flatnonzero(outcome == 2)
-        if len(rest):
-            y = x[rest]
-            step = out.range[rest] // model.total
-            begin = model.cumulative[y]
-            out.low[rest] += step * begin
-            out.range[rest] = step * (model.cumulative[y + 1] - begin)
-            out.settle(rest)
-        model.update(x, outcome)
+        begin, width, rest = model.interval(x)
+        step = size >> TOTAL_BITS
+        low += step * begin
+        size = step * width
+        while len(own := np.flatnonzero(size < LEAST)):
+            digits[at[own], own] = low[own] >> LOW_BITS
+            at[own] += 1
+            low[own] = (low[own] & LOW_MASK) << DIGIT
+            size[own] <<= DIGIT
+        model.update(x, width, rest)
         one, two = x, one
-    return out.finish()
-
-
-def decode_ids(n: int, sizes: np.ndarray, words: np.ndarray, vocabulary_size: int) -> np.ndarray:
+    every = np.arange(lanes)
+    for k in range(3):
+        digits[at, every] = low >> LOW_BITS
+        at += 1
+        low = (low & LOW_MASK) << DIGIT
+    for k in range(len(digits) - 1, 0, -1):
+        digits[k - 1] += digits[k] >> DIGIT
+    kept = np.arange(len(digits))[:, None] < at
+    return at.astype("<u4"), (digits & DIGIT_MASK).T[kept.T].astype("<u2")
+
+
+def decode_ids(n: int, sizes: np.ndarray, digits: np.ndarray, vocabulary_size: int) -> np.ndarray:
     """The n ids that encode_ids was given."""
     lanes, steps = _lanes(n)
-    words = np.append(words, np.zeros(4, "<u2")).astype(np.uint64)
+    digits = np.append(digits, np.zeros(4, "<u2")).astype(np.int64)
     at = np.concatenate([[0], np.cumsum(sizes[:-1], dtype=np.int64)]).astype(np.int64)
-    low, size = np.zeros(lanes, np.uint64), np.full(lanes, ~np.uint64(0))
-    code = np.zeros(lanes, np.uint64)
-    for k in range(4):
-        code = code << WORD | words[at + k]
-    at += 4
-
-    def settle(own: np.ndarray) -> None:
-        while len(own):
-            lo, sz = low[own], size[own]
-            same = (lo ^ (lo + sz)) < TOP
-            narrow = ~same & (sz < LEAST_RANGE)
-            out = same | narrow
-            if not out.any():
-                break
-            sz = np.where(narrow, (np.uint64(0) - lo) & (LEAST_RANGE - np.uint64(1)), sz)
-            own, lo, sz = own[out], lo[out], sz[out]
-            code[own] = code[own] << WORD | words[np.minimum(at[own], len(words) - 1)]
-            at[own] += 1
-            low[own], size[own] = lo << WORD, sz << WORD
-
-    model, every = _Model(vocabulary_size), np.arange(lanes)
-    grid = np.zeros((steps, lanes), np.int64)
+    code, size = np.zeros(lanes, np.int64), np.full(lanes, 1 << LOW_BITS + DIGIT, np.int64)
+    for _ in range(3):
+        code = code << DIGIT | digits[at]
+        at += 1
+    model, grid = _Model(vocabulary_size), np.zeros((steps, lanes), np.int64)
     one = two = np.zeros(lanes, np.int64)
     for t in range(steps):
         model.predict(one, two)
-        step = size >> np.uint64(CHOICE_BITS)
-        value = (code - low) // step
-        outcome = np.where(value < model.f2, 0, np.where(value < model.f2 + model.f1, 1, 2))
-        begin = np.where(outcome == 0, np.uint64(0), np.where(outcome == 1, model.f2, model.f2 + model.f1))
-        width = np.where(outcome == 0, model.f2, np.where(outcome == 1, model.f1, np.uint64(1 << CHOICE_BITS) - model.f2 - model.f1))
-        low += step * begin
-        size[:] = step * width
-        settle(every)
-        x = np.where(outcome == 0, model.p2, model.p1)
-        rest = np.flatnonzero(outcome == 2)
-        if len(rest):
-            step = size[rest] // model.total
-            value = np.minimum((code[rest] - low[rest]) // step, model.total - np.uint64(1))
-            y = np.searchsorted(model.cumulative, value, side="right") - 1
-            begin = model.cumulative[y]
-            low[rest] += step * begin
-            size[rest] = step * (model.cumulative[y + 1] - begin)
-            settle(rest)
-            x[rest] = y
-        model.update(x, outcome)
+        step = size >> TOTAL_BITS
+        value = (code.astype(np.float64) / step).astype(np.int64)  # exact: below 2 ** 48, quotients 2 ** -18 apart from the next integer
+        x, begin, width, rest = model.find(value)
+        code -= step * begin
+        size = step * width
+        while len(own := np.flatnonzero(size < LEAST)):
+            code[own] = code[own] << DIGIT | digits[at[own]]
+            at[own] += 1
+            size[own] <<= DIGIT
+        model.update(x, width, rest)
         grid[t] = x
         one, two = x, one
     return np.ascontiguousarray(grid.T).reshape(-1)[:n].astype("<u4")
 
 
-def write_block(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, vocabulary_size: int) -> bytes:
-    sizes, words = encode_ids(ids, vocabulary_size)
+def write_block(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, vocabulary_size: int, shard: int = 0, block: int = 0) -> bytes:
+    sizes, digits = encode_ids(ids, vocabulary_size)
     body = b"".join([
         np.array([d or 0 for d in doc_ids], "<i8").tobytes(), bytes(d is None for d in doc_ids),
-        np.array(lengths, "<u4").tobytes(), sizes.tobytes(), words.astype("<u2").tobytes(),
+        np.array(lengths, "<u4").tobytes(), sizes.tobytes(), digits.tobytes(),
     ])
-    return HEAD.pack(MAGIC, VERSION, len(doc_ids), len(ids), len(sizes), vocabulary_size, len(body), zlib.crc32(body)) + body
+    return HEAD.pack(MAGIC, VERSION, shard, block, len(doc_ids), len(ids), len(sizes), vocabulary_size, len(body), zlib.crc32(body)) + body
 
 
 def read_block(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """doc_ids, ids per document and all ids of a block; ValueError if it is damaged."""
     if len(data) < HEAD.size:
         raise ValueError("block is cut short")
-    magic, version, docs, n, lanes, size, length, crc = HEAD.unpack_from(data)
+    magic, version, _, _, docs, n, lanes, size, length, crc = HEAD.unpack_from(data)
     body = data[HEAD.size :]
     if magic != MAGIC or version != VERSION or len(body) != length or zlib.crc32(body) != crc:
         raise ValueError("block is damaged")
@@ -234,13 +295,28 @@ def read_block(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     null = body[8 * docs : 9 * docs]
     lengths = np.frombuffer(body, "<u4", docs, 9 * docs)
     sizes = np.frombuffer(body, "<u4", lanes, 13 * docs)
-    words = np.frombuffer(body[13 * docs + 4 * lanes :], "<u2")
-    return [None if x else d for d, x in zip(doc_ids, null, strict=True)], lengths, decode_ids(n, sizes, words, size)
+    digits = np.frombuffer(body[13 * docs + 4 * lanes :], "<u2")
+    return [None if x else d for d, x in zip(doc_ids, null, strict=True)], lengths, decode_ids(n, sizes, digits, size)
 
 
-def write_ids(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
-    """The table of blocks, in the shared folder: shard, block, n_ids, data; shards and blocks follow ascending doc_id."""
-    end = np.array([end_id], "<u4").tobytes()
+def blocks_of(content: bytes) -> Iterator[tuple[int, int, int, int, int]]:
+    """shard, block, ids, first and last byte (exclusive) of each block of a file; ValueError where none begins."""
+    at = 0
+    while at < len(content):
+        if len(content) - at < HEAD.size:
+            raise ValueError("file is cut short")
+        magic, _, shard, block, _, n, _, _, length, _ = HEAD.unpack_from(content, at)
+        end = at + HEAD.size + length
+        if magic != MAGIC or end >= len(content) or content[end : end + 1] != b"\n":
+            raise ValueError("file is damaged")
+        yield shard, block, n, at, end
+        at = end + 1
+
+
+def write_ids(docs: DataFrame, path: str, folder: str | None = None, end_id: int = 0) -> str:
+    """Writes the files of blocks to `folder`, a new one in the shared folder unless given; returns it."""
+    spark, end = docs.sparkSession, np.array([end_id], "<u4").tobytes()
+    folder = folder or f"{scratch_root(spark).rstrip('/')}/tracequarry/ids-{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, shard, block = vocabulary(path), TaskContext.get().partitionId(), 0
@@ -250,8 +326,8 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
         held = 0
 
         def flushed() -> pa.RecordBatch:
-            data = write_block(doc_ids, [len(p) // 4 for p in parts], np.frombuffer(b"".join(parts), "<u4"), size)
-            return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int32()), "n_ids": pa.array([held], pa.int64()), "data": pa.array([data], pa.binary())})
+            data = write_block(doc_ids, [len(p) // 4 for p in parts], np.frombuffer(b"".join(parts), "<u4"), size, shard, block)
+            return pa.RecordBatch.from_pydict({"data": pa.array([data], pa.binary())})
 
         for batch in batches:
             texts, keys = batch["text"].to_pylist(), batch["doc_id"].to_pylist()
@@ -266,33 +342,50 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
         if held:
             yield flushed()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.coalesce("text", F.lit("")))
-    return written(ordered.mapInArrow(run, "shard int, block int, n_ids long, data binary"), "id-blocks")
+    docs = docs.select("doc_id", "text")
+    shards = -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES)
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    # a shard for each range of doc_id: as many as the text needs, not fewer than the session's partitions
+    ordered = docs.repartitionByRange(max(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))), *order).sortWithinPartitions(*order)
+    # bytes as they are: a string column is written without recoding
+    ordered.mapInArrow(run, "data binary").select(F.col("data").cast("string")).write.option("compression", "none").text(folder)
+    return folder
 
 
-def read_ids(blocks: DataFrame, with_ids: bool = False) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 (and ids) of each document in the blocks."""
+def read_ids(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 (and ids) of each document in the folder's files."""
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch["content"]:
+                rows = [found[:3] for found in blocks_of(content.as_py())]
+                columns = list(zip(*rows, strict=True)) or [()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["shard", "block", "n_ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, block, data in zip(*(batch[c].to_pylist() for c in ("shard", "block", "data")), strict=True):
-                doc_ids, lengths, ids = read_block(data)
-                raw, ends = ids.tobytes(), np.cumsum(lengths, dtype=np.int64).tolist()
-                starts = [0, *ends[:-1]]
-                own = [raw[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)]
-                n = len(doc_ids)
-                columns = {
-                    "doc_id": pa.array(doc_ids, pa.int64()), "_shard": pa.array([shard] * n, pa.int32()), "_block": pa.array([block] * n, pa.int32()),
-                    "_start": pa.array(starts, pa.int64()), "n_tokens": pa.array(lengths.tolist(), pa.int64()), "ids_crc32": pa.array([zlib.crc32(x) for x in own], pa.int64()),
-                }
-                yield pa.RecordBatch.from_pydict(columns | ({"ids": pa.array(own, pa.binary())} if with_ids else {}))
-
-    kinds = "doc_id long, _shard int, _block int, _start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
-    found = blocks.select("shard", "block", "data").mapInArrow(run, kinds)
-    sums = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
+            for content in batch["content"]:
+                data = content.as_py()
+                for shard, block, _, a, b in blocks_of(data):
+                    doc_ids, lengths, ids = read_block(data[a:b])
+                    raw, ends = ids.tobytes(), np.cumsum(lengths, dtype=np.int64).tolist()
+                    starts = [0, *ends[:-1]]
+                    own = [raw[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)]
+                    n = len(doc_ids)
+                    columns = {
+                        "doc_id": pa.array(doc_ids, pa.int64()), "_shard": pa.array([shard] * n, pa.int64()), "_block": pa.array([block] * n, pa.int64()),
+                        "_start": pa.array(starts, pa.int64()), "n_tokens": pa.array(lengths.tolist(), pa.int64()), "ids_crc32": pa.array([zlib.crc32(x) for x in own], pa.int64()),
+                    }
+                    yield pa.RecordBatch.from_pydict(columns | ({"ids": pa.array(own, pa.binary())} if with_ids else {}))
+
+    files = spark.read.format("binaryFile").load(folder).select("content")
+    kinds = "doc_id long, _shard long, _block long, _start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
+    found = files.mapInArrow(run, kinds)
+    places = files.mapInArrow(heads, "shard long, block long, n_ids long")
+    sums = places.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     ahead = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row for each shard
     sums = sums.select("shard", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("shard_start"))
     inside = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    places = blocks.select("shard", "block", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("block_start")).join(sums, "shard")
+    places = places.select("shard", "block", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("block_start")).join(sums, "shard")
     joined = found.join(places, (F.col("_shard") == F.col("shard")) & (F.col("_block") == F.col("block")))
     return joined.select("doc_id", (F.col("shard_start") + F.col("block_start") + F.col("_start")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
