@@ -132,5 +132,5 @@ def test_empty_tables(none):
 
 
 def test_odd_rows(odd):
-    assert read_ids(write_ids(odd, P.path("byte_bpe_50k.json"))).count() == odd.count()
+    assert read_ids(odd.sparkSession, write_ids(odd, P.path("byte_bpe_50k.json"))).count() == odd.count()
     assert pack(odd, P.path("word_bpe_49k.json")).selectExpr("sum(length)").first()[0] > 0
