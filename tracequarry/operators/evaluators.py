@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import inspect
+import re
 from collections.abc import Callable
+from functools import partial
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracequarry.functions import json_text as J
+from tracequarry.functions.json_schema import check_schema, schema_result, without_fences
+
 EVALUATORS: dict[str, Callable[..., Column]] = {}
+LISTED = 10
 
 
 def evaluator(name: str):
@@ -44,35 +52,83 @@ def regex_match(output: Column, pattern: str, full: bool = False, ignore_case: b
     return _result(F.when(hit, 1.0).otherwise(0.0), hit)
 
 
+def document_key(document: Column, id_field: str = "id", normalise: bool = True) -> Column:
+    """What a document, a JSON text, is matched by: an object's id, else its text or content; a string itself."""
+    filled = lambda name: F.nullif(J.field(document, name), F.lit('""'))
+    raw = F.when(J.is_object(document), F.coalesce(J.field(document, id_field), filled("text"), filled("content"), F.lit('""'))).otherwise(document)
+    key = J.text_of(raw)
+    return F.lower(F.trim(F.regexp_replace(key, r"\s+", " "))) if normalise else key
+
+
+def retrieval_keys(inputs: Column, expected_context: Column, field: str = "retrieved_context", id_field: str = "id", normalise: bool = True) -> tuple[Column, Column, Column]:
+    """Keys of the retrieved and the relevant documents from JSON texts, and why there are none."""
+    raw = J.field(inputs, field)
+    keys = lambda c: F.transform(J.elements(c), lambda d: document_key(d, id_field, normalise))
+    error = (
+        F.when(raw.isNull(), f"item has no '{field}' field").when(~J.is_list(raw), f"'{field}' must be a list of documents")
+        .when(expected_context.isNull(), "item has no expected_context")
+    )
+    return keys(raw), keys(expected_context), error
+
+
 def _hits(retrieved: Column, relevant: Column) -> Column:
     return F.size(F.filter(retrieved, lambda x: F.array_contains(relevant, x)))
 
 
+def _none() -> Column:
+    return F.lit(None).cast("boolean")
+
+
 @evaluator("retrieval_precision")
 def retrieval_precision(retrieved: Column, relevant: Column, k: int | None = None) -> Column:
+    """The share of retrieved documents that are relevant; without retrieved ones 0 and failed, else without a verdict."""
     top = F.slice(retrieved, 1, k) if k else retrieved
     score = F.coalesce(F.try_divide(_hits(top, relevant), F.size(top)), F.lit(0.0))
-    return _result(score, score > 0)
+    return _result(score, F.when(F.size(top) == 0, False).otherwise(_none()))
 
 
 @evaluator("retrieval_recall")
 def retrieval_recall(retrieved: Column, relevant: Column, k: int | None = None) -> Column:
+    """The share of relevant documents that were retrieved, without a verdict."""
     top = F.slice(retrieved, 1, k) if k else retrieved
     found = F.size(F.filter(relevant, lambda x: F.array_contains(top, x)))
-    score = F.try_divide(found, F.size(relevant))
-    return _result(score, score > 0, F.when(F.size(relevant) == 0, F.lit("no relevant items")))
+    return _result(F.try_divide(found, F.size(relevant)), _none(), F.when(F.size(relevant) == 0, F.lit("no relevant items")))
 
 
 @evaluator("retrieval_mrr")
 def retrieval_mrr(retrieved: Column, relevant: Column, k: int | None = None) -> Column:
+    """One over the rank of the first relevant document; without one 0 and failed, else without a verdict."""
     top = F.slice(retrieved, 1, k) if k else retrieved
     rank = F.array_position(F.transform(top, lambda x: F.array_contains(relevant, x)), True)
-    score = F.when(rank > 0, 1.0 / rank).otherwise(0.0)
-    return _result(score, score > 0)
+    return _result(F.when(rank > 0, 1.0 / rank).otherwise(0.0), F.when(rank > 0, _none()).otherwise(False))
+
+
+def missed(retrieved: Column, relevant: Column) -> Column:
+    """The relevant documents that were not retrieved, LISTED at most."""
+    return F.slice(F.filter(relevant, lambda x: ~F.array_contains(retrieved, x)), 1, LISTED)
+
+
+def retrieval_scores(retrieved: DataFrame, documents: DataFrame, k: int) -> DataFrame:
+    """query_id, precision, recall, mrr of retrieved (query_id, group, rank from 1, key) where a query's relevant documents
+    are all documents (key, group) of its group: counted and joined, so a group may be of any size."""
+    sizes = documents.groupBy("group").agg(F.count("*").alias("n_relevant"))
+    got = retrieved.where(F.col("rank") <= k).join(documents.select("key", F.col("group").alias("_g")), "key", "left")
+    hit = F.col("_g") == F.col("group")
+    out = got.groupBy("query_id", "group").agg(F.count_if(hit).alias("hits"), F.count("*").alias("n"), F.min(F.when(hit, F.col("rank"))).alias("first"))
+    out = out.join(sizes, "group", "left")
+    return out.select("query_id", (F.col("hits") / F.col("n")).alias("precision"), F.try_divide("hits", "n_relevant").alias("recall"), F.coalesce(F.try_divide(F.lit(1), "first"), F.lit(0.0)).alias("mrr"))
+
+
+@evaluator("json_schema")
+def json_schema(output: Column, schema: dict[str, Any], strip_code_fences: bool = False) -> Column:
+    """1 for JSON that fits the schema, else 0; what is no JSON is a failure, not a gap."""
+    found = schema_result(without_fences(output) if strip_code_fences else output, schema)
+    return _result(F.when(found["valid"], 1.0).otherwise(0.0), found["valid"])
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """0 if either vector is zero."""
+    """0 if either vector is zero; an error for vectors of unlike length."""
+    a = F.when(F.size(a) == F.size(b), a).when(a.isNotNull() & b.isNotNull(), F.raise_error(F.lit("vectors differ in length")).cast("array<double>"))
     d = lambda v: F.transform(v, lambda x: x.cast("double"))
     dot = lambda x, y: F.aggregate(F.zip_with(d(x), d(y), lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
     return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
@@ -87,11 +143,49 @@ def embedding_similarity(output: Column, expected: Column, threshold: float = 0.
 @evaluator("llm_judge")
 def judge_score(reply: Column, threshold: float = 0.75) -> Column:
     """From a judge's JSON reply {"score": 1..5, "reasoning"}: clamped and put on 0..1; a reply without it is unscoreable."""
-    raw = F.try_variant_get(F.try_parse_json(reply), "$.score", "double")
-    score = (F.greatest(F.lit(1.0), F.least(F.lit(5.0), raw)) - 1) / 4
+    raw = F.try_variant_get(F.try_parse_json(reply), "$.score", "double").cast("int")
+    score = (F.greatest(F.lit(1), F.least(F.lit(5), raw)) - 1) / 4.0
     return _result(score, score >= threshold, F.when(raw.isNull(), F.lit("reply has no score")))
 
 
+def passages(context: Column) -> Column:
+    """A context, a JSON text, as a rubric shows it: lists numbered from 1, strings as they are, null empty."""
+    listed = F.transform(J.elements(context), lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), F.when(J.is_string(x), J.text_of(x)).otherwise(x)))
+    return F.when(context.isNull() | (context == "null"), "").when(J.is_string(context), J.text_of(context)).when(J.is_list(context), F.array_join(listed, "\n\n")).otherwise(context)
+
+
+def judge_variables(inputs: Column, output: Column, expected_output: Column, expected_context: Column, context_field: str = "context") -> Column:
+    """The variables of a rubric as a JSON object: the item's fields, then output, expected_output, inputs and context."""
+    own = ["output", "expected_output", "inputs", "context"]
+    context = F.coalesce(J.field(inputs, context_field), expected_context)
+    fields = F.filter(F.map_entries(F.transform_values(F.from_json(inputs, "map<string,variant>"), lambda k, v: F.to_json(v))), lambda e: ~e["key"].isin(own))
+    values = [output, F.coalesce(expected_output, F.lit("")), inputs, passages(context)]
+    more = F.array(*[F.struct(F.lit(k).alias("key"), F.coalesce(J.quoted(v), F.lit('""')).alias("value")) for k, v in zip(own, values, strict=True)])
+    return J.object_of(F.concat(fields, more))
+
+
+def build(name: str, **config: Any) -> Callable[..., Column]:
+    """The evaluator with its settings; ValueError for names or settings that do not exist."""
+    if name not in EVALUATORS:
+        raise ValueError(f"unknown evaluator {name!r}; one of {', '.join(sorted(EVALUATORS))}")
+    known = inspect.signature(EVALUATORS[name]).parameters
+    if wrong := set(config) - set(known):
+        raise ValueError(f"{name} has no setting {', '.join(sorted(wrong))}")
+    if "schema" in config:
+        check_schema(config["schema"])
+    if "pattern" in config:
+        re.compile(config["pattern"])
+    return partial(EVALUATORS[name], **config)
+
+
+def build_all(specs: list[tuple[str, dict[str, Any]]]) -> dict[str, Callable[..., Column]]:
+    """At least one evaluator, each name once."""
+    names = [n for n, _ in specs]
+    if not names or len(set(names)) < len(names):
+        raise ValueError("evaluators must be given, each once")
+    return {n: build(n, **c) for n, c in specs}
+
+
 def unpivot_scores(df: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     """Wide evaluator columns as rows (keys, evaluator, score, passed, error)."""
     rows = F.explode(F.array(*[F.struct(F.lit(n).alias("evaluator"), F.col(n)["score"].alias("score"), F.col(n)["passed"].alias("passed"), F.col(n)["error"].alias("error")) for n in names]))
@@ -99,10 +193,10 @@ def unpivot_scores(df: DataFrame, keys: list[str], names: list[str]) -> DataFram
 
 
 def aggregates(scores: DataFrame, by: list[str]) -> DataFrame:
-    """Per evaluator: scored rows, mean, least, greatest, unscoreable rows."""
+    """Per evaluator: scored rows, mean, least, greatest, the share passed of those with a verdict, unscoreable rows."""
     return scores.groupBy(*by).agg(
         F.count("score").alias("scored"), F.round(F.avg("score"), 6).alias("mean"), F.min("score").alias("min"), F.max("score").alias("max"),
-        (F.count("*") - F.count("score")).alias("unscoreable"),
+        F.round(F.try_divide(F.count_if("passed"), F.count("passed")), 6).alias("pass_rate"), (F.count("*") - F.count("score")).alias("unscoreable"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Pattern and severity by kind of personal data or credential.
+#: Pattern and severity by kind of personal data or credential; the prefixes belong to the patterns.
 PII = {
     "email": (r"\b[\w.+-]+@[\w-]+\.[\w.]{2,}\b", 0.4),
     "credit_card": (r"\b(?:\d[ -]*?){13,19}\b", 0.9),
@@ -70,11 +70,18 @@ def grounding_severity(text: Column, context: Column) -> Column:
     return F.when(n > 0, F.round(F.least(F.lit(0.8), 0.3 + 0.15 * n), 6))
 
 
-def findings(text: Column, context: Column) -> Column:
-    """Findings (check, severity), worst first; equal ones in the order personal data, grounding, toxicity."""
-    rows = [("pii", pii_finding(text)["severity"]), ("grounding", grounding_severity(text, context)), ("toxicity", toxicity_severity(text))]
-    made = F.array_compact(F.array(*[F.when(s.isNotNull(), F.struct((-s).alias("key"), F.lit(i).alias("ordinal"), F.lit(n).alias("check"), s.alias("severity"))) for i, (n, s) in enumerate(rows)]))
-    return F.transform(F.array_sort(made), lambda f: F.struct(f["check"].alias("check"), f["severity"].alias("severity")))
+CHECKS = ("pii", "grounding", "toxicity")
+
+
+def findings(text: Column, context: Column, enabled: dict[str, Column] | None = None) -> Column:
+    """Findings (check, severity), worst first; equal ones in the order of CHECKS. enabled: conditions by check, all if None."""
+    severities = {"pii": pii_finding(text)["severity"], "grounding": grounding_severity(text, context), "toxicity": toxicity_severity(text)}
+    made = []
+    for i, name in enumerate(CHECKS):
+        s = severities[name]
+        on = F.lit(True) if enabled is None else enabled.get(name, F.lit(False))
+        made.append(F.when(on & s.isNotNull(), F.struct((-s).alias("key"), F.lit(i).alias("ordinal"), F.lit(name).alias("check"), s.alias("severity"))))
+    return F.transform(F.array_sort(F.array_compact(F.array(*made))), lambda f: F.struct(f["check"].alias("check"), f["severity"].alias("severity")))
 
 
 def worst(found: Column) -> Column:

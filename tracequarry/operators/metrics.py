@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tenancy import small
+
 BUCKETS = {"1m": "1 minute", "5m": "5 minutes", "15m": "15 minutes", "1h": "1 hour", "1d": "1 day"}
-#: Window name: its length in seconds and its bucket.
+#: Window name, its length in seconds and its bucket.
 WINDOWS = {"15m": (900, "1m"), "1h": (3600, "1m"), "6h": (21_600, "5m"), "24h": (86_400, "15m"), "7d": (604_800, "1h"), "30d": (2_592_000, "1d")}
+LATENCIES = (50, 95, 99)
 METRICS = ("error_rate", "p95_latency_ms", "p99_latency_ms", "total_cost_usd", "trace_count")
 
 
+def window(name: str, now: datetime) -> tuple[datetime, str]:
+    """Begin and bucket of a named window that ends now."""
+    if name not in WINDOWS:
+        raise ValueError(f"unknown window {name!r}; one of {', '.join(WINDOWS)}")
+    seconds, bucket = WINDOWS[name]
+    return now - timedelta(seconds=seconds), bucket
+
+
 def in_range(df: DataFrame, since: datetime | None = None, until: datetime | None = None, **equal: str | None) -> DataFrame:
     """Rows with since <= started_at <= until and the given column values; conditions that are None do not apply."""
     if since is not None:
@@ -38,21 +50,36 @@ def _measures(latencies: bool = True) -> list[Column]:
         F.round(F.coalesce(F.try_divide(F.count_if(F.col("status") == "error"), F.count("*")), F.lit(0.0)), 6).alias("error_rate"),
     ]
     if latencies:
-        out += [F.round(F.percentile("duration_ms", p / 100), 6).alias(f"p{p}_ms") for p in (50, 95, 99)]
+        out.append(F.percentile("duration_ms", F.array(*[F.lit(p / 100) for p in LATENCIES])).alias("_latencies"))
     return out
 
 
-def _money() -> list[Column]:
-    return [F.coalesce(F.sum("cost_usd"), F.lit(0)).cast("double").alias("cost_usd"), F.coalesce(F.sum("prompt_tokens"), F.lit(0)).alias("prompt_tokens")]
+def _spread(df: DataFrame) -> DataFrame:
+    """The percentiles, taken at once, as columns."""
+    return df.withColumns({f"p{p}_ms": F.round(F.get("_latencies", F.lit(i)), 6) for i, p in enumerate(LATENCIES)}).drop("_latencies")
+
+
+def _money(columns: list[str]) -> list[Column]:
+    tokens = [c for c in ("prompt_tokens", "completion_tokens") if c in columns]
+    return [F.coalesce(F.sum("cost_usd"), F.lit(0)).cast("double").alias("cost_usd"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in tokens]]
 
 
 def span_summary(spans: DataFrame, by: list[str] | None = None) -> DataFrame:
-    return spans.groupBy(*(by or [])).agg(*_measures(), F.countDistinct("trace_id").alias("trace_count"), *_money())
+    """Measures and the number of traces. Traces are counted apart: with a distinct count in it, the aggregation would build
+    the percentiles' buffers for each trace."""
+    by = by or []
+    measures = _spread(spans.groupBy(*by).agg(*_measures(), *_money(spans.columns)))
+    traces = spans.select(*by, "trace_id").where("trace_id is not null").distinct().groupBy(*by).agg(F.count("*").alias("trace_count"))
+    if not by:
+        return measures.crossJoin(traces)  # one row each
+    same = [measures[c].eqNullSafe(traces[c]) for c in by]
+    out = measures.join(traces, reduce(lambda a, b: a & b, same), "left")
+    return out.select(*[measures[c] for c in measures.columns], F.coalesce("trace_count", F.lit(0).cast("long")).alias("trace_count"))
 
 
 def span_timeseries(spans: DataFrame, bucket: str, by: list[str] | None = None, money: bool = True) -> DataFrame:
     """Measures of each bucket that has spans."""
-    return spans.groupBy(*(by or []), bucketed(F.col("started_at"), bucket).alias("bucket")).agg(*_measures(), *(_money() if money else []))
+    return _spread(spans.groupBy(*(by or []), bucketed(F.col("started_at"), bucket).alias("bucket")).agg(*_measures(), *(_money(spans.columns) if money else [])))
 
 
 def breakdown(spans: DataFrame, dimension: str, limit: int = 20) -> DataFrame:
@@ -60,7 +87,7 @@ def breakdown(spans: DataFrame, dimension: str, limit: int = 20) -> DataFrame:
     if dimension not in ("model", "kind"):
         raise ValueError(f"no breakdown by {dimension!r}")
     p95 = F.round(F.percentile("duration_ms", 0.95), 6).alias("p95_ms")
-    out = spans.where(F.col(dimension).isNotNull()).groupBy(dimension).agg(*_measures(latencies=False), p95, *_money()[:1])
+    out = spans.where(F.col(dimension).isNotNull()).groupBy(dimension).agg(*_measures(latencies=False), p95, *_money([]))
     return out.orderBy(F.desc("span_count"), dimension).limit(limit)
 
 
@@ -71,26 +98,34 @@ def trace_timeseries(traces: DataFrame, bucket: str, by: list[str] | None = None
         errors.alias("error_count"),
         F.round(F.coalesce(F.try_divide(errors, F.count("*")), F.lit(0.0)), 6).alias("error_rate"),
         F.round(F.percentile("duration_ms", 0.95), 6).alias("p95_ms"),
+        *([F.coalesce(F.sum("cost_usd"), F.lit(0)).cast("double").alias("cost_usd")] if "cost_usd" in traces.columns else []),
     )
 
 
+def total_cost(spans: DataFrame, by: list[str] | None = None, since: datetime | None = None) -> DataFrame:
+    """The sum of costs, null where no span has one."""
+    return in_range(spans, since).groupBy(*(by or [])).agg(F.sum("cost_usd").cast("double").alias("total_cost_usd"))
+
+
 def alert_values(traces: DataFrame, rules: DataFrame, now: datetime) -> DataFrame:
     """rules (rule, project_id, metric, window_seconds) with sample_size and value over each trailing window.
 
-    Traces are cut to the longest window, then joined with the rules of their project, a small table of settings; values
-    over no traces are null, except counts."""
-    longest = rules.agg(F.max("window_seconds").alias("_longest"))
+    The longest window is a filter of the scan. Measures are taken once for each project and window length, with partial
+    aggregation, and joined to the rules after; values over no traces are null, except counts and costs."""
+    longest = rules.agg(F.max("window_seconds")).first()[0] or 0
     ended = F.lit(now).cast("timestamp_ntz")
-    age = F.timestamp_diff("SECOND", F.col("started_at"), ended)
-    recent = traces.where(F.col("started_at") <= ended).withColumn("_age", age).join(longest, F.col("_age") <= F.col("_longest")).drop("_longest")
-    hit = rules.join(recent.select("project_id", "_age", "status", "duration_ms", "cost_usd"), "project_id", "left")
-    inside = F.col("_age") <= F.col("window_seconds")
-    n = F.count_if(inside)
+    recent = traces.where((F.col("started_at") <= ended) & (F.col("started_at") >= F.lit(now - timedelta(seconds=longest)).cast("timestamp_ntz")))
+    lengths = rules.select("project_id", "window_seconds").distinct()
+    begin = ended - F.make_dt_interval(secs=F.col("window_seconds"))
+    hit = recent.select("project_id", "started_at", "status", "duration_ms", "cost_usd").join(small(lengths), "project_id").where(F.col("started_at") >= begin)
+    measured = hit.groupBy("project_id", "window_seconds").agg(
+        F.count("*").alias("n"), F.count_if(F.col("status") == "error").alias("errors"), F.percentile("duration_ms", F.array(F.lit(0.95), F.lit(0.99))).alias("p"), F.sum("cost_usd").alias("cost"),
+    )
+    n = F.coalesce("n", F.lit(0).cast("long"))
     value = (
-        F.when(F.col("metric") == "error_rate", F.try_divide(F.count_if(inside & (F.col("status") == "error")), n))
-        .when(F.col("metric") == "p95_latency_ms", F.percentile(F.when(inside, F.col("duration_ms")), 0.95))
-        .when(F.col("metric") == "p99_latency_ms", F.percentile(F.when(inside, F.col("duration_ms")), 0.99))
-        .when(F.col("metric") == "total_cost_usd", F.coalesce(F.sum(F.when(inside, F.col("cost_usd"))).cast("double"), F.lit(0.0)))
+        F.when(F.col("metric") == "error_rate", F.try_divide("errors", "n")).when(F.col("metric") == "p95_latency_ms", F.get("p", F.lit(0)))
+        .when(F.col("metric") == "p99_latency_ms", F.get("p", F.lit(1))).when(F.col("metric") == "total_cost_usd", F.coalesce(F.col("cost").cast("double"), F.lit(0.0)))
         .when(F.col("metric") == "trace_count", n.cast("double"))
-    )
-    return hit.groupBy("rule", "project_id", "metric", "window_seconds").agg(n.alias("sample_size"), F.round(value, 6).alias("value"))
+    )
+    joined = rules.join(measured, ["project_id", "window_seconds"], "left")
+    return joined.select("rule", "project_id", "metric", "window_seconds", n.alias("sample_size"), F.round(value, 6).alias("value"))

@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from tracequarry.operators import alerts, comparison, evaluators, guardrails, metrics, registry, review, traces
 from tracequarry.sources import fixtures
 
-from .oracle import ORACLE_SQL
+from . import platform
+from .oracle import ORACLE_SQL as RELATIONAL_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
+QUERIES: dict[str, Query] = dict(platform.QUERIES)
+ORACLE_SQL: dict[str, str] = RELATIONAL_SQL | platform.ORACLE_SQL
 NOW = datetime(2024, 1, 31)
 
 
@@ -84,7 +86,7 @@ def ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def trace_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rollup(spark, sf_dir).withColumn("cost_usd", F.col("cost_usd").cast("double"))
+    return _rollup(spark, sf_dir).withColumn("cost_usd", F.col("cost_usd").cast("double")).drop("metadata")
 
 
 @query
@@ -99,12 +101,12 @@ def trace_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def total_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.spans(spark, sf_dir).agg(F.sum("cost_usd").cast("double").alias("total_cost_usd"))
+    return metrics.total_cost(fixtures.spans(spark, sf_dir), since=datetime(1994, 6, 1))
 
 
 @query
 def trace_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.spans(spark, sf_dir).groupBy("trace_id").agg(F.sum("cost_usd").cast("double").alias("cost_usd"))
+    return metrics.total_cost(fixtures.spans(spark, sf_dir), ["trace_id"]).withColumnRenamed("total_cost_usd", "cost_usd")
 
 
 def _rules(spark: SparkSession) -> DataFrame:
@@ -182,10 +184,11 @@ def review_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def review_promote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All labelled items that are not promoted yet, after the skipped ones as the dataset's items so far."""
     items = fixtures.review_items(spark, sf_dir).withColumn("corrected_output", F.concat(F.lit("corrected: "), "output"))
-    existing = items.where("status = 'pending'").select(F.col("doc_id").alias("item_index"), "trace_id", F.col("output").alias("expected_output"))
-    out = review.promote(items, existing)
-    return out.select("part", "idx", "trace_id", F.md5("expected_output").alias("expected_md5"))
+    skipped = items.where("status = 'skipped'").select("trace_id", F.col("doc_id").cast("long").alias("item_index"), F.col("output").alias("expected_output"), F.lit("{}").alias("metadata"))
+    selected = items.where("status = 'labeled' and promoted_at is null and output is not null")
+    return review.promote(items, selected, skipped).select("part", "item_index", "trace_id", F.md5("expected_output").alias("expected_md5"), "metadata")
 
 
 @query
@@ -202,9 +205,8 @@ def eval_regex_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def eval_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = fixtures.retrievals(spark, sf_dir)
-    got, rel = F.col("retrieved"), F.col("relevant")
-    return r.select("vec_id", *[F.round(f(got, rel, 5)["score"], 6).alias(n) for n, f in (("precision", evaluators.retrieval_precision), ("recall", evaluators.retrieval_recall), ("mrr", evaluators.retrieval_mrr))])
+    out = evaluators.retrieval_scores(*fixtures.retrievals(spark, sf_dir), k=5)
+    return out.select(F.col("query_id").alias("vec_id"), *[F.round(n, 6).alias(n) for n in ("precision", "recall", "mrr")])
 
 
 @query
@@ -236,7 +238,7 @@ def compare_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def compare_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comparison.compare_examples(comparison.compare_scores(*_sides(spark, sf_dir)))
+    return comparison.compare_examples(*_sides(spark, sf_dir)).select("dataset_item_id", "verdict")
 
 
 @query

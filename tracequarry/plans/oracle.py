@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from tracequarry.operators import guardrails
+
 SPANS = """spans AS (
 SELECT 'p' || CAST(o.o_custkey % 3 AS VARCHAR) AS project_id, md5('t' || CAST(l.l_orderkey AS VARCHAR)) AS trace_id,
   substr(md5('s' || CAST(l.l_orderkey AS VARCHAR) || '-' || CAST(l.l_linenumber AS VARCHAR)),1,16) AS span_id,
   CASE WHEN l.l_linenumber = 1 THEN NULL ELSE substr(md5('s' || CAST(l.l_orderkey AS VARCHAR) || '-' || CAST(CAST(floor(l.l_linenumber/2) AS BIGINT) AS VARCHAR)),1,16) END AS parent_span_id,
   CASE l.l_linenumber WHEN 1 THEN 'chain' WHEN 2 THEN 'retrieval' WHEN 3 THEN 'llm' WHEN 4 THEN 'rerank' WHEN 5 THEN 'tool' WHEN 6 THEN 'embedding' ELSE 'other' END AS kind,
   CASE WHEN l.l_returnflag='R' AND l.l_linenumber > 3 THEN 'error' ELSE 'ok' END AS status,
-  o.o_orderdate AS started_at, CAST(CAST(round(l.l_extendedprice*100) AS BIGINT) % 5000 AS INT) AS duration_ms,
+  o.o_orderdate AS started_at, o.o_orderdate + INTERVAL 1 MILLISECOND * (CAST(round(l.l_extendedprice*100) AS BIGINT) % 5000) AS ended_at, CAST(CAST(round(l.l_extendedprice*100) AS BIGINT) % 5000 AS INT) AS duration_ms,
   CASE WHEN l.l_linenumber = 3 THEN 'model-' || CAST(l.l_suppkey % 4 AS VARCHAR) END AS model,
   CASE WHEN l.l_linenumber = 3 THEN CAST(l.l_quantity AS INT) END AS prompt_tokens,
+  CASE WHEN l.l_linenumber = 3 THEN CAST(l.l_quantity AS INT) * 2 END AS completion_tokens,
   CASE WHEN l.l_linenumber = 3 THEN CAST(CAST(CAST(round(l.l_extendedprice*100) AS BIGINT) AS DECIMAL(18,0)) * CAST(0.000001 AS DECIMAL(6,6)) AS DECIMAL(12,6)) END AS cost_usd
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey)"""
 DEDUPED = (
@@ -21,10 +24,10 @@ DEDUPED = (
 ROLLUP = (
     DEDUPED
     + """, roots AS (SELECT *, row_number() OVER (PARTITION BY project_id, trace_id ORDER BY started_at, span_id) AS rn FROM deduped WHERE parent_span_id IS NULL),
-traces AS (SELECT d.project_id, d.trace_id, min(d.started_at) AS started_at, count(*) AS span_count, count(*) FILTER (d.status = 'error') AS error_count,
-  coalesce(sum(d.prompt_tokens), 0)::BIGINT AS prompt_tokens, sum(d.cost_usd)::DOUBLE AS cost_usd, any_value(r.span_id) AS root_span_id,
+traces AS (SELECT d.project_id, d.trace_id, min(d.started_at) AS started_at, max(d.ended_at) AS ended_at, count(*) AS span_count, count(*) FILTER (d.status = 'error') AS error_count,
+  coalesce(sum(d.prompt_tokens), 0)::BIGINT AS prompt_tokens, coalesce(sum(d.completion_tokens), 0)::BIGINT AS completion_tokens, sum(d.cost_usd) AS cost_usd, any_value(r.span_id) AS root_span_id,
   coalesce(any_value(r.kind), '(root pending)') AS name,
-  coalesce(any_value(r.duration_ms)::BIGINT, date_diff('millisecond', min(d.started_at), max(d.started_at))) AS duration_ms,
+  coalesce(any_value(r.duration_ms)::BIGINT, date_diff('millisecond', min(d.started_at), max(d.ended_at))) AS duration_ms,
   CASE WHEN count(*) FILTER (d.status = 'error') > 0 THEN 'error' ELSE 'ok' END AS status
 FROM deduped d LEFT JOIN roots r ON r.rn = 1 AND r.project_id = d.project_id AND r.trace_id = d.trace_id GROUP BY 1, 2)"""
 )
@@ -42,7 +45,7 @@ RULES = """rules AS (SELECT m.metric || '-' || p.project_id || '-' || CAST(w.win
   (VALUES ('error_rate', 0.2::DOUBLE), ('p95_latency_ms', 3000), ('p99_latency_ms', 5000), ('total_cost_usd', 50), ('trace_count', 5)) m(metric, threshold),
   (VALUES ('p0'), ('p1'), ('p2')) p(project_id), (VALUES (3600), (604800)) w(window_seconds)),
 hits AS (SELECT r.rule, r.metric, r.threshold, r.project_id, t.* EXCLUDE project_id FROM rules r LEFT JOIN etraces t ON t.project_id = r.project_id
-  AND t.started_at <= TIMESTAMP '2024-01-31' AND date_diff('microsecond', t.started_at, TIMESTAMP '2024-01-31') // 1000000 <= r.window_seconds),
+  AND t.started_at <= TIMESTAMP '2024-01-31' AND t.started_at >= TIMESTAMP '2024-01-31' - r.window_seconds * INTERVAL 1 SECOND),
 vals AS (SELECT rule, metric, threshold, project_id, count(trace_id) AS sample_size, round(CASE metric
   WHEN 'error_rate' THEN CASE WHEN count(trace_id) > 0 THEN count(*) FILTER (status = 'error') / count(trace_id) END
   WHEN 'p95_latency_ms' THEN quantile_cont(duration_ms::DOUBLE, 0.95) WHEN 'p99_latency_ms' THEN quantile_cont(duration_ms::DOUBLE, 0.99)
@@ -53,7 +56,8 @@ FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn =
 SCORES = (
     RESULTS
     + """, scores AS (SELECT r.run_id, i.dataset_item_id, e.evaluator, CASE WHEN (i.dataset_item_id + e.k) % 13 = 0 THEN NULL
-  ELSE CAST((i.dataset_item_id*7 + e.k*3 + r.off*(i.dataset_item_id % 4)) % 11 AS DOUBLE)/10 END AS score
+  ELSE CAST((i.dataset_item_id*7 + e.k*3 + r.off*(i.dataset_item_id % 4)) % 11 AS DOUBLE)/10 END AS score,
+  CASE WHEN e.k < 3 AND (i.dataset_item_id + e.k) % 13 <> 0 THEN (i.dataset_item_id*7 + e.k*3 + r.off*(i.dataset_item_id % 4)) % 11 >= 5 END AS passed
 FROM results i, (VALUES ('A', 0), ('B', 1)) r(run_id, off), (VALUES ('exact_match', 1), ('regex_match', 2), ('retrieval_recall', 3)) e(evaluator, k)
 WHERE NOT (r.run_id='A' AND i.dataset_item_id % 17 = 0) AND NOT (r.run_id='B' AND i.dataset_item_id % 19 = 0))"""
 )
@@ -65,19 +69,20 @@ COMPARED = (
   SELECT coalesce(a.dataset_item_id, b.dataset_item_id) AS dataset_item_id, coalesce(a.evaluator, b.evaluator) AS evaluator, a.score AS baseline, b.score AS candidate
   FROM (SELECT * FROM scores WHERE run_id = 'A') a FULL OUTER JOIN (SELECT * FROM scores WHERE run_id = 'B') b ON a.dataset_item_id = b.dataset_item_id AND a.evaluator = b.evaluator))"""
 )
-TERMS = "['disgusting', 'dumbass', 'hate you', 'idiot', 'kill yourself', 'moron', 'pathetic', 'shut up', 'stupid', 'worthless']"
+TERMS = str(guardrails.TOXIC_TERMS)
 TOXIC = f"""toxic AS (SELECT *, list_filter({TERMS}, lambda x: contains(lower(text), x)) AS terms FROM documents)"""
 ITEMS = """items AS (SELECT d.doc_id, md5('t' || CAST(d.doc_id AS VARCHAR)) AS trace_id, d.text AS output,
   CASE WHEN l.doc_id IS NULL THEN 'pending' WHEN d.doc_id % 11 = 0 THEN 'skipped' ELSE 'labeled' END AS status,
   CASE WHEN lower(d.text) LIKE '%idiot%' OR lower(d.text) LIKE '%stupid%' OR lower(d.text) LIKE '%worthless%' THEN 'flagged' ELSE 'control' END AS sampled_as,
-  CASE WHEN l.doc_id IS NULL OR d.doc_id % 11 = 0 THEN NULL WHEN l.toxic = 1 OR l.quality = 0 THEN 'bad' ELSE 'good' END AS verdict
+  CASE WHEN l.doc_id IS NULL OR d.doc_id % 11 = 0 THEN NULL WHEN l.toxic = 1 OR l.quality = 0 THEN 'bad' ELSE 'good' END AS verdict,
+  CASE WHEN l.doc_id IS NOT NULL AND d.doc_id % 11 <> 0 AND d.doc_id % 13 = 0 THEN TIMESTAMP '2024-01-15' END AS promoted_at
 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
 VERSIONS = """versions AS (SELECT p_brand AS prompt_slug, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INT) AS version, p_partkey AS version_id, sha256(p_name) AS content_hash FROM part),
 tops AS (SELECT prompt_slug, max(version) AS m, count(*) AS n FROM versions GROUP BY 1),
 labelled AS (SELECT prompt_slug, 'production' AS label, greatest(1, m - 1) AS version FROM tops UNION ALL SELECT prompt_slug, 'staging', m FROM tops)"""
 MEASURES = """count(*) AS span_count, count(*) FILTER (status = 'error') AS error_count, round(count(*) FILTER (status = 'error') / count(*), 6) AS error_rate"""
 LATENCIES = ", ".join(f"round(quantile_cont(duration_ms::DOUBLE, {p / 100}), 6) AS p{p}_ms" for p in (50, 95, 99))
-MONEY = "coalesce(sum(cost_usd), 0)::DOUBLE AS cost_usd, coalesce(sum(prompt_tokens), 0)::BIGINT AS prompt_tokens"
+MONEY = "coalesce(sum(cost_usd), 0)::DOUBLE AS cost_usd, coalesce(sum(prompt_tokens), 0)::BIGINT AS prompt_tokens, coalesce(sum(completion_tokens), 0)::BIGINT AS completion_tokens"
 BUCKET = "cast('0x' || substr(sha256({}), 1, 16) AS UBIGINT)::DOUBLE / pow(2, 64)"
 
 
@@ -98,11 +103,11 @@ WHERE started_at BETWEEN TIMESTAMP '1994-01-01' AND TIMESTAMP '1996-12-31' AND k
     "ingest_report": f"""WITH {SPANS}, fresh AS (SELECT started_at, span_id, project_id, trace_id FROM (SELECT *, row_number() OVER (PARTITION BY started_at, span_id ORDER BY duration_ms) AS rn FROM spans) WHERE rn = 1)
 SELECT s.project_id, s.received, f.accepted, s.received - f.accepted AS duplicates, f.traces_touched FROM (SELECT project_id, count(*) AS received FROM spans GROUP BY 1) s
 JOIN (SELECT project_id, count(*) AS accepted, count(DISTINCT trace_id) AS traces_touched FROM fresh GROUP BY 1) f USING (project_id)""",
-    "trace_rollup": f"WITH {ROLLUP} SELECT * FROM traces",
+    "trace_rollup": f"WITH {ROLLUP} SELECT * REPLACE (cost_usd::DOUBLE AS cost_usd) FROM traces",
     "trace_timeseries": f"""WITH {ROLLUP} SELECT time_bucket(INTERVAL 1 DAY, started_at) AS bucket, count(*) AS trace_count, count(*) FILTER (status = 'error') AS error_count,
-round(count(*) FILTER (status = 'error') / count(*), 6) AS error_rate, round(quantile_cont(duration_ms::DOUBLE, 0.95), 6) AS p95_ms FROM traces GROUP BY 1""",
+round(count(*) FILTER (status = 'error') / count(*), 6) AS error_rate, round(quantile_cont(duration_ms::DOUBLE, 0.95), 6) AS p95_ms, coalesce(sum(cost_usd), 0)::DOUBLE AS cost_usd FROM traces GROUP BY 1""",
     "trace_list": f"WITH {ROLLUP} SELECT trace_id, started_at, span_count, status FROM traces WHERE status = 'error' ORDER BY started_at DESC, trace_id LIMIT 200",
-    "total_cost": f"WITH {SPANS} SELECT sum(cost_usd)::DOUBLE AS total_cost_usd FROM spans",
+    "total_cost": f"WITH {SPANS} SELECT sum(cost_usd)::DOUBLE AS total_cost_usd FROM spans WHERE started_at >= TIMESTAMP '1994-06-01'",
     "trace_cost": f"WITH {SPANS} SELECT trace_id, sum(cost_usd)::DOUBLE AS cost_usd FROM spans GROUP BY 1",
     "alert_metric_values": f"WITH {ETRACES}, {RULES} SELECT rule, sample_size, value FROM vals",
     "alert_fire_decision": f"""WITH {ETRACES}, {RULES} SELECT rule, CASE WHEN project_id = 'p2' THEN 'cooldown' WHEN sample_size < 3 OR value IS NULL THEN 'too_few'
@@ -113,25 +118,28 @@ WHEN CASE WHEN metric = 'trace_count' THEN value < threshold ELSE value > thresh
     "guardrail_toxicity": f"WITH {TOXIC} SELECT doc_id, array_to_string(terms, ',') AS terms, least(1.0, 0.5 + 0.25 * (len(terms) - 1))::DOUBLE AS severity FROM toxic WHERE len(terms) > 0",
     "review_queue": f"WITH {TOXIC}, {ITEMS} SELECT i.doc_id, CASE WHEN len(t.terms) > 0 THEN least(1.0, 0.5 + 0.25 * (len(t.terms) - 1)) ELSE 0 END::DOUBLE AS severity, i.sampled_as FROM items i JOIN toxic t USING (doc_id) WHERE i.status = 'pending'",
     "review_stats": f"""WITH {ITEMS}, s AS (SELECT count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'labeled') AS labeled, count(*) FILTER (status = 'skipped') AS skipped,
-count(*) FILTER (sampled_as = 'control' AND verdict IS NOT NULL AND status = 'labeled') AS control_reviewed, count(*) FILTER (sampled_as = 'control' AND verdict = 'bad') AS control_missed FROM items)
+count(promoted_at) AS promoted,
+count(*) FILTER (sampled_as = 'control' AND status = 'labeled') AS control_reviewed, count(*) FILTER (sampled_as = 'control' AND verdict = 'bad') AS control_missed FROM items)
 SELECT *, round(CASE WHEN control_reviewed > 0 THEN control_missed / control_reviewed END, 6) AS estimated_miss_rate FROM s""",
-    "review_promote": f"""WITH {ITEMS} SELECT 0 AS part, doc_id AS idx, trace_id, md5(output) AS expected_md5 FROM items WHERE status = 'pending'
-UNION ALL SELECT 1, doc_id, trace_id, md5(CASE WHEN verdict = 'bad' THEN 'corrected: ' || output ELSE output END) FROM items WHERE status = 'labeled'""",
+    "review_promote": f"""WITH {ITEMS}, v AS (SELECT 0 AS part, doc_id AS place, trace_id, output AS expected, '{{}}' AS metadata FROM items WHERE status = 'skipped'
+UNION ALL SELECT 1, NULL, trace_id, CASE WHEN verdict = 'bad' THEN 'corrected: ' || output ELSE output END, '{{"source":"review_queue","trace_id":"' || trace_id || '","verdict":"' || verdict || '"}}' FROM items
+WHERE status = 'labeled' AND promoted_at IS NULL AND output IS NOT NULL) SELECT part, row_number() OVER (ORDER BY part, place NULLS FIRST, trace_id) - 1 AS item_index, trace_id, md5(expected) AS expected_md5, metadata FROM v""",
     "eval_exact_match": f"""WITH {RESULTS} SELECT dataset_item_id, CASE WHEN expected_output IS NOT NULL THEN (trim(output) = trim(expected_output))::INT::DOUBLE END AS score,
 CASE WHEN expected_output IS NOT NULL THEN trim(output) = trim(expected_output) END AS passed, CASE WHEN expected_output IS NULL THEN 'no expected output' END AS error FROM results""",
     "eval_regex_match": f"WITH {RESULTS} SELECT dataset_item_id, regexp_matches(output, '^[A-M]', 'i')::INT::DOUBLE AS score, regexp_matches(output, '^[A-M]', 'i') AS passed FROM results",
-    "eval_retrieval": """WITH retr AS (SELECT e.vec_id, list_transform(range(1,6), lambda x: (e.vec_id + x*7) % 500) AS got, r.relevant FROM embeddings e
-JOIN (SELECT label, list_sort(list(vec_id)) AS relevant FROM embeddings WHERE vec_id % 5 = 0 GROUP BY label) r ON r.label = e.label),
-h AS (SELECT *, list_transform(got, lambda x: list_contains(relevant, x)) AS hit FROM retr)
-SELECT vec_id, round(len(list_filter(hit, lambda x: x)) / 5, 6) AS precision, round(len(list_filter(relevant, lambda x: list_contains(got, x))) / len(relevant), 6) AS recall,
-round(CASE WHEN list_contains(hit, true) THEN 1.0::DOUBLE / list_position(hit, true) ELSE 0 END, 6)::DOUBLE AS mrr FROM h""",
+    "eval_retrieval": """WITH got AS (SELECT vec_id, label, unnest(range(1, 6)) AS rank FROM embeddings),
+h AS (SELECT g.*, e.label = g.label AS hit FROM got g LEFT JOIN embeddings e ON e.vec_id = (g.vec_id + g.rank * 7) % (SELECT max(vec_id) + 1 FROM embeddings)),
+n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1)
+SELECT vec_id, round(count(*) FILTER (hit) / 5, 6) AS precision, round(count(*) FILTER (hit) / any_value(n.n), 6) AS recall, round(coalesce(1.0::DOUBLE / min(rank) FILTER (hit), 0), 6)::DOUBLE AS mrr
+FROM h JOIN n USING (label) GROUP BY 1""",
     "eval_similarity": "SELECT a.vec_id, round(greatest(0.0, least(1.0, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6)::DOUBLE AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
-    "eval_aggregates": f"WITH {SCORES} SELECT run_id, evaluator, count(score) AS scored, round(avg(score), 6) AS mean, min(score) AS min, max(score) AS max, count(*) - count(score) AS unscoreable FROM scores GROUP BY 1, 2",
+    "eval_aggregates": f"WITH {SCORES} SELECT run_id, evaluator, count(score) AS scored, round(avg(score), 6) AS mean, min(score) AS min, max(score) AS max, round(CASE WHEN count(passed) > 0 THEN count(*) FILTER (passed) / count(passed) END, 6) AS pass_rate, count(*) - count(score) AS unscoreable FROM scores GROUP BY 1, 2",
     "run_status": f"""WITH {SCORES}, s AS (SELECT run_id, count(score) AS completed, count(*) - count(score) AS failed FROM scores GROUP BY 1)
 SELECT *, CASE WHEN failed = 0 THEN 'succeeded' WHEN completed > 0 THEN 'partial' ELSE 'failed' END AS status FROM s""",
     "compare_scores": f"WITH {COMPARED} SELECT * FROM compared",
-    "compare_examples": f"""WITH {COMPARED}, f AS (SELECT dataset_item_id, bool_or(change = 'regressed') AS r, bool_or(change = 'improved') AS i, bool_or(change = 'added') AS a, bool_or(change = 'removed') AS d FROM compared GROUP BY 1)
-SELECT dataset_item_id, CASE WHEN r AND NOT i THEN 'regressed' WHEN i AND NOT r THEN 'improved' WHEN r AND i THEN 'unchanged' WHEN a THEN 'added' WHEN d THEN 'removed' ELSE 'unchanged' END AS verdict FROM f""",
+    "compare_examples": f"""WITH {COMPARED}, f AS (SELECT dataset_item_id, bool_or(change = 'regressed') AS r, bool_or(change = 'improved') AS i FROM compared GROUP BY 1),
+p AS (SELECT dataset_item_id, bool_or(run_id = 'A') AS a, bool_or(run_id = 'B') AS b FROM scores GROUP BY 1)
+SELECT dataset_item_id, CASE WHEN r AND NOT i THEN 'regressed' WHEN i AND NOT r THEN 'improved' WHEN NOT a THEN 'added' WHEN NOT b THEN 'removed' ELSE 'unchanged' END AS verdict FROM f JOIN p USING (dataset_item_id)""",
     "compare_aggregates": f"""WITH {SCORES}, m AS (SELECT evaluator, round(avg(score) FILTER (run_id = 'A'), 6) AS baseline, round(avg(score) FILTER (run_id = 'B'), 6) AS candidate FROM scores GROUP BY 1)
 SELECT *, round(candidate - baseline, 6) AS delta, {CHANGE} FROM m""",
     "resume_pending": f"""WITH {SCORES} SELECT dataset_item_id FROM results r WHERE NOT EXISTS (SELECT 1 FROM scores s WHERE s.dataset_item_id = r.dataset_item_id

@@ -31,9 +31,11 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         kind.otherwise("other").alias("kind"),
         F.when((F.col("l_returnflag") == "R") & (line > 3), "error").otherwise("ok").alias("status"),
         F.col("o_orderdate").alias("started_at"),
+        (F.col("o_orderdate") + F.make_dt_interval(secs=(cents % 5000) / F.lit(1000).cast("decimal(8,3)"))).alias("ended_at"),
         (cents % 5000).cast("int").alias("duration_ms"),
         llm(F.concat(F.lit("model-"), (F.col("l_suppkey") % MODEL_ROWS).cast("string"))).alias("model"),
         llm(F.col("l_quantity").cast("int")).alias("prompt_tokens"),
+        llm(F.col("l_quantity").cast("int") * 2).alias("completion_tokens"),
         llm((cents.cast("decimal(18,0)") * F.lit("0.000001").cast("decimal(6,6)")).cast("decimal(12,6)")).alias("cost_usd"),
     )
 
@@ -70,7 +72,9 @@ def eval_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = eval_results(spark, sf_dir).select("dataset_item_id", F.explode(runs).alias("r")).select("dataset_item_id", "r.*", F.explode(names).alias("e")).select("dataset_item_id", "run_id", "off", "e.*")
     wide = wide.where(~((F.col("run_id") == "A") & (item % 17 == 0)) & ~((F.col("run_id") == "B") & (item % 19 == 0)))
     score = ((item * 7 + F.col("k") * 3 + F.col("off") * (item % 4)) % 11).cast("double") / 10
-    return wide.select("run_id", "dataset_item_id", "evaluator", F.when((item + F.col("k")) % 13 != 0, score).alias("score"))
+    known = (item + F.col("k")) % 13 != 0
+    passed = F.when(known & (F.col("k") < 3), score >= 0.5).alias("passed")
+    return wide.select("run_id", "dataset_item_id", "evaluator", F.when(known, score).alias("score"), passed)
 
 
 def review_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,14 +88,18 @@ def review_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("label_id").isNull(), "pending").when(F.col("doc_id") % 11 == 0, "skipped").otherwise("labeled").alias("status"),
         F.when(flagged, "flagged").otherwise("control").alias("sampled_as"),
         F.when(~plain, F.when((F.col("toxic") == 1) | (F.col("quality") == 0), "bad").otherwise("good")).alias("verdict"),
+        F.when(~plain & (F.col("doc_id") % 13 == 0), F.lit("2024-01-15").cast("timestamp_ntz")).alias("promoted_at"),
     )
 
 
-def retrievals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _read(spark, sf_dir, "embeddings")
-    relevant = e.where("vec_id % 5 = 0").groupBy("label").agg(F.array_sort(F.collect_list("vec_id")).alias("relevant"))  # one per label
-    got = F.transform(F.sequence(F.lit(1), F.lit(10)), lambda x: (F.col("vec_id") + x * 7) % 500)
-    return e.select("vec_id", "label", got.alias("retrieved")).join(relevant, "label").drop("label")
+def retrievals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Ten retrieved vectors of each vector, and all vectors by label; the vectors of a label are relevant to each other."""
+    e = _read(spark, sf_dir, "embeddings").select("vec_id", "label")
+    total = e.agg((F.max("vec_id") + 1).alias("total"))  # one row
+    ranks = F.explode(F.sequence(F.lit(1), F.lit(10)))
+    got = e.crossJoin(F.broadcast(total)).select(F.col("vec_id").alias("query_id"), F.col("label").alias("group"), ranks.alias("rank"), "total")
+    key = (F.col("query_id") + F.col("rank") * 7) % F.col("total")
+    return got.select("query_id", "group", "rank", key.alias("key")), e.select(F.col("vec_id").alias("key"), F.col("label").alias("group"))
 
 
 def prompt_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
