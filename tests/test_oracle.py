@@ -14,9 +14,8 @@ def test_rows_match_sql(spark, name):
     compare(catalog.QUERIES[name](spark, SF_DIR), catalog.ORACLE_SQL[name], SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
-def test_query_runs(spark, name):
-    assert catalog.QUERIES[name](spark, SF_DIR).count() >= 0
+def test_every_query_has_sql():
+    assert set(catalog.ORACLE_SQL) == set(catalog.QUERIES)
 
 
 def test_entry(spark):

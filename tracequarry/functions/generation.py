@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The marker that makes generation fail, and the vector's length.
 FAIL_MARKER = "__FAIL__"
@@ -36,21 +42,16 @@ def generate_judgement(messages: Column) -> Column:
     return F.to_json(F.struct(score.alias("score"), F.concat(F.lit("fake reasoning for "), F.substring(digest, 1, 8)).alias("reasoning")))
 
 
-def embed(text: Column) -> Column:
-    """Unit vector of a text: each word adds 1 or -1 at a place by its digest; a text without words is the first axis."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\w+)"), F.lit(1))
-
-    def hit(word: Column) -> Column:
-        digest = F.sha2(word, 256)
-        place = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % DIMENSIONS
-        odd = F.conv(F.substring(digest, 9, 2), 16, 10).cast("int") % 2
-        return F.struct(place.cast("int").alias("i"), F.when(odd == 0, 1.0).otherwise(-1.0).alias("x"))
-
-    hits = F.transform(words, hit)
-    sums = F.transform(
-        F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)),
-        lambda i: F.aggregate(F.filter(hits, lambda h: h["i"] == i), F.lit(0.0), lambda s, h: s + h["x"]),
-    )
-    norm = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda s, x: s + x * x))
-    axis = F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda i: F.when(i == 0, 1.0).otherwise(0.0))
-    return F.when(norm > 0, F.transform(sums, lambda x: x / norm)).when(text.isNotNull(), axis)
+def vector(text: str) -> list[float]:
+    v = [0.0] * DIMENSIONS
+    for word in re.findall(r"\w+", text.lower()):
+        digest = hashlib.sha256(word.encode()).digest()
+        v[int.from_bytes(digest[:4], "big") % DIMENSIONS] += 1.0 if digest[4] % 2 == 0 else -1.0
+    norm = math.sqrt(sum(x * x for x in v))
+    return [x / norm for x in v] if norm else [1.0, *v[1:]]
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def embed(texts: pd.Series) -> pd.Series:
+    """Unit vectors of texts: each word adds 1 or -1 at a place by its digest; a text without words is the first axis."""
+    return pd.Series([None if t is None else vector(t) for t in texts], dtype=object)

@@ -36,7 +36,7 @@ def is_object(value: Column) -> Column:
 def elements(value: Column) -> Column:
     """The elements of a JSON list as JSON texts; null if it is none."""
     items = F.try_variant_get(F.try_parse_json(value), "$", "array<variant>")
-    return F.when(is_list(value), F.transform(items, F.to_json))
+    return F.when(is_list(value), F.transform(items, lambda x: F.to_json(x)))
 
 
 def field(value: Column, name: str) -> Column:

@@ -14,6 +14,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_RENDERED = 1_000_000
 _PIECE = re.compile(r"\{\{-?(.*?)-?\}\}|\{%-?(.*?)-?%\}|\{#.*?#\}", re.DOTALL)
@@ -158,7 +159,7 @@ def variables(sources: list[str]) -> list[str]:
     return sorted(found)
 
 
-@F.pandas_udf("text string, error string")
+@F.pandas_udf(T.StructType().add("text", T.StringType()).add("error", T.StringType()))
 def render(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     """Of template and variables (a JSON object): the text, or why there is none."""
     for sources, values in batches:
@@ -171,7 +172,7 @@ def render(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFr
         yield pd.DataFrame(rows, columns=["text", "error"])
 
 
-@F.pandas_udf("variables array<string>, error string")
+@F.pandas_udf(T.StructType().add("variables", T.ArrayType(T.StringType())).add("error", T.StringType()))
 def template_variables(sources: pd.Series) -> pd.DataFrame:
     """The variables of each template, or why it cannot be parsed."""
     rows = []

@@ -33,7 +33,8 @@ def resolve(versions: DataFrame, labels: DataFrame, wanted: DataFrame) -> DataFr
 
 def current_labels(events: DataFrame) -> DataFrame:
     """Label assignments (prompt_slug, label, version, seq): the last one counts; a null version removes the label."""
-    return events.groupBy("prompt_slug", "label").agg(F.max_by("version", "seq").alias("version")).where("version is not null")
+    last = events.groupBy("prompt_slug", "label").agg(F.max(F.struct("seq", "version")).alias("r"))
+    return last.where("r.version is not null").select("prompt_slug", "label", "r.version")
 
 
 def valid_slugs(rows: DataFrame, column: str = "slug") -> tuple[DataFrame, DataFrame]:

@@ -148,13 +148,6 @@ def guardrail_email(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size(guardrails.pii_matches(F.col("text"), "email")).alias("emails")).where("emails > 0")
 
 
-@query
-def guardrail_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = docs.select("doc_id", guardrails.pii_finding(F.col("text")).alias("f")).where("f is not null")
-    return found.select("doc_id", "f.severity", F.array_join(F.transform("f.matches", lambda m: F.concat(m["kind"], F.lit(":"), F.array_join(m["values"], ","))), ";").alias("matches"))
-
-
 @query
 def guardrail_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -162,14 +155,6 @@ def guardrail_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where("severity is not null")
 
 
-@query
-def guardrail_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers checked against their questions as the only context."""
-    r = fixtures.eval_results(spark, sf_dir).withColumn("context", F.array("question"))
-    missing = guardrails.unsupported_numbers(F.col("output"), F.col("context"))
-    return r.select("dataset_item_id", F.size(missing).alias("unsupported"), guardrails.grounding_severity(F.col("output"), F.col("context")).alias("severity"))
-
-
 @query
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = fixtures.review_items(spark, sf_dir)

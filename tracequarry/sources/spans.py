@@ -67,4 +67,4 @@ def batches(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     spans = F.try_variant_get(F.try_parse_json("body"), "$.spans", "array<variant>")
     d = requests.withColumn("_spans", spans)
     fits = F.coalesce(F.size("_spans").between(1, MAX_BATCH), F.lit(False))
-    return d.where(fits).select(F.explode(F.transform("_spans", F.to_json)).alias("value")), d.where(~fits).drop("_spans")
+    return d.where(fits).select(F.explode(F.transform("_spans", lambda s: F.to_json(s))).alias("value")), d.where(~fits).drop("_spans")

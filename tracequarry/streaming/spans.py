@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tracequarry.operators import metrics, traces
+from tracequarry.operators import alerts, metrics, review, traces
+from tracequarry.scratch import written
+
+
+BUCKETS = 64
+
+
+def _exists(spark: SparkSession, table: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
 def add_batch(batch: DataFrame, table: str) -> None:
@@ -16,13 +28,54 @@ def add_batch(batch: DataFrame, table: str) -> None:
     days = [r["day"] for r in fresh.select("day").distinct().collect()]  # a batch spans a few days
     if not days:
         return
-    path = spark._jvm.org.apache.hadoop.fs.Path(table)
-    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    if _exists(spark, table):
         stored = spark.read.schema(fresh.schema).parquet(table).where(F.col("day").isin(days))
         fresh = fresh.join(stored.select("day", "started_at", "span_id"), ["day", "started_at", "span_id"], "left_anti")
     fresh.write.mode("append").partitionBy("day").parquet(table)
 
 
+def add_batch_with_rollups(batch: DataFrame, table: str, rollups: str) -> None:
+    """add_batch, and the roll-ups of the batch's traces, recomputed from all stored spans: late and early spans count alike.
+
+    Roll-ups are keyed by trace alone and lie in BUCKETS folders by a hash of it; only folders of touched traces are read
+    and written again, so a trace whose begin moves leaves no second row."""
+    spark = batch.sparkSession
+    add_batch(batch, table)
+    keys = ["project_id", "trace_id"]
+    touched = batch.select(*keys).distinct()
+    bucket = F.pmod(F.xxhash64("trace_id"), F.lit(BUCKETS)).cast("int").alias("bucket")
+    numbers = [r["bucket"] for r in touched.select(bucket).distinct().collect()]  # BUCKETS numbers at most
+    if not numbers:
+        return
+    new = traces.trace_rollup(spark.read.parquet(table).join(touched, keys, "left_semi")).withColumn("flagged_at", F.lit(None).cast("timestamp"))
+    new = written(new.select("*", bucket), "rollups")
+    if _exists(spark, rollups):
+        stored = spark.read.schema(new.schema).parquet(rollups).where(F.col("bucket").isin(numbers))
+        new = written(traces.upsert_rollup(stored, new), "rollups")
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(rollups)
+
+
+def evaluate_alerts(rules: str, rollups: str, now: datetime, secret: str, send: Callable[[str, bytes, dict[str, str]], int] = alerts.post) -> DataFrame:
+    """One round over stored roll-ups, run by a clock apart from ingest: the rules' table is replaced by its next state."""
+    spark = SparkSession.getActiveSession()
+    decided, state = alerts.evaluated(spark.read.parquet(rules), spark.read.parquet(rollups), now, secret, send)
+    written(state, "rules").write.mode("overwrite").parquet(rules)
+    return decided
+
+
+def sample_reviews(rollups: str, spans: str, queue: str, configs: str, now: datetime) -> DataFrame:
+    """One round of the sampler: new items are appended to the queue, and the projects' marks are stored."""
+    spark = SparkSession.getActiveSession()
+    settings = written(spark.read.parquet(configs), "settings")
+    items, marks = review.sample_projects(spark.read.parquet(rollups), spark.read.parquet(spans), spark.read.parquet(queue), settings, now)
+    items = written(items, "sampled")
+    items.select("project_id", "trace_id", "status", "sampled_as", "severity", "output").write.mode("append").parquet(queue)
+    moved = settings.join(marks.withColumnRenamed("last_scanned_at", "_mark"), "project_id", "left")
+    moved = moved.withColumn("last_scanned_at", F.coalesce("_mark", "last_scanned_at")).select(*settings.columns)
+    written(moved, "settings").write.mode("overwrite").parquet(configs)
+    return items
+
+
 def ingest(spans: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     """Writes all that the stream has now. Nothing is ever too late: spans of old days are added to their day."""
     return spans.writeStream.foreachBatch(lambda batch, _: add_batch(batch, table)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
