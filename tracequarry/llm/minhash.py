@@ -7,9 +7,12 @@ band keys and a signature of one byte per minimum.
 Candidate pairs never grow with the square of a bucket:
 
 1. each member of a band bucket is paired with the bucket's smallest member only (partial aggregation finds it);
-2. buckets whose other members still lie in several components are dealt into pairs of blocks of bounded size. Within a
-   block pair numpy compares signatures, then the shingle sets, likeliest pairs first, and passes over pairs whose
-   components it has joined already: it gives no more links than there are components to join.
+2. buckets whose other members still lie in several components are dealt into pairs of blocks of bounded size. Members of
+   the bucket's largest component meet the others only, so their shingle sets are copied once for each block of the
+   others, which are few in a large group of copies; only members outside of it meet each other. Within a block pair
+   numpy compares signatures, then the shingle sets, likeliest pairs first, and passes over pairs whose components it has
+   joined already: it gives no more links than there are components to join. The work of a bucket so grows with its
+   members times those outside its largest component.
 
 Pairs whose signatures agree often enough are verified on the full sets of their texts. Links become components by
 alternating large-star and small-star; every step is a join or an aggregation, written to the shared folder.
@@ -29,10 +32,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 #: Members, and bytes of shingle sets, of a block at most (about).
 BLOCK, BLOCK_BYTES = 1024, 16 << 20
+#: Pairs of one document to a salt.
+SALTED = 2000
 MEMO = 300_000
 MASK = (1 << 64) - 1
 #: Multipliers of the word hashes within a shingle; odd, from the golden ratio's and other fixed bits.
@@ -131,7 +136,11 @@ def _likely(reps: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
 def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs of which 100 * intersection size >= percent * union size of the full sets."""
     left, right = (docs.select(F.col("doc_id").alias(x), F.col("text").alias("t" + x)) for x in "ab")
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+    # the smallest member of a large group is in many pairs: these are dealt over salts, and so is its text
+    salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / SALTED).cast("int").alias("_salts"))
+    salted = pairs.join(salts, "b").withColumn("_salt", F.pmod(F.xxhash64("a"), F.col("_salts")).cast("int")).drop("_salts")
+    right = right.join(salts, "b").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    joined = salted.join(left, "a").join(right, ["b", "_salt"]).select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(size)
@@ -160,7 +169,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "stars")
+        before, e = e, written(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "stars")
+        forget(before)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
@@ -234,9 +244,17 @@ def _open_links(texts: DataFrame, reps: DataFrame, buckets: DataFrame, component
     sets = texts.join(wanted, texts["doc_id"] == wanted["rep"]).select("rep", "text").mapInArrow(_sets(size), "rep long, shingles binary")
     sets = written(sets.join(reps.select("rep", "signature", "keys"), "rep").dropDuplicates(["rep"]), "open-sets")
     member = member.join(sets.select("rep", F.length("shingles").alias("bytes")), "rep")
-    sums = member.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("n_blocks"))
-    member = member.join(sums, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
-    member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    # the others' blocks come first, the largest component's after them
+    most = member.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("_main"))
+    member = member.join(most, "key").withColumn("_out", F.col("component") != F.col("_main"))
+    blocks = lambda inside: F.coalesce(F.greatest(F.ceil(F.count_if(inside) / BLOCK), F.ceil(F.sum(F.when(inside, F.col("bytes"))) / BLOCK_BYTES)), F.lit(0)).cast("int")
+    sums = member.groupBy("key").agg(blocks(F.col("_out")).alias("n_out"), blocks(~F.col("_out")).alias("n_in"))
+    member = member.join(sums, "key")
+    mixed = F.xxhash64("rep")
+    block = F.when(F.col("_out"), F.pmod(mixed, F.col("n_out"))).otherwise(F.col("n_out") + F.pmod(mixed, F.greatest(F.lit(1), F.col("n_in")))).cast("int")
+    member = member.withColumn("block", block)
+    last = F.when(F.col("_out"), F.col("n_out") + F.col("n_in") - 1).otherwise(F.col("n_out") - 1)
+    member = member.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     member = member.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("side"), "band", "rep", "component")
     kinds = "a long, b long"
     return member.join(sets, "rep").groupBy("key", "i", "j").applyInArrow(_links_of_blocks(least, percent), kinds).distinct()
