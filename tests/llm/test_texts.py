@@ -112,8 +112,8 @@ def test_fingerprints(documents, odd):
         changed = (t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()
         a, b, c = digest(t.encode()), digest(changed), digest(after.encode())
         want.append((str(i), len(t), hashlib.sha256(changed).hexdigest(), a.hex(), b.hex(), likeness(a, b), likeness(a, c)))
-    for rows_per_range in (4000, 17):
-        assert sorted((str(r[0]), *r[1:]) for r in fingerprints(docs, rows_per_range).collect()) == sorted(want)
+    for range_bytes in (16 << 20, 20_000):
+        assert sorted((str(r[0]), *r[1:]) for r in fingerprints(docs, range_bytes).collect()) == sorted(want)
 
 
 @given(st.binary(max_size=300), st.binary(max_size=300))

@@ -30,6 +30,8 @@ WINDOWS = ((1, 2), (1, 3))
 #: Most that two lengths, two quartile ratios and two buckets can differ by.
 LENGTH_CAP, RATIO_CAP, BUCKET_CAP = 24, 8, 6
 CHUNK = 1 << 20
+#: Bytes of text to a range, about.
+RANGE_BYTES = 16 << 20
 
 
 def _counts(raw: bytes) -> np.ndarray:
@@ -85,15 +87,23 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _ranges(docs: DataFrame, rows: int) -> Column:
-    """The range of each row's doc_id: rows of like number, and rows of one doc_id together."""
-    total = docs.count()
-    n = max(1, -(-total // rows))
+def _ranges(docs: DataFrame, range_bytes: int) -> tuple[Column, int]:
+    """The range of each row's doc_id, and the number of ranges: about range_bytes of text each, rows of one doc_id together.
+
+    The cut points, one number for each range, are looked up by binary search."""
+    size, rows = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    n = max(1, min(rows, -(-(size or 0) // range_bytes)))
     if n == 1:
-        return F.lit(0)
-    cuts = sorted(set(docs.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)))
-    cut = F.array(*[F.lit(int(c)) for c in cuts])  # n numbers
-    return F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(cut, lambda c: c < F.col("doc_id")))).cast("int")
+        return F.lit(0), 1
+    cuts = np.unique(docs.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)).astype(np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast(cuts)
+
+    @F.arrow_udf("int")
+    def part(ids: pa.Array) -> pa.Array:
+        found = np.searchsorted(shared.value, np.asarray(ids.fill_null(np.iinfo(np.int64).min)), side="left")
+        return pa.array(found.astype(np.int32))
+
+    return part("doc_id"), len(cuts) + 1
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,20 +125,19 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
-def fingerprints(docs: DataFrame, rows_per_range: int = 4000) -> DataFrame:
+def fingerprints(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    placed = docs.withColumn("part", _ranges(docs.select("doc_id"), rows_per_range))
+    part, n = _ranges(docs, range_bytes)
+    placed = docs.withColumn("part", part)
     # the least doc_id of each range that has rows, and the range before it; the first range's ends the last
     firsts = placed.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("id"))).alias("low")).collect()
     firsts = sorted((r["part"], r["low"]["id"]) for r in firsts)  # a pair of numbers for each range
-    if not firsts:
-        parts = docs.sparkSession.createDataFrame([], "part int, low long, ends int")
-    else:
-        parts = docs.sparkSession.createDataFrame([(p, low, firsts[i - 1][0]) for i, (p, low) in enumerate(firsts)], "part int, low long, ends int")
+    rows = [(p, low, firsts[i - 1][0]) for i, (p, low) in enumerate(firsts)]
+    parts = docs.sparkSession.createDataFrame(rows, "part int, low long, ends int")
     heads = placed.join(F.broadcast(parts), (placed["part"] == parts["part"]) & placed["doc_id"].eqNullSafe(parts["low"]))
     heads = heads.groupBy("ends").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("low").alias("doc_id"))
     stream = placed.select("part", F.lit(False).alias("after"), "doc_id", "text").unionByName(heads.select(F.col("ends").alias("part"), F.lit(True).alias("after"), "doc_id", "text"))
-    dealt = stream.repartition(max(1, len(firsts)), "part").sortWithinPartitions("part", "after", F.col("doc_id").asc_nulls_first(), F.coalesce("text", F.lit("")))
+    dealt = stream.repartitionById(n, "part").sortWithinPartitions("part", "after", F.col("doc_id").asc_nulls_first(), F.coalesce("text", F.lit("")))
     kinds = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return dealt.mapInArrow(_pairs, kinds)
