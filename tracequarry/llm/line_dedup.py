@@ -19,7 +19,7 @@ reads two plain shuffles, whose hot partitions Spark's skew join splits.
 Defined results: null and empty texts have no lines and stay as they are; a null doc_id comes after all others; rows
 that are equal in doc_id and text are one document, treated alike; a chunk repeated within one document is removed from
 its second place on; chunks without a word are left alone. The input's own columns are kept, text replaced, with one
-struct column.
+struct column, which replaces an input column of its name.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ from .common import NOT_SPACE, words, written
 
 #: Occurrences of one chunk to a salt.
 SALTED = 200
+#: Chunk hashes that are broadcast, at most.
+MOST_HOT = 10_000
 #: A run of repeated line pairs has more words than these.
 MIN_WORDS = 50
 
@@ -59,8 +61,8 @@ def _chunks(hashed: DataFrame) -> DataFrame:
 
 
 def _key(doc_id: Column, text: Column) -> Column:
-    """Of rows that are equal in both."""
-    return F.xxhash64(doc_id, text)
+    """128 bits of both, equal for rows that are equal in both."""
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(" "), F.coalesce(text, F.lit("")))))
 
 
 def _place() -> Column:
@@ -102,8 +104,12 @@ def _without_repeats(docs: DataFrame, out: str, passages: bool) -> DataFrame:
     hashed = written(_hashed(docs), "line-hashes")
     chunks = written(_chunks(hashed), "line-chunks")
     twice = chunks.groupBy("_h").agg(F.min("_key").alias("_k0"), F.max("_key").alias("_k1"), F.min("start").alias("_s0"), F.max("start").alias("_s1"), F.count("*").alias("_count"))
-    twice = twice.where((F.col("_k0") != F.col("_k1")) | (F.col("_s0") != F.col("_s1"))).select("_h", F.ceil(F.col("_count") / SALTED).cast("int").alias("salts"))
-    listed = chunks.distinct().join(twice, "_h").groupBy("_key").agg(F.collect_list(F.struct("start", "n", "_h", "salts")).alias("_spans"))
+    twice = twice.where((F.col("_k0") != F.col("_k1")) | (F.col("_s0") != F.col("_s1"))).select("_h", "_count", F.ceil(F.col("_count") / SALTED).cast("int").alias("salts"))
+    # chunks with over n / MOST_HOT occurrences, MOST_HOT at most, meet theirs by a broadcast, so that none lands in one task
+    often = F.col("_count") > max(SALTED, chunks.count() // MOST_HOT)
+    marked = chunks.distinct().join(F.broadcast(twice.where(often).select("_h", "salts")), "_h", "left")
+    rare = marked.where("salts is null").drop("salts").join(twice.where(~often).select("_h", "salts"), "_h")
+    listed = marked.where("salts is not null").unionByName(rare).groupBy("_key").agg(F.collect_list(F.struct("start", "n", "_h", "salts")).alias("_spans"))
     if passages:
         pairs = _repeated_pairs(hashed)
         listed = listed.join(pairs.groupBy("_key").agg(F.collect_set("start").alias("_starts")), "_key", "full")
