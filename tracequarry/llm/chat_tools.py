@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 TYPES = {"string": ["STRING"], "integer": ["BIGINT"], "number": ["BIGINT", "DOUBLE", "DECIMAL"], "boolean": ["BOOLEAN"], "object": ["OBJECT"], "array": ["ARRAY"]}
 
@@ -42,14 +42,13 @@ def call_depths(calls: DataFrame) -> DataFrame:
     state = known.join(there, ["conv_id", "parent_id"], "left")
     state = state.select("conv_id", "call_id", F.when(F.col("found"), F.col("parent_id")).alias("at"), F.when(F.col("found"), 1).otherwise(0).cast("long").alias("depth"))
     state = written(state, "depths")
-    most = state.count()
-    open_, reach = state.where(F.col("at").isNotNull()).count(), 1
-    while open_ and reach <= most:
-        ahead = state.select("conv_id", F.col("call_id").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"), F.lit(True).alias("hit"))
-        state = state.join(ahead, ["conv_id", "at"], "left")
-        state = state.select("conv_id", "call_id", F.when(F.col("hit"), F.col("next")).otherwise(F.col("at")).alias("at"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
-        state = written(state, "depths")
-        open_, reach = state.where(F.col("at").isNotNull()).count(), reach * 2
+    most, reach = state.count(), 1
+    while reach <= most and not (open_ := state.where(F.col("at").isNotNull())).isEmpty():
+        ahead = state.select("conv_id", F.col("call_id").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"))
+        moved = open_.join(ahead, ["conv_id", "at"]).select("conv_id", "call_id", F.col("next").alias("at"), (F.col("depth") + F.col("more")).alias("depth"))
+        before, state = state, written(state.where(F.col("at").isNull()).unionByName(moved), "depths")  # only open rows are joined again
+        forget(before)
+        reach *= 2
     return state.select("conv_id", "call_id", F.when(F.col("at").isNull(), F.col("depth")).alias("depth"))
 
 

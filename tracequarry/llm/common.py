@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracequarry.scratch import forget, scratch_root, written
 
-__all__ = ["NOT_SPACE", "SPACE", "forget", "scratch_root", "table", "words", "written"]
+__all__ = ["NOT_SPACE", "SPACE", "forget", "scratch_root", "small", "table", "words", "written"]
 
 #: Whitespace that separates words; everything else belongs to a word.
 SPACE = r"[\x20\x09-\x0D]"
@@ -18,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df, to be broadcast if it has at most `rows` rows, which is counted first up to that bound."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def words(text: Column) -> Column:
     """The words of a text in order; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+", -1), lambda w: w != "")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small, written
 
 FEATURES = ("one", "log_words", "distinct", "word_length", "symbols", "capitals", "marks", "short_words", "repeated_lines", "top_word")
 SYMBOLS = frozenset("#*$%&|<>")
@@ -119,7 +119,8 @@ def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5,
     sites = paths.join(hosts, "host").withColumn("p", F.col("s") / F.col("n"))
     sites = sites.crossJoin(F.broadcast(_strength(sites, "host_rate").withColumnRenamed("m", "path_m")))
     sites = sites.select("host", "path", "n", "s", "path_m", "host_n", "host_s", "host_m", "all")
-    joined = scored.join(sites, ["host", "path"])
+    sites = written(sites, "sites")
+    joined = scored.join(small(sites), ["host", "path"])  # by shuffles, with Spark's skew join, where there are many sites
     own = F.col("p")
     host_rate = (F.col("host_s") - own + F.col("host_m") * F.col("all")) / (F.col("host_n") - 1 + F.col("host_m"))
     joined = joined.withColumn("host_rate", host_rate)
