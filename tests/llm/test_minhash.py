@@ -6,8 +6,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import functions as F
 
-from tracequarry.llm.minhash import _links_of_blocks, connected_components, drop_near_duplicates, near_duplicates
+from tracequarry.llm.minhash import _described, _links_of_blocks, _open_links, connected_components, drop_near_duplicates, near_duplicates
 
 
 def shingle_set(text, k):
@@ -51,6 +52,21 @@ def test_chains_and_blocks(spark):
     check(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80)
 
 
+def test_links_of_both_texts(spark):
+    """Twenty documents have two texts; the one that is near another document's counts in their shared buckets."""
+    words = lambda n, k: [f"{k}{n}x{i}" for i in range(80)]
+    rows = [(n, " ".join(words(n, k))) for n in range(10, 30) for k in "ab"]
+    rows += [(n + 100, " ".join([*words(n, "b")[:-1], "end"])) for n in range(10, 30)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    described = texts.mapInArrow(_described(3, 28, 7), "doc_id long, n_shingles long, mark binary, signature binary, keys array<long>")
+    reps = described.select(F.col("doc_id").alias("rep"), "mark", "signature", "keys")
+    banded = reps.select("rep", F.posexplode("keys").alias("band", "key"))
+    shared = banded.groupBy("key").agg(F.countDistinct("rep").alias("n")).where("n > 1").select("key", F.lit(1).cast("long").alias("low"))
+    none = spark.createDataFrame([], "node long, component long")
+    got = _open_links(texts, reps, banded.join(shared, "key"), none, (3, 85, 140)).collect()
+    assert sorted((r["a"], r["b"]) for r in got) == [(n + 100, n) for n in range(10, 30)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (102, 101), (7, 7)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -179,13 +179,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def _sets(size: int):
-    """The full shingle set of each text, as bytes."""
+    """The full shingle set of each text, as bytes, and its mark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(size)
         for batch in batches:
             sets = [shingles(t).astype("<u8").tobytes() for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_pydict({"rep": batch["rep"], "shingles": pa.array(sets, pa.binary())})
+            marks = [xxhash.xxh128_digest(x) for x in sets]
+            yield pa.RecordBatch.from_pydict({"rep": batch["rep"], "mark": pa.array(marks, pa.binary()), "shingles": pa.array(sets, pa.binary())})
 
     return run
 
@@ -237,13 +238,15 @@ def _open_links(texts: DataFrame, reps: DataFrame, buckets: DataFrame, component
     """Pairs that may link different components of one bucket, besides those with the bucket's smallest member."""
     size, percent, least = shape
     member = buckets.where("rep <> low").join(components, F.col("rep") == F.col("node"), "left")
-    member = member.select("key", "band", "rep", F.coalesce("component", "rep").alias("component"))
+    member = member.select("key", "band", "rep", F.coalesce("component", "rep").alias("component")).distinct()
     open_ = member.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
     member = written(member.join(open_, "key"), "open-buckets")
     wanted = member.select("rep").distinct()
-    sets = texts.join(wanted, texts["doc_id"] == wanted["rep"]).select("rep", "text").mapInArrow(_sets(size), "rep long, shingles binary")
-    sets = written(sets.join(reps.select("rep", "signature", "keys"), "rep").dropDuplicates(["rep"]), "open-sets")
-    member = member.join(sets.select("rep", F.length("shingles").alias("bytes")), "rep")
+    sets = texts.join(wanted, texts["doc_id"] == wanted["rep"]).select("rep", "text").mapInArrow(_sets(size), "rep long, mark binary, shingles binary")
+    sets = written(sets.join(reps.select("rep", "mark", "signature", "keys"), ["rep", "mark"]).dropDuplicates(["rep", "mark"]), "open-sets")
+    # of a doc_id with several texts, those that have the bucket's key
+    of_bucket = F.element_at("keys", F.col("band") + 1) == F.col("key")
+    member = member.join(sets.select("rep", "mark", "keys", F.length("shingles").alias("bytes")), "rep").where(of_bucket).drop("keys")
     # the others' blocks come first, the largest component's after them
     most = member.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("_main"))
     member = member.join(most, "key").withColumn("_out", F.col("component") != F.col("_main"))
@@ -255,9 +258,9 @@ def _open_links(texts: DataFrame, reps: DataFrame, buckets: DataFrame, component
     member = member.withColumn("block", block)
     last = F.when(F.col("_out"), F.col("n_out") + F.col("n_in") - 1).otherwise(F.col("n_out") - 1)
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
-    member = member.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("side"), "band", "rep", "component")
+    member = member.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("side"), "band", "rep", "mark", "component")
     kinds = "a long, b long"
-    return member.join(sets, "rep").groupBy("key", "i", "j").applyInArrow(_links_of_blocks(least, percent), kinds).distinct()
+    return member.join(sets, ["rep", "mark"]).groupBy("key", "i", "j").applyInArrow(_links_of_blocks(least, percent), kinds).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 28, rows: int = 7, slack: float = 4.5) -> DataFrame:
