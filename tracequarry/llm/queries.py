@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import sql
 from .byte_bpe import round_trip_digests
 from .chat_tools import REPLY_SCHEMA, calls_and_results, link_tool_calls
+from .collocations import collocations
 from .common import table
 from .fingerprint import fingerprints
 from .id_codec import read_ids, write_ids
@@ -82,6 +83,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.round(c, 6) for c in ("class_distance", "common_distance")})
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_line_dedup": op2_line_dedup,
@@ -93,5 +98,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
+    "op12_collocations": op12_collocations,
 }
-ORACLE_SQL: dict[str, str] = {"op7_tool_calls": sql.TOOL_CALLS, "op10_quality_rules": sql.quality_rules_sql()}
+ORACLE_SQL: dict[str, str] = {"op7_tool_calls": sql.TOOL_CALLS, "op10_quality_rules": sql.quality_rules_sql(), "op12_collocations": sql.COLLOCATIONS}

@@ -1,4 +1,4 @@
-"""DuckDB SQL of the numbered queries that SQL can express: tool-call linking and quality rules."""
+"""DuckDB SQL of the numbered queries that SQL can express: tool-call linking, quality rules and collocations."""
 
 from __future__ import annotations
 
@@ -63,3 +63,24 @@ SELECT doc_id, n AS n_words, CAST(chars - cl[1] AS BIGINT) AS word_chars, CAST(c
     n < {min_words} OR 100 * n_repeat > {repeat_percent} * n AS base_failed, round(dc, 6) AS class_distance, round(dw, 6) AS common_distance,
     NOT (n < {min_words} OR 100 * n_repeat > {repeat_percent} * n) AND NOT (n >= {min_judged_words} AND coalesce(dc + coalesce(dw, dc), 0) > {max_distance}) AS kept
 FROM judged"""
+
+
+COLLOCATIONS = r"""WITH lowered AS (SELECT coalesce(lang, 'und') AS lang, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents WHERE text IS NOT NULL),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM lowered),
+worded AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda w: w <> '') AS ws FROM pieces),
+places AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM worded),
+f1 AS (SELECT lang, ws[i] AS w1, count(*) AS f FROM places GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f1 GROUP BY lang),
+f2 AS (SELECT lang, ws[i] AS w1, ws[i + 1] AS w2, count(*) AS f FROM places WHERE i + 1 <= len(ws) GROUP BY ALL HAVING count(*) >= 10),
+f3 AS (SELECT lang, ws[i] AS w1, ws[i + 1] AS w2, ws[i + 2] AS w3, count(*) AS f FROM places WHERE i + 2 <= len(ws) GROUP BY ALL HAVING count(*) >= 10),
+cuts AS (
+    SELECT b.lang, b.w1 || ' ' || b.w2 AS phrase, b.f AS a, 1 AS k, l.f AS l, r.f AS r FROM f2 b JOIN f1 l ON l.lang = b.lang AND l.w1 = b.w1 JOIN f1 r ON r.lang = b.lang AND r.w1 = b.w2
+    WHERE NOT EXISTS (SELECT 1 FROM f3 t WHERE t.lang = b.lang AND 100 * t.f >= 50 * b.f AND (t.w1 = b.w1 AND t.w2 = b.w2 OR t.w2 = b.w1 AND t.w3 = b.w2))
+    UNION ALL
+    SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, t.f, 1, l.f, r.f FROM f3 t JOIN f1 l ON l.lang = t.lang AND l.w1 = t.w1 JOIN f2 r ON r.lang = t.lang AND r.w1 = t.w2 AND r.w2 = t.w3
+    UNION ALL
+    SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, t.f, 2, l.f, r.f FROM f3 t JOIN f2 l ON l.lang = t.lang AND l.w1 = t.w1 AND l.w2 = t.w2 JOIN f1 r ON r.lang = t.lang AND r.w1 = t.w3),
+scored AS (SELECT *, CAST(1000000 * CAST(a AS HUGEINT) * a // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM cuts),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS INTEGER) AS rank, phrase, a, l, r, n, score
+FROM least JOIN totals USING (lang) QUALIFY rank <= 2000"""
