@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sql
+from .alignment import align_tokenizers
 from .byte_bpe import round_trip_digests
 from .chat_tools import REPLY_SCHEMA, calls_and_results, link_tool_calls
 from .collocations import collocations
@@ -17,6 +18,7 @@ from .fingerprint import fingerprints
 from .id_codec import read_ids, write_ids
 from .line_dedup import dedup_passages
 from .minhash import near_duplicates
+from .neighbours import nearest_neighbours
 from .packing import pack
 from .quality_model import classify_quality
 from .quality_rules import quality_rules
@@ -83,10 +85,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.round(c, 6) for c in ("class_distance", "common_distance")})
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_line_dedup": op2_line_dedup,
@@ -98,6 +108,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
+    "op11_neighbours": op11_neighbours,
     "op12_collocations": op12_collocations,
+    "op13_alignment": op13_alignment,
 }
 ORACLE_SQL: dict[str, str] = {"op7_tool_calls": sql.TOOL_CALLS, "op10_quality_rules": sql.quality_rules_sql(), "op12_collocations": sql.COLLOCATIONS}
