@@ -4,15 +4,19 @@ Inputs are built from the test tables in the shapes that clients send: OTLP payl
 
 from __future__ import annotations
 
+import base64
+import json
+import re
 from collections.abc import Callable
 from datetime import date, datetime
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracequarry.functions import formats, generation, templates
 from tracequarry.operators import alerts, comparison, evaluators, guardrails, metrics, registry, review, runner, tenancy, traces
-from tracequarry.sources import datasets, fixtures, otlp
+from tracequarry.sources import datasets, fixtures, otlp, otlp_protobuf
 from tracequarry.sources import spans as native
 
 from . import oracle as O
@@ -113,6 +117,75 @@ def otlp_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return otlp.decode(_payloads(spark, sf_dir))[1].groupBy("reason").agg(F.count("*").alias("payloads"))
 
 
+def _to_protobuf(body: pd.Series) -> pd.Series:
+    """The payloads of _payloads in protobuf; one kind is cut off, one damaged."""
+    plain = {"stringValue": "string", "intValue": "int", "boolValue": "bool"}
+
+    def value(v: dict) -> dict:
+        (kind, x), *_ = v.items()
+        if kind == "arrayValue":
+            return {"list": {"values": [value(one) for one in x["values"]]}}
+        return {plain[kind]: int(x) if kind == "intValue" else x}
+
+    pairs = lambda of: [{"key": a["key"], "value": value(a["value"])} for a in of]
+    number = lambda text: bytes.fromhex(text) if len(text) in (16, 32) else base64.b64decode(text)
+
+    def span(s: dict) -> dict:
+        out = {"trace_id": number(s["traceId"]), "span_id": number(s["spanId"]), "parent_span_id": number(s["parentSpanId"]), "name": s["name"], "start": int(s["startTimeUnixNano"])}
+        if "endTimeUnixNano" in s:
+            out["end"] = int(s["endTimeUnixNano"])
+        if "status" in s:
+            out["status"] = s["status"]
+        return out | {"attributes": pairs(s["attributes"]), "events": [{"name": e["name"], "attributes": pairs(e.get("attributes", []))} for e in s.get("events", [])]}
+
+    def one(text: str) -> bytes:
+        if not text.startswith("{"):
+            return b"\x0a\x05cut"
+        if re.search('"spanId":"zz[^"]{12}', text):
+            return b"\x0a\x02\x0f\x00"
+        groups = [
+            {"resource": {"attributes": pairs(g["resource"]["attributes"])}, "scope_spans": [{"scope": c["scope"], "spans": [span(x) for x in c["spans"]]} for c in g["scopeSpans"]]}
+            for g in json.loads(text)["resourceSpans"]
+        ]
+        return otlp_protobuf.write({"resource_spans": groups}, "request")
+
+    return body.map(one)
+
+
+def _binary_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _payloads(spark, sf_dir).select(F.pandas_udf(_to_protobuf, "binary")("body").alias("body"))
+
+
+@query(_OTLP_SQL)
+def otlp_protobuf_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = otlp_protobuf.decode(_binary_payloads(spark, sf_dir)).where("reason is null").drop("reason")
+    return otlp.to_spans(decoded).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "ended_at")} | {"cost_usd": F.col("cost_usd").cast("double")})
+
+
+@query("""SELECT 'malformed protobuf: ' || CASE WHEN l_orderkey % 50 = 7 THEN 'cut off within a field' ELSE 'unknown wire type 7' END AS reason, count(DISTINCT l_orderkey) AS payloads
+FROM lineitem WHERE l_orderkey % 50 IN (7, 8) GROUP BY 1""")
+def otlp_protobuf_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return otlp_protobuf.decode(_binary_payloads(spark, sf_dir)).where("reason is not null").groupBy("reason").agg(F.count("*").alias("payloads"))
+
+
+@query("""WITH s AS (SELECT l_orderkey, l_linenumber, substr(md5(l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR), 1, CASE WHEN l_linenumber > 4 THEN 14 ELSE 16 END) AS id FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)),
+b AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber > 4 ORDER BY id) AS n FROM s)
+SELECT l_orderkey, count(*) FILTER (l_linenumber <= 4) AS accepted, count(*) FILTER (l_linenumber > 4) AS rejected_spans,
+coalesce(string_agg(id || ': span_id cannot be stored', '; ' ORDER BY id) FILTER (l_linenumber > 4 AND n <= 3), '') AS error_message FROM b GROUP BY 1""")
+def otlp_partial_success(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Binary payloads of an order each, in which later lines have span ids of seven bytes."""
+    l = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    id_ = F.substring(F.md5(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))), 1, 16)
+    d = l.groupBy("l_orderkey").agg(F.collect_list(F.when(F.col("l_linenumber") > 4, F.substring(id_, 1, 14)).otherwise(id_)).alias("ids"))  # an order's lines
+
+    def request(orders: pd.Series, ids: pd.Series) -> pd.Series:
+        spans = lambda order, own: [{"trace_id": order.to_bytes(16), "span_id": bytes.fromhex(i), "start": 1} for i in own]
+        return pd.Series([otlp_protobuf.write({"resource_spans": [{"scope_spans": [{"spans": spans(o, own)}]}]}, "request") for o, own in zip(orders, ids, strict=True)])
+
+    bodies = d.select("l_orderkey", F.pandas_udf(request, "binary")("l_orderkey", "ids").alias("body"))
+    return otlp.partial_success(*otlp.split(otlp.to_spans(otlp_protobuf.decode(bodies).where("reason is null").drop("reason"))), "l_orderkey")
+
+
 # ---- native spans ---------------------------------------------------------------------------------------------------
 
 
