@@ -44,5 +44,6 @@ def without(df: DataFrame, gone: DataFrame, *keys: str) -> DataFrame:
 def rejected(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
     """Rows that fit all rules, and the others with the reasons (names of the rules that do not hold; null does not)."""
     failing = F.array_compact(F.array(*[F.when(~F.coalesce(rule, F.lit(False)), name) for name, rule in rules.items()]))
-    judged = df.withColumn("reasons", failing)
+    # judged once: the generator keeps the rules from being evaluated for the filter and again for the column
+    judged = df.select(F.inline(F.array(F.struct(*df.columns, failing.alias("reasons")))))
     return judged.where(F.size("reasons") == 0).drop("reasons"), judged.where(F.size("reasons") > 0)

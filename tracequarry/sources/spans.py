@@ -50,10 +50,10 @@ def validated(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
 def parsed(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Accepted and rejected spans of lines (value: one JSON span). Fields that the schema does not name are no spans."""
     as_read = F.from_json("value", T.StructType([*SCHEMA.fields, T.StructField(_CORRUPT, T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
-    keys = F.json_object_keys("value")
-    unknown = F.size(F.array_except(keys, F.array(*[F.lit(f.name) for f in SCHEMA.fields]))) > 0
-    found = lines.select("value", as_read.alias("s"), keys.isNull().alias("_broken"), unknown.alias("_unknown"))
-    corrupt = F.when(F.col("_broken") | F.col("_unknown") | F.col("s").isNull(), F.col("value")).otherwise(F.col(f"s.{_CORRUPT}"))
+    # a generator, so that the optimiser does not parse again for each column and rule
+    found = lines.select(F.inline(F.array(F.struct("value", as_read.alias("s"), F.json_object_keys("value").alias("_keys")))))
+    unknown = F.size(F.array_except("_keys", F.array(*[F.lit(f.name) for f in SCHEMA.fields]))) > 0
+    corrupt = F.when(F.col("_keys").isNull() | unknown | F.col("s").isNull(), F.col("value")).otherwise(F.col(f"s.{_CORRUPT}"))
     return validated(found.select(*[F.col(f"s.{f.name}").alias(f.name) for f in SCHEMA.fields], corrupt.alias(_CORRUPT)))
 
 
