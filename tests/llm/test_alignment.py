@@ -84,7 +84,7 @@ def test_groups_of_one_text_and_emptied_tables(monkeypatch):
     monkeypatch.setattr(alignment, "MAX_WORDS", 3)
     texts = [t for _, t in EXTRA]
     whole = SentencePieceProcessor(model_file=B)
-    assert [x.tolist() for x in alignment._Pieces(B).encode(texts)] == [whole.encode(t) for t in texts]
+    assert [x.tolist() for x, _ in alignment._Pieces(B).encode(texts)] == [whole.encode(t) for t in texts]
     groups = alignment.token_groups("unbelievable, naïve 日本", A, B)
     assert all(a and b for a, b in groups) and len(groups) > 3 and alignment.token_groups("▁", A, B) == []
 

@@ -27,12 +27,12 @@ from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
 from .common import small, written
-from .vocab import Vocabulary, vocabulary
+from .vocab import Vocabulary
 
 #: Most distinct id pairs that are broadcast, and characters of text to a step.
 MAX_PAIRS, STEP = 1_000_000, 1 << 21
 #: Words whose pieces a Python worker remembers.
-MAX_WORDS = 300_000
+MAX_WORDS = 400_000
 A_ENDS, B_ENDS, BOTH = 1, 2, 3
 SPAN = re.compile(rb"[^\x03]*\x03", re.DOTALL)
 
@@ -48,37 +48,78 @@ class _Counts(dict):
         return n
 
 
+class _AfterSpace(Vocabulary):
+    """Ids of texts that follow a space, so that the first word is one like others."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        letters = _byte_of_letter()
+        #: Whether tokens always spell the text: each byte is a token, and nothing is changed before.
+        self.lossless = self.library.normalizer is None and all(self.library.token_to_id(c) is not None for c in letters)
+
+    def _keeping(self, texts: list[str]) -> list[bytes]:
+        split = [[line.split(" ") for line in t.split("\n")] for t in texts]
+        on_line = self.on_line.of({line[0] for t in split for line in t[1:]})
+        spaced = self.spaced.of(set().union(*[t[0] for t in split], *[line[1:] for t in split for line in t[1:]])).__getitem__
+        out = []
+        for text, (head, *lines) in zip(texts, split, strict=True):
+            try:
+                parts = list(map(spaced, head))
+                for line in lines:
+                    parts.append(on_line[line[0]])
+                    parts.extend(map(spaced, line[1:]))
+                out.append(b"".join(parts))
+            except TypeError:  # a word that cannot be encoded by itself
+                out.append(self.wholes([" " + text])[0])
+        return out
+
+
 class _Pieces:
-    """Ids of a piece model. No piece goes on past a space, so that words are encoded once each and remembered."""
+    """Ids of a piece model. No piece goes on past a space, so that words are encoded once each, many to a call, and remembered."""
 
     def __init__(self, path: str):
         self.model = SentencePieceProcessor(model_file=path)
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.spelled = [bytes([int(n[3:5], 16)]) if self.model.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
         self.by_word = not any("▁" in n.lstrip("▁") for n in names)
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.split(" ") if self.by_word and "▁" not in t else [""] for t in texts]
-        new = [w for w in set().union(*split) if w and w not in self.known]
+        self.starts = np.array([n.startswith("▁") for n in names])
+        self.known: dict[str, bytes | None] = {}
+
+    def _spell(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.spelled.__getitem__, ids.tolist()))
+
+    def _learn(self, words: list[str]) -> None:
+        """Each word's ids, or None where they do not spell it."""
+        ids = np.array(self.model.encode(" ".join(words)), "<u4")
+        first = np.flatnonzero(self.starts[ids])
+        if len(first) == len(words) and self._spell(ids) == b"".join(b" " + w.encode() for w in words):
+            raw, bounds = ids.tobytes(), [*(first * 4).tolist(), len(ids) * 4]
+            self.known.update((w, raw[a:b]) for w, a, b in zip(words, bounds[:-1], bounds[1:], strict=True))
+            return
+        for w, own in zip(words, self.model.encode(words, num_threads=1), strict=True):
+            own = np.array(own, "<u4")
+            self.known[w] = own.tobytes() if self._spell(own) == b" " + w.encode() else None
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bool]]:
+        """Each text's ids, and whether they spell it after a space."""
+        split = [t.split(" ") if self.by_word else [""] for t in texts]
+        every = set().union(*split)
+        new = [w for w in every if w and w not in self.known]
         if len(self.known) + len(new) > MAX_WORDS:
             self.known.clear()
-            new = [w for w in set().union(*split) if w]
+            new = [w for w in every if w]
         for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            self.known.update(zip(some, (np.array(ids, "<u4").tobytes() for ids in self.model.encode(some, num_threads=1)), strict=True))
+            self._learn(new[i : i + 4096])
         out = []
         for text, words in zip(texts, split, strict=True):
-            # an empty word: spaces in a row, or at an end, form pieces of their own
-            out.append(np.array(self.model.encode(text), "<u4") if "" in words else np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4"))
+            try:
+                out.append((np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4"), True))
+            except (KeyError, TypeError):  # an empty word: spaces in a row or at an end form pieces of their own; or one misspelt
+                ids = np.array(self.model.encode(text), "<u4")
+                out.append((ids, self._spell(ids) == b" " + text.encode()))
         return out
 
 
-@cache
-def _pieces(path: str) -> _Pieces:
-    return _Pieces(path)
-
-
 def _byte_of_letter() -> dict[str, int]:
     """The byte that each letter of a byte-level vocabulary stands for: visible ones themselves, the others from U+0100 on."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -88,8 +129,7 @@ def _byte_of_letter() -> dict[str, int]:
 
 class _Aligner:
     def __init__(self, byte_level: str, pieces: str):
-        self.a: Vocabulary = vocabulary(byte_level)
-        self.b = _pieces(pieces)
+        self.a, self.b = _AfterSpace(byte_level), _Pieces(pieces)
         letters = _byte_of_letter()
         size = self.a.library.get_vocab_size()
         names = [self.a.library.id_to_token(i) or "" for i in range(size)]
@@ -105,16 +145,15 @@ class _Aligner:
         """n_a, n_b, n_groups, digest, distinct linked pairs (id of A in the upper half) and how often, of each text; None without tokens."""
         out: list[tuple | None] = [None] * len(texts)
         full = [i for i, t in enumerate(texts) if t]
-        ids_a = [np.frombuffer(x, "<u4") for x in self.a.encode([" " + texts[i] for i in full])]
-        ids_b = self.b.encode([texts[i] for i in full])
+        ids_a = [np.frombuffer(x, "<u4") for x in self.a.encode([texts[i] for i in full])]
         at, a, b, size = [], [], [], 0
-        for i, x, y in zip(full, ids_a, ids_b, strict=True):
-            raw = b" " + texts[i].encode()
-            if b"".join(map(self.spelled_a.__getitem__, x.tolist())) == raw == b"".join(map(self.b.spelled.__getitem__, y.tolist())):
+        for i, x, (y, spelt) in zip(full, ids_a, self.b.encode([texts[i] for i in full]), strict=True):
+            length = int(self.length_b[y].sum())
+            if spelt and (self.a.lossless or b"".join(map(self.spelled_a.__getitem__, x.tolist())) == b" " + texts[i].encode()):
                 at.append(i)
                 a.append(x)
                 b.append(y)
-                size += len(raw)
+                size += length
         if at:
             for i, found in zip(at, self._aligned(a, b, size), strict=True):
                 out[i] = found
@@ -158,7 +197,7 @@ def token_groups(text: str, byte_level: str, pieces: str) -> list[tuple[list[int
     one = _aligner(byte_level, pieces)
     if not one([text])[0]:
         return []
-    a, b = np.frombuffer(one.a.encode([" " + text])[0], "<u4"), one.b.encode([text])[0]
+    a, b = np.frombuffer(one.a.encode([text])[0], "<u4"), one.b.encode([text])[0][0]
     labels = np.zeros(len(text.encode()) + 1, dtype=np.uint8)
     labels[np.cumsum(one.length_a[a]) - 1] |= A_ENDS
     labels[np.cumsum(one.length_b[b]) - 1] |= B_ENDS
