@@ -189,3 +189,15 @@ def test_top_word_counts_all_words():
     words[50], words[-1], words[60], words[70] = "middle", "end", "a", "b"
     assert features(" ".join(words))[FEATURES.index("top_word")] == words.count("junk") / 100
     assert features("")[FEATURES.index("top_word")] == 0
+
+
+def test_one_text_for_each_labelled_doc_id(spark):
+    """A doc_id that many rows bear gives the learners one row, whatever its texts."""
+    from tracequarry.llm.common import labelled_texts
+
+    docs = spark.range(2000).selectExpr("id % 3 as doc_id", "concat('text ', id % 7) as text", "'mine' as toxic")
+    chosen = spark.createDataFrame([(0, 1), (2, 0), (5, 1)], "doc_id long, toxic int")
+    rows = labelled_texts(docs, chosen).collect()
+    assert sorted((r["doc_id"], r["toxic"]) for r in rows) == [(0, 1), (2, 0)]
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, labelled_texts(docs.repartition(7), chosen).collect()))
+    assert labelled_texts(docs.where("false"), chosen).collect() == []

@@ -30,8 +30,9 @@ WINDOWS = ((1, 2), (1, 3))
 #: Most that two lengths, two quartile ratios and two buckets can differ by.
 LENGTH_CAP, RATIO_CAP, BUCKET_CAP = 24, 8, 6
 CHUNK = 1 << 20
-#: Bytes of text to a range, about.
-RANGE_BYTES = 16 << 20
+#: Bytes of text to a range, about, and most ranges: what the driver holds of them is so bounded, and larger tables have larger
+#: ranges, which are sorted and read as streams.
+RANGE_BYTES, MAX_RANGES = 16 << 20, 20_000
 
 
 def _counts(raw: bytes) -> np.ndarray:
@@ -92,7 +93,7 @@ def _ranges(docs: DataFrame, range_bytes: int) -> tuple[Column, int]:
 
     The cut points, one number for each range, are looked up by binary search."""
     size, rows = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    n = max(1, min(rows, -(-(size or 0) // range_bytes)))
+    n = max(1, min(rows, -(-(size or 0) // range_bytes), MAX_RANGES))
     if n == 1:
         return F.lit(0), 1
     cuts = np.unique(docs.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)).astype(np.int64)
@@ -131,7 +132,7 @@ def fingerprints(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     part, n = _ranges(docs, range_bytes)
     placed = docs.withColumn("part", part)
     # the least doc_id of each range that has rows, and the range before it; the first range's ends the last
-    firsts = placed.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("id"))).alias("low")).collect()
+    firsts = placed.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("id"))).alias("low")).collect()  # MAX_RANGES at most
     firsts = sorted((r["part"], r["low"]["id"]) for r in firsts)  # a pair of numbers for each range
     rows = [(p, low, firsts[i - 1][0]) for i, (p, low) in enumerate(firsts)]
     parts = docs.sparkSession.createDataFrame(rows, "part int, low long, ends int")

@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_root
+from .common import delete_at_end, scratch_root
 from .vocab import vocabulary
 
 MAGIC, VERSION = b"TQID", 2
@@ -314,9 +314,12 @@ def blocks_of(content: bytes) -> Iterator[tuple[int, int, int, int, int]]:
 
 
 def write_ids(docs: DataFrame, path: str, folder: str | None = None, end_id: int = 0) -> str:
-    """Writes the files of blocks to `folder`, a new one in the shared folder unless given; returns it."""
+    """Writes the files of blocks to `folder`; returns it. Unless given it is a new one in the shared folder, deleted when the
+    application ends."""
     spark, end = docs.sparkSession, np.array([end_id], "<u4").tobytes()
-    folder = folder or f"{scratch_root(spark).rstrip('/')}/tracequarry/ids-{uuid.uuid4().hex}"
+    if folder is None:
+        folder = f"{scratch_root(spark).rstrip('/')}/tracequarry/ids-{uuid.uuid4().hex}"
+        delete_at_end(spark, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, shard, block = vocabulary(path), TaskContext.get().partitionId(), 0

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, words, written
+from .common import NOT_SPACE, small, words, written
 
 
 #: Occurrences of one chunk to a salt.
@@ -76,9 +76,16 @@ def _repeated_pairs(hashed: DataFrame) -> DataFrame:
     pairs = F.transform(F.sequence(F.lit(0), F.size(h) - 2), lambda i: F.struct(i.alias("start"), F.get(h, i).alias("_a"), F.get(h, i + 1).alias("_b")))
     pairs = hashed.select("_id", "_key", F.explode(pairs).alias("p")).select("_id", "_key", "p.*")
     first = pairs.groupBy("_a", "_b").agg(F.min(_place()).alias("_first"), F.count("*").alias("_count")).where("_count > 1")
-    first = written(first.select("_a", "_b", F.col("_first.key").alias("_first_key"), F.col("_first.start").alias("_first_start")), "first-pairs")
+    first = written(first.select("_a", "_b", F.col("_first.key").alias("_first_key"), F.col("_first.start").alias("_first_start"), "_count"), "first-pairs")
+    # as for chunks: pairs with over n / MOST_HOT occurrences, MOST_HOT at most, meet theirs by a broadcast
+    total = hashed.agg(F.sum(F.greatest(F.size("_hashes") - 1, F.lit(0)))).first()[0] or 0
+    often = F.col("_count") > max(SALTED, total // MOST_HOT)
+    hot, others = first.where(often).drop("_count"), first.where(~often).drop("_count")
+    marked = pairs.select("_key", "start", "_a", "_b").join(F.broadcast(hot), ["_a", "_b"], "left")
+    rare = marked.where("_first_key is null").drop("_first_key", "_first_start").join(others, ["_a", "_b"])
+    found = marked.where("_first_key is not null").unionByName(rare)
     again = (F.col("_key") != F.col("_first_key")) | (F.col("start") != F.col("_first_start"))
-    return written(pairs.select("_key", "start", "_a", "_b").join(first, ["_a", "_b"]).select("_key", "start", "_a", "_b", again.alias("again")), "repeated-pairs")
+    return written(found.select("_key", "start", "_a", "_b", again.alias("again")), "repeated-pairs")
 
 
 def _long_runs(lines: Column, starts: Column) -> Column:
@@ -133,7 +140,7 @@ def _without_repeats(docs: DataFrame, out: str, passages: bool) -> DataFrame:
     gone = again.select("_key", "start", "n", F.lit(False).alias("pair"))
     if passages:
         unlike = lines.groupBy("_h").agg(F.min("_bytes").alias("b0"), F.max("_bytes").alias("b1")).where("b0 <> b1")
-        unlike = F.broadcast(unlike.select(F.col("_h").alias("_a"), F.col("_h").alias("_b")))  # 64-bit collisions of unlike lines
+        unlike = small(unlike.select(F.col("_h").alias("_a"), F.col("_h").alias("_b")))  # 64-bit collisions of unlike lines
         hits = pairs.where("again").join(unlike.select("_a"), "_a", "left_anti").join(unlike.select("_b"), "_b", "left_anti")
         gone = gone.unionByName(hits.select("_key", "start", F.lit(2).alias("n"), F.lit(True).alias("pair")))
     chunk_or_pair = [F.collect_set(F.when(~F.col("pair"), F.struct("start", "n"))).alias("_gone"), F.array_sort(F.collect_set(F.when(F.col("pair"), F.col("start")))).alias("_hits")]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import labelled_texts, small, written
 
 FEATURES = ("one", "log_words", "distinct", "word_length", "symbols", "capitals", "marks", "short_words", "repeated_lines", "top_word")
 SYMBOLS = frozenset("#*$%&|<>")
@@ -69,7 +69,7 @@ def fit_evidence(docs: DataFrame, labels: DataFrame, max_labelled: int = 40_000,
         .groupBy("doc_id").agg(F.min("quality").cast("int").alias("good"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("good", "text").mapInArrow(_featured, "good int, x array<double>").toPandas()
+    rows = labelled_texts(docs, chosen).select("good", "text").mapInArrow(_featured, "good int, x array<double>").toPandas()
     if rows["good"].nunique() < 2:
         return np.zeros(len(FEATURES)), 0.0
     x, y = np.stack(rows["x"].to_numpy()), rows["good"].to_numpy(dtype=float)

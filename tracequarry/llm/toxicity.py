@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import labelled_texts, written
 
 PREFIXES = (7, 6, 5, 4)
 STRIP = ".,;:!?|#*$%&\"'()[]{}<>-_"
@@ -159,7 +159,7 @@ def _sample(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame:
         .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most max_labelled pairs of numbers
+    return labelled_texts(docs, chosen)  # at most max_labelled rows
 
 
 def _with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
