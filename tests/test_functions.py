@@ -118,7 +118,7 @@ def test_promotion_refuses(spark):
         review.promote(items, pick("a").where("false"), none)
 
 
-def test_cosine_of_unlike_lengths(spark):
-    df = spark.createDataFrame([([1.0], [1.0, 2.0])], "a array<double>, b array<double>")
-    with pytest.raises(Exception, match="differ in length"):
-        df.select(evaluators.cosine(F.col("a"), F.col("b"))).collect()
+def test_vectors_of_unlike_lengths_are_a_gap_of_their_row(spark):
+    df = spark.createDataFrame([(1, [1.0], [1.0, 2.0]), (2, [1.0, 0.0], [1.0, 0.0])], "k int, a array<double>, b array<double>")
+    got = {r["k"]: r for r in df.select("k", evaluators.embedding_similarity(F.col("a"), F.col("b")).alias("r")).select("k", "r.*").collect()}
+    assert got[1]["score"] is None and got[1]["error"] == "the vectors differ in length" and got[2]["score"] == 1.0

@@ -1,17 +1,23 @@
-"""Scores of outputs as columns: struct(score, passed, error); a null score with an error is unscoreable."""
+"""Scores of outputs as columns: struct(score, passed, error, detail); a null score with an error is unscoreable.
+
+detail is a JSON object that explains the score; {} where there is nothing to say. No evaluator raises: what cannot be scored
+gives a null score and a reason for its row."""
 
 from __future__ import annotations
 
 import inspect
-import re
+import json
 from collections.abc import Callable
 from functools import partial
 from typing import Any
 
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracequarry.functions import json_text as J
+from tracequarry.functions.isolation import casefolded, isolated, matched
 from tracequarry.functions.json_schema import check_schema, schema_result, without_fences
 
 EVALUATORS: dict[str, Callable[..., Column]] = {}
@@ -30,26 +36,51 @@ def evaluator(name: str):
     return add
 
 
-def _result(score: Column, passed: Column, error: Column | None = None) -> Column:
+def _detail(**fields: Column) -> Column:
+    """A JSON object of fields that are not null; values are JSON texts."""
+    pairs = [F.when(v.isNotNull(), F.struct(F.lit(k).alias("key"), v.alias("value"))) for k, v in fields.items()]
+    return J.object_of(F.array_compact(F.array(*pairs)))
+
+
+def _result(score: Column, passed: Column, error: Column | None = None, detail: Column | None = None) -> Column:
     error = F.lit(None).cast("string") if error is None else error
-    return F.struct(score.cast("double").alias("score"), passed.cast("boolean").alias("passed"), error.alias("error"))
+    detail = F.when(error.isNull(), detail) if detail is not None else F.lit("{}")
+    return F.struct(score.cast("double").alias("score"), passed.cast("boolean").alias("passed"), error.alias("error"), F.coalesce(detail, F.lit("{}")).alias("detail"))
+
+
+def unscoreable(error: Column) -> Column:
+    return _result(F.lit(None), F.lit(None), error)
+
+
+def custom(name: str, f: Callable[..., float | None]) -> None:
+    """Registers an evaluator in Python: f(output, expected, inputs, context), texts or None, gives a score from 0 to 1 or
+    None for a gap; what it raises is the reason of that row alone."""
+
+    def build_column(output: Column, expected: Column, inputs: Column, context: Column, threshold: float = 0.5) -> Column:
+        r = isolated(f, T.DoubleType(), nulls=True)(output, expected, inputs, context)
+        error = F.coalesce(r["error"], F.when(r["value"].isNull(), F.lit("no score")))
+        return _result(r["value"], r["value"] >= threshold, error)
+
+    evaluator(name)(build_column)
 
 
 @evaluator("exact_match")
 def exact_match(output: Column, expected: Column, strip: bool = True, case_sensitive: bool = True) -> Column:
     form = lambda c: F.trim(F.regexp_replace(c, r"^\s+|\s+$", "")) if strip else c
-    cased = (lambda c: c) if case_sensitive else F.lower
+    cased = (lambda c: c) if case_sensitive else casefolded
     hit = cased(form(output)) == cased(form(expected))
-    return _result(F.when(expected.isNotNull(), F.when(hit, 1.0).otherwise(0.0)), F.when(expected.isNotNull(), hit), F.when(expected.isNull(), F.lit("no expected output")))
+    detail = F.when(~hit, _detail(expected=J.quoted(expected), actual=J.quoted(output)))
+    return _result(F.when(expected.isNotNull(), F.when(hit, 1.0).otherwise(0.0)), F.when(expected.isNotNull(), hit), F.when(expected.isNull(), F.lit("no expected output")), detail)
 
 
 @evaluator("regex_match")
 def regex_match(output: Column, pattern: str, full: bool = False, ignore_case: bool = False) -> Column:
     if len(pattern) > 1000:
         raise ValueError("pattern is over 1000 characters")
-    whole = rf"\A(?:{pattern})\z" if full else pattern
-    hit = output.rlike(("(?i)" if ignore_case else "") + whole)
-    return _result(F.when(hit, 1.0).otherwise(0.0), hit)
+    found = matched(output, pattern, full, ignore_case)
+    hit = found["value"]["hit"]
+    detail = _detail(pattern=F.lit(json.dumps(pattern, ensure_ascii=False)), matched=J.quoted(found["value"]["matched"]))
+    return _result(F.when(hit, 1.0).when(~hit, 0.0), hit, found["error"], detail)
 
 
 def document_key(document: Column, id_field: str = "id", normalise: bool = True) -> Column:
@@ -57,7 +88,7 @@ def document_key(document: Column, id_field: str = "id", normalise: bool = True)
     filled = lambda name: F.nullif(J.field(document, name), F.lit('""'))
     raw = F.when(J.is_object(document), F.coalesce(J.field(document, id_field), filled("text"), filled("content"), F.lit('""'))).otherwise(document)
     key = J.text_of(raw)
-    return F.lower(F.trim(F.regexp_replace(key, r"\s+", " "))) if normalise else key
+    return F.lower(F.trim(F.regexp_replace(key, r"\s+", " "))) if normalise else key  # lower: Python cannot be called within a list
 
 
 def retrieval_keys(inputs: Column, expected_context: Column, field: str = "retrieved_context", id_field: str = "id", normalise: bool = True) -> tuple[Column, Column, Column]:
@@ -71,6 +102,12 @@ def retrieval_keys(inputs: Column, expected_context: Column, field: str = "retri
     return keys(raw), keys(expected_context), error
 
 
+def _found(top: Column, relevant: Column, hits: Column, **more: Column) -> Column:
+    count = lambda c: F.size(c).cast("string")
+    listed = F.transform(missed(top, relevant), lambda x: F.coalesce(J.quoted(x), F.lit("null")))
+    return _detail(retrieved_count=count(top), relevant_count=count(relevant), hits=hits.cast("string"), missed=F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]")), **more)
+
+
 def _hits(retrieved: Column, relevant: Column) -> Column:
     return F.size(F.filter(retrieved, lambda x: F.array_contains(relevant, x)))
 
@@ -84,7 +121,8 @@ def retrieval_precision(retrieved: Column, relevant: Column, k: int | None = Non
     """The share of retrieved documents that are relevant; without retrieved ones 0 and failed, else without a verdict."""
     top = F.slice(retrieved, 1, k) if k else retrieved
     score = F.coalesce(F.try_divide(_hits(top, relevant), F.size(top)), F.lit(0.0))
-    return _result(score, F.when(F.size(top) == 0, False).otherwise(_none()))
+    detail = F.when(F.size(top) == 0, F.lit('{"error":"nothing was retrieved"}')).otherwise(_found(top, relevant, _hits(top, relevant)))
+    return _result(score, F.when(F.size(top) == 0, False).otherwise(_none()), detail=detail)
 
 
 @evaluator("retrieval_recall")
@@ -92,7 +130,7 @@ def retrieval_recall(retrieved: Column, relevant: Column, k: int | None = None)
     """The share of relevant documents that were retrieved, without a verdict."""
     top = F.slice(retrieved, 1, k) if k else retrieved
     found = F.size(F.filter(relevant, lambda x: F.array_contains(top, x)))
-    return _result(F.try_divide(found, F.size(relevant)), _none(), F.when(F.size(relevant) == 0, F.lit("no relevant items")))
+    return _result(F.try_divide(found, F.size(relevant)), _none(), F.when(F.size(relevant) == 0, F.lit("no relevant items")), _found(top, relevant, found))
 
 
 @evaluator("retrieval_mrr")
@@ -100,7 +138,8 @@ def retrieval_mrr(retrieved: Column, relevant: Column, k: int | None = None) ->
     """One over the rank of the first relevant document; without one 0 and failed, else without a verdict."""
     top = F.slice(retrieved, 1, k) if k else retrieved
     rank = F.array_position(F.transform(top, lambda x: F.array_contains(relevant, x)), True)
-    return _result(F.when(rank > 0, 1.0 / rank).otherwise(0.0), F.when(rank > 0, _none()).otherwise(False))
+    detail = _found(top, relevant, F.when(rank > 0, 1).otherwise(0), first_relevant_rank=F.when(rank > 0, rank.cast("string")).otherwise("null"))
+    return _result(F.when(rank > 0, 1.0 / rank).otherwise(0.0), F.when(rank > 0, _none()).otherwise(False), detail=detail)
 
 
 def missed(retrieved: Column, relevant: Column) -> Column:
@@ -127,25 +166,35 @@ def json_schema(output: Column, schema: dict[str, Any], strip_code_fences: bool
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """0 if either vector is zero; an error for vectors of unlike length."""
-    a = F.when(F.size(a) == F.size(b), a).when(a.isNotNull() & b.isNotNull(), F.raise_error(F.lit("vectors differ in length")).cast("array<double>"))
+    """0 if either vector is zero; null for vectors of unlike length."""
     d = lambda v: F.transform(v, lambda x: x.cast("double"))
     dot = lambda x, y: F.aggregate(F.zip_with(d(x), d(y), lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-    return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
+    return F.when(F.size(a) == F.size(b), F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0)))
 
 
 @evaluator("embedding_similarity")
 def embedding_similarity(output: Column, expected: Column, threshold: float = 0.85) -> Column:
-    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(output, expected)))
-    return _result(F.when(expected.isNotNull(), score), F.when(expected.isNotNull(), score >= threshold), F.when(expected.isNull(), F.lit("no expected vector")))
+    raw = cosine(output, expected)
+    score = F.when(raw.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
+    error = F.when(expected.isNull(), "no expected vector").when(raw.isNull(), "the vectors differ in length")
+    return _result(score, score >= threshold, error, _detail(cosine=F.round(raw, 6).cast("string"), threshold=F.lit(str(threshold))))
 
 
 @evaluator("llm_judge")
-def judge_score(reply: Column, threshold: float = 0.75) -> Column:
-    """From a judge's JSON reply {"score": 1..5, "reasoning"}: clamped and put on 0..1; a reply without it is unscoreable."""
+def judge_score(reply: Column, threshold: float = 0.75, judge_model: str | None = None, target_model: str | None = None, rubric: str | None = None) -> Column:
+    """From a judge's JSON reply {"score": 1..5, "reasoning"}: clamped and put on 0..1; a reply without it is unscoreable.
+
+    A judge of the same model as the one it judges is marked, as models favour what they wrote."""
     raw = F.try_variant_get(F.try_parse_json(reply), "$.score", "double").cast("int")
-    score = (F.greatest(F.lit(1), F.least(F.lit(5), raw)) - 1) / 4.0
-    return _result(score, score >= threshold, F.when(raw.isNull(), F.lit("reply has no score")))
+    clamped = F.greatest(F.lit(1), F.least(F.lit(5), raw))
+    score = F.when(raw.isNotNull(), (clamped - 1) / 4.0)
+    known = lambda v: F.lit(None if v is None else json.dumps(v, ensure_ascii=False)).cast("string")
+    own = judge_model is not None and judge_model == target_model
+    detail = _detail(
+        raw_score=clamped.cast("string"), scale=F.lit('"1-5"'), reasoning=J.field(reply, "reasoning"), judge_model=known(judge_model), rubric=known(rubric),
+        self_judged=known(True if own else None), self_judged_note=known("the judge and the judged model are one; such scores are too high" if own else None),
+    )
+    return _result(score, score >= threshold, F.when(raw.isNull(), F.lit("reply has no score")), detail)
 
 
 def passages(context: Column) -> Column:
@@ -174,7 +223,10 @@ def build(name: str, **config: Any) -> Callable[..., Column]:
     if "schema" in config:
         check_schema(config["schema"])
     if "pattern" in config:
-        re.compile(config["pattern"])
+        try:
+            regex.compile(config["pattern"])
+        except regex.error as e:
+            raise ValueError(f"no regular expression: {e}") from e
     return partial(EVALUATORS[name], **config)
 
 
@@ -187,8 +239,8 @@ def build_all(specs: list[tuple[str, dict[str, Any]]]) -> dict[str, Callable[...
 
 
 def unpivot_scores(df: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
-    """Wide evaluator columns as rows (keys, evaluator, score, passed, error)."""
-    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("evaluator"), F.col(n)["score"].alias("score"), F.col(n)["passed"].alias("passed"), F.col(n)["error"].alias("error")) for n in names]))
+    """Wide evaluator columns as rows (keys, evaluator, score, passed, error, detail)."""
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("evaluator"), *[F.col(n)[c].alias(c) for c in ("score", "passed", "error", "detail")]) for n in names]))
     return df.select(*keys, rows.alias("r")).select(*keys, "r.*")
 
 
@@ -200,12 +252,13 @@ def aggregates(scores: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def run_status(scores: DataFrame) -> DataFrame:
-    """succeeded without failures, partial with some, failed if nothing was scored."""
-    out = scores.groupBy("run_id").agg(F.count("score").alias("completed"), (F.count("*") - F.count("score")).alias("failed"))
+def run_status(results: DataFrame) -> DataFrame:
+    """run_id, completed, failed, status of results (run_id, dataset_item_id, error), one for each item: succeeded without
+    failures, partial with some, failed if no item has an output. A null score is a gap and fails nothing."""
+    out = results.groupBy("run_id").agg(F.count_if(F.col("error").isNull()).alias("completed"), F.count("error").alias("failed"))
     return out.withColumn("status", F.when(F.col("failed") == 0, "succeeded").when(F.col("completed") > 0, "partial").otherwise("failed"))
 
 
-def pending_items(items: DataFrame, done: DataFrame) -> DataFrame:
-    """Items without a result yet."""
-    return items.join(done.select("dataset_item_id").distinct(), "dataset_item_id", "left_anti")
+def pending_items(items: DataFrame, results: DataFrame) -> DataFrame:
+    """Items without a result that succeeded."""
+    return items.join(results.where("error is null").select("dataset_item_id").distinct(), "dataset_item_id", "left_anti")

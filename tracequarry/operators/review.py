@@ -17,6 +17,8 @@ from .traces import sample_bucket
 BATCH = 500
 LOOKBACK_SECONDS = 86_400
 MOST_CARRIED = 10_000
+#: JSON values that stand for nothing where another field can be told instead.
+NOTHING = ("null", "false", "0", "0.0", '""', "[]", "{}")
 
 
 def sample_decision(traces: DataFrame, rate: float | str, control_rate: float | str) -> DataFrame:
@@ -43,7 +45,7 @@ def snapshots(spans: DataFrame, context_field: str = "context") -> DataFrame:
     of the last llm span, else the root's), context (of the first span that has one), model and prompt version.
 
     input and output are JSON texts; ties in time go by span_id."""
-    filled = lambda v: F.nullif(F.nullif(v, F.lit('""')), F.lit("[]"))
+    filled = lambda v: F.when(~v.isin(*NOTHING), v)
     either = lambda c, a, b: F.coalesce(filled(J.field(F.col(c), a)), J.field(F.col(c), b))
     said = either("output", "text", "value")
     found = either("output", "documents", "value")
@@ -101,23 +103,32 @@ def sample_projects(traces: DataFrame, spans: DataFrame, queue: DataFrame, confi
     return items.drop("in_sample", "in_control", *columns[3:]), marks
 
 
+#: What a label says besides its verdict, where the items have columns for it.
+ABOUT_LABELS = ("corrected_output", "label_reason", "notes", "labelled_by", "labelled_at")
+
+
 def label(items: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Items with labels (trace_id, verdict, corrected_output; a null verdict skips) applied, and labels that are refused:
-    those of promoted or unknown items and of verdicts other than good and bad."""
-    judged = labels.join(items.select("trace_id", F.lit(True).alias("_there"), F.col("promoted_at").isNotNull().alias("_promoted")), "trace_id", "left")
+    """Items with labels (trace_id, project_id if the items have it, verdict, and of ABOUT_LABELS what there is; a null verdict
+    skips) applied, and labels that are refused: those of promoted or unknown items and of verdicts other than good and bad.
+
+    Of several labels of one item that are not refused the last by labelled_at counts, ties by the labels' values."""
+    keys = [k for k in ("project_id", "trace_id") if k in items.columns]
+    about = [c for c in ABOUT_LABELS if c in items.columns and c in labels.columns]
+    known = items.groupBy(*keys).agg(F.max(F.col("promoted_at").isNotNull()).alias("_promoted"), F.lit(True).alias("_there"))
+    judged = labels.join(known, keys, "left")
     reason = (
         F.when(F.col("_there").isNull(), "not found").when(F.col("_promoted") & F.col("verdict").isNotNull(), "already promoted")
         .when(F.col("verdict").isNotNull() & ~F.col("verdict").isin("good", "bad"), "unknown verdict")
     )
     judged = judged.withColumn("reason", reason)
-    new = judged.where("reason is null").select("trace_id", F.col("verdict").alias("_v"), F.col("corrected_output").alias("_c"), F.lit(True).alias("_new"))
-    out = items.join(new, "trace_id", "left")
-    labelled = F.col("_new") & F.col("_v").isNotNull()
+    said = F.struct(*[c for c in ["labelled_at"] if c in labels.columns], F.col("verdict").alias("_v"), *[F.col(c).alias(f"_{c}") for c in about])
+    new = judged.where("reason is null").groupBy(*keys).agg(F.max(said).alias("_new"))
+    out = items.join(new, keys, "left")
+    labelled = F.col("_new").isNotNull() & F.col("_new._v").isNotNull()
     out = out.withColumns({
-        "status": F.when(labelled, "labeled").when(F.col("_new"), "skipped").otherwise(F.col("status")),
-        "verdict": F.when(labelled, F.col("_v")).otherwise(F.col("verdict")),
-        "corrected_output": F.when(labelled, F.col("_c")).otherwise(F.col("corrected_output")),
-    })
+        "status": F.when(labelled, "labeled").when(F.col("_new").isNotNull(), "skipped").otherwise(F.col("status")),
+        "verdict": F.when(labelled, F.col("_new._v")).otherwise(F.col("verdict")),
+    } | {c: F.when(labelled, F.col(f"_new._{c}")).otherwise(F.col(c)) for c in about})
     return out.select(*items.columns), judged.where("reason is not null").select(*labels.columns, "reason")
 
 

@@ -40,6 +40,7 @@ class Run:
     parameters: dict[str, Any] = field(default_factory=dict)
     rubric: list[tuple[str, str]] | None = None
     refusing: frozenset[str] = frozenset()
+    judge_model: str | None = None
 
 
 def refused_parameters(model: str, parameters: dict[str, Any], refusing: frozenset[str] = frozenset()) -> list[str]:
@@ -116,15 +117,18 @@ def _score(run: Run, name: str, f: Callable[..., Column]) -> Column:
         return f(embed(output), embed(expected))
     if name == "llm_judge":
         messages, error = _messages(run.rubric or [], E.judge_variables(inputs, output, expected, context))
-        return f(F.when(error.isNull(), generation.generate_judgement(messages)))
+        return F.when(error.isNotNull(), E.unscoreable(error)).otherwise(f(generation.generate_judgement(messages)))
+    if name not in ("retrieval_precision", "retrieval_recall", "retrieval_mrr"):
+        return f(output, expected, inputs, context)
     retrieved, relevant, error = E.retrieval_keys(inputs, context)
-    found = f(retrieved, relevant)
-    return F.when(error.isNull(), found).otherwise(F.struct(F.lit(None).cast("double").alias("score"), F.lit(None).cast("boolean").alias("passed"), error.alias("error")))
+    return F.when(error.isNotNull(), E.unscoreable(error)).otherwise(f(retrieved, relevant))
 
 
 def scored(run: Run, results: DataFrame) -> DataFrame:
-    """Scores (dataset_item_id, evaluator, score, passed, error) of the results without an error."""
-    built = E.build_all(run.evaluators)
+    """Scores (dataset_item_id, evaluator, score, passed, error, detail) of the results without an error. A judge's detail
+    names the models; what an evaluator cannot score, or raises, is the error of that score alone."""
+    about = {"judge_model": run.judge_model or run.model, "target_model": run.model}
+    built = E.build_all([(n, about | c if n == "llm_judge" else c) for n, c in run.evaluators])
     good = results.where(F.col("error").isNull())
     wide = good.select("dataset_item_id", *[_score(run, n, f).alias(n) for n, f in built.items()])
     return E.unpivot_scores(wide, ["dataset_item_id"], list(built))

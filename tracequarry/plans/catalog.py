@@ -179,7 +179,7 @@ def review_promote(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def eval_exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = fixtures.eval_results(spark, sf_dir)
-    return r.select("dataset_item_id", evaluators.exact_match(F.col("output"), F.col("expected_output")).alias("r")).select("dataset_item_id", "r.*")
+    return r.select("dataset_item_id", evaluators.exact_match(F.col("output"), F.col("expected_output")).alias("r")).select("dataset_item_id", "r.score", "r.passed", "r.error")
 
 
 @query
@@ -208,7 +208,7 @@ def eval_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluators.run_status(fixtures.eval_scores(spark, sf_dir))
+    return evaluators.run_status(fixtures.run_results(spark, sf_dir))
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -233,8 +233,8 @@ def compare_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = fixtures.eval_scores(spark, sf_dir).where("run_id = 'A' and evaluator = 'exact_match' and score is not null")
-    return evaluators.pending_items(fixtures.eval_results(spark, sf_dir), done).select("dataset_item_id")
+    results = fixtures.run_results(spark, sf_dir).where("run_id = 'A'")
+    return evaluators.pending_items(fixtures.eval_results(spark, sf_dir), results).select("dataset_item_id")
 
 
 @query

@@ -61,6 +61,11 @@ SCORES = (
 FROM results i, (VALUES ('A', 0), ('B', 1)) r(run_id, off), (VALUES ('exact_match', 1), ('regex_match', 2), ('retrieval_recall', 3)) e(evaluator, k)
 WHERE NOT (r.run_id='A' AND i.dataset_item_id % 17 = 0) AND NOT (r.run_id='B' AND i.dataset_item_id % 19 = 0))"""
 )
+RUNS = (
+    SCORES
+    + """, runs AS (SELECT run_id, dataset_item_id, run_id = 'A' AND dataset_item_id % 5 = 2 AS failed FROM (SELECT DISTINCT run_id, dataset_item_id FROM scores)
+UNION ALL SELECT DISTINCT 'C', dataset_item_id, true FROM scores WHERE run_id = 'B')"""
+)
 CHANGE = """CASE WHEN baseline IS NULL AND candidate IS NULL THEN 'unchanged' WHEN baseline IS NULL THEN 'added' WHEN candidate IS NULL THEN 'removed'
   WHEN abs(candidate - baseline) <= 1e-9 THEN 'unchanged' WHEN candidate > baseline THEN 'improved' ELSE 'regressed' END AS change"""
 COMPARED = (
@@ -134,7 +139,7 @@ SELECT vec_id, round(count(*) FILTER (hit) / 5, 6) AS precision, round(count(*)
 FROM h JOIN n USING (label) GROUP BY 1""",
     "eval_similarity": "SELECT a.vec_id, round(greatest(0.0, least(1.0, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6)::DOUBLE AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
     "eval_aggregates": f"WITH {SCORES} SELECT run_id, evaluator, count(score) AS scored, round(avg(score), 6) AS mean, min(score) AS min, max(score) AS max, round(CASE WHEN count(passed) > 0 THEN count(*) FILTER (passed) / count(passed) END, 6) AS pass_rate, count(*) - count(score) AS unscoreable FROM scores GROUP BY 1, 2",
-    "run_status": f"""WITH {SCORES}, s AS (SELECT run_id, count(score) AS completed, count(*) - count(score) AS failed FROM scores GROUP BY 1)
+    "run_status": f"""WITH {RUNS}, s AS (SELECT run_id, count(*) FILTER (NOT failed) AS completed, count(*) FILTER (failed) AS failed FROM runs GROUP BY 1)
 SELECT *, CASE WHEN failed = 0 THEN 'succeeded' WHEN completed > 0 THEN 'partial' ELSE 'failed' END AS status FROM s""",
     "compare_scores": f"WITH {COMPARED} SELECT * FROM compared",
     "compare_examples": f"""WITH {COMPARED}, f AS (SELECT dataset_item_id, bool_or(change = 'regressed') AS r, bool_or(change = 'improved') AS i FROM compared GROUP BY 1),
@@ -142,8 +147,7 @@ p AS (SELECT dataset_item_id, bool_or(run_id = 'A') AS a, bool_or(run_id = 'B')
 SELECT dataset_item_id, CASE WHEN r AND NOT i THEN 'regressed' WHEN i AND NOT r THEN 'improved' WHEN NOT a THEN 'added' WHEN NOT b THEN 'removed' ELSE 'unchanged' END AS verdict FROM f JOIN p USING (dataset_item_id)""",
     "compare_aggregates": f"""WITH {SCORES}, m AS (SELECT evaluator, round(avg(score) FILTER (run_id = 'A'), 6) AS baseline, round(avg(score) FILTER (run_id = 'B'), 6) AS candidate FROM scores GROUP BY 1)
 SELECT *, round(candidate - baseline, 6) AS delta, {CHANGE} FROM m""",
-    "resume_pending": f"""WITH {SCORES} SELECT dataset_item_id FROM results r WHERE NOT EXISTS (SELECT 1 FROM scores s WHERE s.dataset_item_id = r.dataset_item_id
-AND s.run_id = 'A' AND s.evaluator = 'exact_match' AND s.score IS NOT NULL)""",
+    "resume_pending": f"""WITH {RUNS} SELECT dataset_item_id FROM results r WHERE NOT EXISTS (SELECT 1 FROM runs s WHERE s.dataset_item_id = r.dataset_item_id AND s.run_id = 'A' AND NOT s.failed)""",
     "latest_version": f"WITH {VERSIONS} SELECT prompt_slug, version, version_id, content_hash FROM versions QUALIFY row_number() OVER (PARTITION BY prompt_slug ORDER BY version DESC) = 1",
     "resolve_label": f"""WITH {VERSIONS} SELECT l.prompt_slug, l.label AS ref, v.version, v.version_id FROM labelled l JOIN versions v USING (prompt_slug, version)
 UNION ALL SELECT prompt_slug, '2', version, version_id FROM versions WHERE version = 2""",

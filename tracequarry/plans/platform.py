@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracequarry.functions import formats, generation, templates
+from tracequarry.functions import json_text as J
 from tracequarry.operators import alerts, comparison, evaluators, guardrails, metrics, registry, review, runner, tenancy, traces
 from tracequarry.sources import datasets, fixtures, otlp, otlp_protobuf
 from tracequarry.sources import spans as native
@@ -284,15 +285,18 @@ def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     items = fixtures.review_items(spark, sf_dir).withColumn("corrected_output", F.lit(None).cast("string"))
     n = F.col("doc_id")
     verdict = F.when(n % 4 == 0, "good").when(n % 4 == 1, "bad").when(n % 4 == 2, "unsure")
-    labels = items.where(n % 3 == 0).select(F.when(n % 30 == 0, "unknown").otherwise(F.col("trace_id")).alias("trace_id"), verdict.alias("verdict"), F.when(n % 4 == 1, "better").alias("corrected_output"))
-    return review.label(items, labels)
+    at = lambda t: F.lit(t).cast("timestamp_ntz").alias("labelled_at")
+    labels = items.where(n % 3 == 0).select(F.when(n % 30 == 0, "unknown").otherwise(F.col("trace_id")).alias("trace_id"), verdict.alias("verdict"), F.when(n % 4 == 1, "better").alias("corrected_output"), at("2024-01-02"))
+    older = items.where((n % 6 == 0) & (n % 30 != 0) & F.col("promoted_at").isNull()).select("trace_id", F.lit("bad").alias("verdict"), F.lit("older").alias("corrected_output"), at("2024-01-01"))
+    return review.label(items, labels.unionByName(older))
 
 
-_LABELS = f"""{O.ITEMS}, l AS (SELECT *, doc_id % 3 = 0 AND doc_id % 30 <> 0 AND doc_id % 4 <> 2 AND (promoted_at IS NULL OR doc_id % 4 = 3) AS hit, doc_id % 4 AS q FROM items)"""
+_LABELS = f"""{O.ITEMS}, l AS (SELECT *, doc_id % 3 = 0 AND doc_id % 30 <> 0 AND doc_id % 4 <> 2 AND (promoted_at IS NULL OR doc_id % 4 = 3) AS hit, doc_id % 4 AS q,
+  doc_id % 12 = 6 AND doc_id % 30 <> 0 AND promoted_at IS NULL AS older FROM items)"""
 
 
-@query(f"""WITH {_LABELS} SELECT doc_id, CASE WHEN hit AND q < 2 THEN 'labeled' WHEN hit THEN 'skipped' ELSE status END AS status,
-  CASE WHEN hit AND q = 0 THEN 'good' WHEN hit AND q = 1 THEN 'bad' ELSE verdict END AS verdict, CASE WHEN hit AND q = 1 THEN 'better' END AS corrected_output FROM l""")
+@query(f"""WITH {_LABELS} SELECT doc_id, CASE WHEN older OR hit AND q < 2 THEN 'labeled' WHEN hit THEN 'skipped' ELSE status END AS status,
+  CASE WHEN hit AND q = 0 THEN 'good' WHEN older OR hit AND q = 1 THEN 'bad' ELSE verdict END AS verdict, CASE WHEN older THEN 'older' WHEN hit AND q = 1 THEN 'better' END AS corrected_output FROM l""")
 def review_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _labelled(spark, sf_dir)[0].select("doc_id", "status", "verdict", "corrected_output")
 
@@ -433,16 +437,19 @@ def template_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _run() -> runner.Run:
-    scores = [("exact_match", {}), ("regex_match", {"pattern": "^[a-m]", "ignore_case": True}), ("embedding_similarity", {}), ("llm_judge", {}), ("retrieval_recall", {})]
-    return runner.Run(scores, model="m", messages=[("system", "Be brief."), ("user", "{{ question }}")], rubric=[("user", "{{ output }}|{{ context }}")])
+    scores = [("exact_match", {}), ("regex_match", {"pattern": "^[a-m]", "ignore_case": True}), ("embedding_similarity", {}), ("llm_judge", {}), ("retrieval_recall", {"k": 2}), ("retrieval_mrr", {})]
+    return runner.Run(scores, model="m", messages=[("system", "Be brief."), ("user", "{{ question }}")], rubric=[("user", "{{ output }}|{{ context }}")], judge_model="m")
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = fixtures.eval_results(spark, sf_dir)
     field = F.when(F.col("dataset_item_id") % 10 == 0, "other").otherwise("question")
     asked = F.when(F.col("dataset_item_id") % 10 == 1, "__FAIL__").otherwise(F.col("question"))
-    values = F.to_json(F.map_from_arrays(F.array(field), F.array(asked)))
-    return r.select("dataset_item_id", F.col("dataset_item_id").alias("item_index"), values.alias("inputs"), "expected_output", F.lit(None).cast("string").alias("expected_context"))
+    d = F.col("dataset_item_id") % 10
+    got = F.when(d == 2, "null").when(d == 4, "[]").when(d == 5, '["A  B",{"id":7}]').otherwise('[{"text":"none"},{"id":"a b"},{"id":7}]')
+    values = F.concat(F.lit("{"), J.quoted(field), F.lit(":"), J.quoted(asked), F.lit(',"retrieved_context":'), got, F.lit("}"))
+    wanted = F.when(d == 3, "[]").otherwise('["a b",{"id":7}]')
+    return r.select("dataset_item_id", F.col("dataset_item_id").alias("item_index"), values.alias("inputs"), "expected_output", wanted.alias("expected_context"))
 
 
 _RUN = f"""{O.RESULTS}, g AS (SELECT dataset_item_id AS id, CASE WHEN dataset_item_id % 10 = 1 THEN '__FAIL__' ELSE question END AS asked, expected_output AS expected, dataset_item_id % 10 AS d FROM results),
@@ -459,8 +466,9 @@ def eval_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_RUN} SELECT id AS dataset_item_id, 'exact_match' AS evaluator, CASE WHEN expected IS NOT NULL THEN (trim(output) = trim(expected))::INT::DOUBLE END AS score FROM run WHERE error IS NULL
 UNION ALL SELECT id, 'regex_match', regexp_matches(output, '^[a-m]', 'i')::INT::DOUBLE FROM run WHERE error IS NULL
-UNION ALL SELECT id, 'llm_judge', (cast('0x' || substr(sha256(output || '|'), 1, 2) AS INT) % 5) / 4.0::DOUBLE FROM run WHERE error IS NULL
-UNION ALL SELECT id, 'retrieval_recall', NULL FROM run WHERE error IS NULL""")
+UNION ALL SELECT id, 'llm_judge', (cast('0x' || substr(sha256(output || '|' || CASE WHEN d = 3 THEN '' ELSE '[1] a b' || chr(10) || chr(10) || '[2] {{"id":7}}' END), 1, 2) AS INT) % 5) / 4.0::DOUBLE FROM run WHERE error IS NULL
+UNION ALL SELECT id, 'retrieval_recall', CASE d WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 4 THEN 0.0 WHEN 5 THEN 1.0 ELSE 0.5 END FROM run WHERE error IS NULL
+UNION ALL SELECT id, 'retrieval_mrr', CASE d WHEN 2 THEN NULL WHEN 3 THEN 0.0 WHEN 4 THEN 0.0 WHEN 5 THEN 1.0 ELSE 0.5 END FROM run WHERE error IS NULL""")
 def eval_run_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without the similarity, which eval_fake_similarity holds against SQL."""
     run = _run()
@@ -468,6 +476,17 @@ def eval_run_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("evaluator <> 'embedding_similarity'").select("dataset_item_id", "evaluator", "score")
 
 
+@query(f"""WITH {_RUN} SELECT id AS dataset_item_id, CASE d WHEN 2 THEN '' WHEN 3 THEN '' WHEN 4 THEN 'a b,7' WHEN 5 THEN '' ELSE '7' END AS missed, true AS self_judged FROM run WHERE error IS NULL""")
+def eval_score_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relevant documents that the first two retrieved lack, and whether the judge is of the judged model."""
+    run = _run()
+    found = runner.scored(run, runner.generated(run, _items(spark, sf_dir)))
+    of = lambda name: F.max(F.when(F.col("evaluator") == name, F.col("detail")))
+    d = found.groupBy("dataset_item_id").agg(of("retrieval_recall").alias("r"), of("llm_judge").alias("j"))
+    listed = F.transform(J.elements(J.field(F.col("r"), "missed")), J.text_of)
+    return d.select("dataset_item_id", F.coalesce(F.array_join(listed, ","), F.lit("")).alias("missed"), F.coalesce(J.field(F.col("j"), "self_judged") == "true", F.lit(False)).alias("self_judged"))
+
+
 @query("""WITH w AS (SELECT n_nationkey AS k, unnest(regexp_extract_all(lower(n_name || ' of ' || r_name), '\\w+')) AS word FROM nation JOIN region ON r_regionkey = n_regionkey),
 h AS (SELECT k, cast('0x' || substr(sha256(word), 1, 8) AS BIGINT) % 256 AS i, CASE WHEN cast('0x' || substr(sha256(word), 9, 2) AS INT) % 2 = 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS x FROM w),
 v AS (SELECT k, i, sum(x) AS x FROM h GROUP BY 1, 2), n AS (SELECT k, sqrt(sum(x * x)) AS n FROM v GROUP BY 1)
@@ -505,9 +524,8 @@ def eval_retrieval_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     inputs = F.when(F.col("turn") % 5 == 4, "{}").otherwise(F.concat(F.lit('{"retrieved_context":'), got, F.lit("}")))
     relevant = F.concat(F.lit('["'), n, F.lit('",{"id":"a B"}]'))
     keys, wanted, error = evaluators.retrieval_keys(inputs, relevant)
-    found = evaluators.retrieval_precision(keys, wanted)
-    result = F.when(error.isNull(), found).otherwise(F.struct(F.lit(None).cast("double").alias("score"), F.lit(None).cast("boolean").alias("passed"), error.alias("error")))
-    return c.select("conv_id", "turn", result.alias("r")).select("conv_id", "turn", "r.*")
+    result = F.when(error.isNull(), evaluators.retrieval_precision(keys, wanted)).otherwise(evaluators.unscoreable(error))
+    return c.select("conv_id", "turn", result.alias("r")).select("conv_id", "turn", "r.score", "r.passed", "r.error")
 
 
 @query("""SELECT l_orderkey AS dataset_item_id, l_linenumber AS attempt, CASE WHEN l_linenumber % 2 = 1 THEN 'new' ELSE 'old' END AS output, 'first' AS rendered_messages FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber < 4)

@@ -32,6 +32,12 @@ def _hadoop(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Deletes a folder when the application ends."""
+    files, p = _hadoop(spark, path)
+    files.deleteOnExit(p)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, computed once and written to the shared folder: later reads survive lost executors and carry no lineage.
 
@@ -39,8 +45,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark).rstrip('/')}/tracequarry/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    files, p = _hadoop(spark, path)
-    files.deleteOnExit(p)
+    delete_at_end(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     return out
