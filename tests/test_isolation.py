@@ -41,10 +41,10 @@ def test_batches_are_halved_down_to_the_rows_at_fault(spark):
 def test_a_pattern_that_explodes_is_stopped(spark):
     df = spark.createDataFrame([(1, "a" * 40 + "!"), (2, "aaa"), (3, None)], "k int, t string").coalesce(1)
     began = time.monotonic()
-    got = {r["k"]: r["r"] for r in df.select("k", evaluators.regex_match(F.col("t"), "^(a+)+$").alias("r")).collect()}
+    got = {r["k"]: r["r"] for r in df.select("k", evaluators.regex_match(F.col("t"), "^(a|aa)+$").alias("r")).collect()}
     assert time.monotonic() - began < 30
     assert got[1]["score"] is None and "over 1 s" in got[1]["error"] and got[2]["score"] == 1.0 and got[3]["score"] is None and got[3]["error"] is None
-    assert got[2]["detail"] == '{"pattern":"^(a+)+$","matched":"aaa"}'
+    assert got[2]["detail"] == '{"pattern":"^(a|aa)+$","matched":"aaa"}'
     assert df.select(matched(F.col("t"), "A+", full=True, ignore_case=True)["value"]["hit"]).collect()[1][0] is True
     with pytest.raises(ValueError, match="no regular expression"):
         evaluators.build("regex_match", pattern="(")
