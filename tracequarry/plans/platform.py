@@ -7,6 +7,7 @@ from __future__ import annotations
 import base64
 import json
 import re
+import uuid
 from collections.abc import Callable
 from datetime import date, datetime
 
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 from tracequarry.functions import formats, generation, templates
 from tracequarry.functions import json_text as J
 from tracequarry.operators import alerts, comparison, evaluators, guardrails, metrics, registry, review, runner, tenancy, traces
+from tracequarry.scratch import delete_at_end, scratch_root, written
 from tracequarry.sources import datasets, fixtures, otlp, otlp_protobuf
 from tracequarry.sources import spans as native
+from tracequarry.streaming import store
 
 from . import oracle as O
 
@@ -743,3 +746,20 @@ def rollup_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     unseen = touched.join(early, ["project_id", "trace_id"], "left_anti").select("project_id", "trace_id")
     out = traces.upsert_rollup(early, touched).join(unseen.withColumn("_u", F.lit(True)), ["project_id", "trace_id"], "left")
     return out.select("trace_id", "span_count", F.when(F.col("_u"), _flags(out)).otherwise(F.col("flagged_at")).alias("flagged_at"))
+
+
+_BY_YEAR = O.ROLLUP.replace("o.o_orderdate AS started_at", "CAST(date_trunc('year', o.o_orderdate) AS TIMESTAMP) AS started_at")
+
+
+@query(f"""WITH {_BY_YEAR} SELECT trace_id, started_at, span_count, error_count, duration_ms, name, CASE WHEN trace_id < '8' THEN TIMESTAMP '2024-01-01' END AS flagged_at FROM traces""")
+def stored_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans, begun on New Year's Day each, added to a store in three batches that overlap; some traces flagged beforehand."""
+    spans = traces.first_spans(fixtures.spans(spark, sf_dir), ("project_id", "trace_id", "span_id"), ("started_at", "duration_ms"))
+    spans = written(spans.withColumn("started_at", F.date_trunc("year", "started_at").cast("timestamp_ntz")), "spans")
+    path = f"{scratch_root(spark).rstrip('/')}/tracequarry/store-{uuid.uuid4().hex}"
+    delete_at_end(spark, path)
+    stored = store.SpanStore(spark, path)
+    stored.flag(spans.where("trace_id < '8'").select("project_id", "trace_id").distinct(), datetime(2024, 1, 1))
+    for n, kinds in enumerate((("chain", "llm"), ("llm", "tool", "retrieval"), ("retrieval", "rerank", "embedding", "other"))):
+        stored.add_with_rollups(spans.where(F.col("kind").isin(*kinds)), n)
+    return stored.rollups().select("trace_id", "started_at", "span_count", "error_count", "duration_ms", "name", "flagged_at")

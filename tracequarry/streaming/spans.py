@@ -1,15 +1,12 @@
-"""Span streams: idempotent ingest into a table partitioned by day, and tumbling metrics."""
+"""Span streams: idempotent ingest into a table partitioned by day, and tumbling metrics. store.py has the table for large loads."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from datetime import datetime
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tracequarry.operators import alerts, metrics, review, traces
+from tracequarry.operators import metrics, traces
 from tracequarry.scratch import written
 
 
@@ -55,27 +52,6 @@ def add_batch_with_rollups(batch: DataFrame, table: str, rollups: str) -> None:
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(rollups)
 
 
-def evaluate_alerts(rules: str, rollups: str, now: datetime, secret: str, send: Callable[[str, bytes, dict[str, str]], int] = alerts.post) -> DataFrame:
-    """One round over stored roll-ups, run by a clock apart from ingest: the rules' table is replaced by its next state."""
-    spark = SparkSession.getActiveSession()
-    decided, state = alerts.evaluated(spark.read.parquet(rules), spark.read.parquet(rollups), now, secret, send)
-    written(state, "rules").write.mode("overwrite").parquet(rules)
-    return decided
-
-
-def sample_reviews(rollups: str, spans: str, queue: str, configs: str, now: datetime) -> DataFrame:
-    """One round of the sampler: new items are appended to the queue, and the projects' marks are stored."""
-    spark = SparkSession.getActiveSession()
-    settings = written(spark.read.parquet(configs), "settings")
-    items, marks = review.sample_projects(spark.read.parquet(rollups), spark.read.parquet(spans), spark.read.parquet(queue), settings, now)
-    items = written(items, "sampled")
-    items.select("project_id", "trace_id", "status", "sampled_as", "severity", "output").write.mode("append").parquet(queue)
-    moved = settings.join(marks.withColumnRenamed("last_scanned_at", "_mark"), "project_id", "left")
-    moved = moved.withColumn("last_scanned_at", F.coalesce("_mark", "last_scanned_at")).select(*settings.columns)
-    written(moved, "settings").write.mode("overwrite").parquet(configs)
-    return items
-
-
 def ingest(spans: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     """Writes all that the stream has now. Nothing is ever too late: spans of old days are added to their day."""
     return spans.writeStream.foreachBatch(lambda batch, _: add_batch(batch, table)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
