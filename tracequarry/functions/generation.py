@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: The marker that makes generation fail, and the vector's length.
-FAIL_MARKER = "__FAIL__"
+#: What makes the generator fail, what marks its texts, and characters to a token.
+FAIL_MARKER, MARK, TOKEN_LENGTH = "__FAIL__", " [fake:", 4
 DIMENSIONS = 256
 
 
@@ -26,9 +27,9 @@ def generate(messages: Column) -> Column:
     whole = joined(messages)
     asked = F.filter(messages, lambda m: m["role"] == "user")
     last = F.when(F.size(asked) > 0, F.element_at(asked, -1)["content"]).otherwise(whole)
-    text = F.concat(F.regexp_replace(last, r"^\s+|\s+$", ""), F.lit(" [fake:"), F.substring(F.sha2(whole, 256), 1, 8), F.lit("]"))
+    text = F.concat(F.regexp_replace(last, r"^\s+|\s+$", ""), F.lit(MARK), F.substring(F.sha2(whole, 256), 1, 8), F.lit("]"))
     failed = F.contains(whole, F.lit(FAIL_MARKER))
-    tokens = lambda t: F.greatest(F.lit(1), F.floor(F.length(t) / 4)).cast("int")
+    tokens = lambda t: F.greatest(F.lit(1), F.floor(F.length(t) / TOKEN_LENGTH)).cast("int")
     return F.struct(
         F.when(~failed, text).alias("text"), F.when(failed, F.lit("the generator was asked to fail")).alias("error"),
         F.when(~failed, tokens(whole)).alias("input_tokens"), F.when(~failed, tokens(text)).alias("output_tokens"),

@@ -45,6 +45,7 @@ def after_delivery(decided: DataFrame, delivered: DataFrame, now: datetime) -> D
 
 def notice(rule: Row, now: datetime) -> bytes:
     """What a webhook gets of a fired rule, as compact JSON."""
+    # fixed values: the names of the fields, which receivers read
     about = {k: rule[k] for k in ("rule", "metric", "comparison", "threshold", "window_seconds")}
     body = {"type": "alert.triggered", "rule": about, "value": rule["value"], "sample_size": rule["sample_size"], "project_id": rule["project_id"], "triggered_at": now.isoformat()}
     return json.dumps(body, separators=(",", ":")).encode()

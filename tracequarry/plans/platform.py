@@ -391,7 +391,7 @@ def dataset_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return datasets.uploads(_uploads(spark, sf_dir))[0]
 
 
-@query("""SELECT CASE c_nationkey WHEN 4 THEN 'invalid JSON' WHEN 5 THEN 'an item is not an object' ELSE 'file must be UTF-8 encoded' END AS reason, count(DISTINCT c_mktsegment) AS files
+@query("""SELECT CASE c_nationkey WHEN 4 THEN 'not readable as JSON' WHEN 5 THEN 'an entry is no JSON object' ELSE 'the bytes are no UTF-8' END AS reason, count(DISTINCT c_mktsegment) AS files
 FROM customer WHERE c_nationkey IN (4, 5, 7) GROUP BY 1""")
 def dataset_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return datasets.uploads(_uploads(spark, sf_dir))[1].groupBy("reason").agg(F.count("*").alias("files"))
@@ -431,12 +431,11 @@ def template_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", templates.render(F.lit(TEMPLATE), values).alias("r")).select("conv_id", "turn", "r.*")
 
 
-@query("SELECT n_name, n_name || ',docs,other' AS variables FROM nation WHERE n_name < 'docs'")
+@query("SELECT n_name, 'docs,other,zz_' || n_name AS variables FROM nation")
 def template_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _table(spark, sf_dir, "nation").withColumn("n_name", F.col("n_name"))
-    source = F.concat(F.lit("{% for d in docs %}{{ d.x }}{{ other.name | trim }}{% endfor %}{{ "), "n_name", F.lit(" }}"))
-    known = n.where(F.col("n_name") < "docs")
-    return known.select("n_name", F.array_join(templates.template_variables(source)["variables"], ",").alias("variables"))
+    source = F.concat(F.lit("{% for d in docs %}{{ d.x }}{{ other.name | trim }}{% endfor %}{{ zz_"), "n_name", F.lit(" }}"))
+    return n.select("n_name", F.array_join(templates.template_variables(source)["variables"], ",").alias("variables"))
 
 
 def _run() -> runner.Run:
