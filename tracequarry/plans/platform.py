@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tracequarry.functions import formats, generation, templates
 from tracequarry.functions import json_text as J
-from tracequarry.operators import alerts, comparison, evaluators, guardrails, metrics, registry, review, runner, tenancy, traces
+from tracequarry.operators import admission, alerts, comparison, evaluators, guardrails, metrics, registry, review, runner, tenancy, traces
 from tracequarry.scratch import delete_at_end, scratch_root, written
 from tracequarry.sources import datasets, fixtures, otlp, otlp_protobuf
 from tracequarry.sources import spans as native
@@ -762,3 +762,18 @@ def stored_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     for n, kinds in enumerate((("chain", "llm"), ("llm", "tool", "retrieval"), ("retrieval", "rerank", "embedding", "other"))):
         stored.add_with_rollups(spans.where(F.col("kind").isin(*kinds)), n)
     return stored.rollups().select("trace_id", "started_at", "span_count", "error_count", "duration_ms", "name", "flagged_at")
+
+
+@query("""WITH RECURSIVE r AS (SELECT 'p' || (user_id % 3)::VARCHAR AS project_id, event_id, epoch_us(ts) AS t, event_id % 7 AS cost,
+  row_number() OVER (PARTITION BY user_id % 3 ORDER BY ts, event_id) AS n FROM events),
+w AS (SELECT project_id, 0::BIGINT AS n, 0::BIGINT AS event_id, true AS allowed, 0::BIGINT AS remaining, []::STRUCT(t BIGINT, cost BIGINT)[] AS passed FROM (SELECT DISTINCT project_id FROM r)
+UNION ALL SELECT q.project_id, q.n, q.event_id, q.used + q.cost <= 20, greatest(0, 20 - q.used - CASE WHEN q.used + q.cost <= 20 THEN q.cost ELSE 0 END)::BIGINT,
+  CASE WHEN q.used + q.cost <= 20 THEN list_append(q.kept, {'t': q.t, 'cost': q.cost}) ELSE q.kept END
+  FROM (SELECT r.*, list_filter(w.passed, lambda x: x.t > r.t - 3600000000) AS kept, coalesce(list_sum(list_transform(list_filter(w.passed, lambda x: x.t > r.t - 3600000000), lambda x: x.cost)), 0) AS used
+    FROM w JOIN r ON r.project_id = w.project_id AND r.n = w.n + 1) q)
+SELECT event_id, allowed, remaining FROM w WHERE n > 0""")
+def admitted_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as requests of each project, of which 20 units pass within an hour."""
+    e = _table(spark, sf_dir, "events")
+    asked = e.select(F.concat(F.lit("p"), (F.col("user_id") % 3).cast("string")).alias("project_id"), F.col("event_id").alias("request_id"), F.col("ts").alias("at"), (F.col("event_id") % 7).alias("cost"))
+    return admission.admitted(asked, 20, 3600).select(F.col("request_id").alias("event_id"), "allowed", "remaining")
