@@ -64,6 +64,12 @@ def _money(columns: list[str]) -> list[Column]:
     return [F.coalesce(F.sum("cost_usd"), F.lit(0)).cast("double").alias("cost_usd"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in tokens]]
 
 
+def measured(grouped, columns: list[str]) -> DataFrame:
+    """The measures of grouped spans with the given columns: a count for each distinct duration is what percentiles keep, so
+    partial results merge, in a stream too."""
+    return _spread(grouped.agg(*_measures(), *(_money(columns) if "cost_usd" in columns else [])))
+
+
 def span_summary(spans: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Measures and the number of traces. Traces are counted apart: with a distinct count in it, the aggregation would build
     the percentiles' buffers for each trace."""

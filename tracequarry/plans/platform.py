@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tracequarry.functions import formats, generation, templates
 from tracequarry.functions import json_text as J
-from tracequarry.operators import admission, alerts, comparison, evaluators, guardrails, metrics, registry, review, runner, tenancy, traces
+from tracequarry.operators import admission, alerts, comparison, evaluators, guardrails, metrics, process_metrics, registry, review, runner, tenancy, traces
 from tracequarry.scratch import delete_at_end, scratch_root, written
 from tracequarry.sources import datasets, fixtures, otlp, otlp_protobuf
 from tracequarry.sources import spans as native
@@ -777,3 +777,57 @@ def admitted_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _table(spark, sf_dir, "events")
     asked = e.select(F.concat(F.lit("p"), (F.col("user_id") % 3).cast("string")).alias("project_id"), F.col("event_id").alias("request_id"), F.col("ts").alias("at"), (F.col("event_id") % 7).alias("cost"))
     return admission.admitted(asked, 20, 3600).select(F.col("request_id").alias("event_id"), "allowed", "remaining")
+
+
+def _metric_sql() -> str:
+    """Samples of the eleven series over events, order lines and documents."""
+    times = {"http": "value / 1000", "provider": "value / 100", "eval": "value"}
+    series = process_metrics.SERIES
+
+    def histogram(name: str, labels: str, value: str, source: str) -> list[str]:
+        head = lambda part, le, x: f"SELECT '{name}_{part}' AS sample, {labels} AS labels, {le}::DOUBLE AS le, {x}::DOUBLE AS value FROM {source} GROUP BY ALL"
+        rows = [head("bucket", b, f"count(*) FILTER ({value} <= {b})") for b in series[name].bounds]
+        return [*rows, head("bucket", "'inf'", f"count({value})"), head("sum", "NULL", f"round(sum({value}), 4)"), head("count", "NULL", f"count({value})")]
+
+    count = lambda name, labels, source, value="count(*)": f"SELECT '{name}' AS sample, {labels} AS labels, NULL::DOUBLE AS le, {value}::DOUBLE AS value FROM {source} GROUP BY ALL"
+    parts = [
+        count("spans_ingested_total", "'source=native'", "lineitem"), count("spans_rejected_total", "'source=native,reason=' || lower(l_returnflag)", "lineitem"),
+        count("ingest_batches_total", "'source=otlp'", "orders"), count("queue_depth", "'queue=' || coalesce(lang, '')", "documents", "max(n_chars)"),
+        *histogram("eval_run_duration_seconds", "'status=' || event_type", times["eval"], "events"), count("eval_examples_total", "'outcome=' || event_type", "events"),
+        *histogram("provider_request_duration_seconds", "'provider=p' || (user_id % 2)::VARCHAR || ',operation=' || event_type", times["provider"], "events"),
+        count("provider_errors_total", "'provider=p' || (user_id % 2)::VARCHAR || ',retryable=' || (event_type = 'error')::VARCHAR", "events"),
+        count("http_requests_total", "'method=GET,path=/' || event_type || ',status=' || CASE WHEN event_type = 'error' THEN 500 ELSE 200 END::VARCHAR", "events"),
+        *histogram("http_request_duration_seconds", "'method=GET,path=/' || event_type", times["http"], "events"), count("build_info", "'service=worker,environment=test'", "region", "max(1)"),
+    ]
+    return " UNION ALL ".join(parts)
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, l, o, d = (_table(spark, sf_dir, t) for t in ("events", "lineitem", "orders", "documents"))
+    M, provider, kind = process_metrics.measured, F.concat(F.lit("p"), (F.col("user_id") % 2).cast("string")), F.col("event_type")  # noqa: N806
+    path = F.concat(F.lit("/"), kind)
+    parts = [
+        M(l, "spans_ingested_total", source=F.lit("native")), M(l, "spans_rejected_total", source=F.lit("native"), reason=F.lower("l_returnflag")), M(o, "ingest_batches_total", source=F.lit("otlp")),
+        M(d, "queue_depth", F.col("n_chars"), queue=F.col("lang")), M(e, "eval_run_duration_seconds", F.col("value"), status=kind), M(e, "eval_examples_total", outcome=kind),
+        M(e, "provider_request_duration_seconds", F.col("value") / 100, provider=provider, operation=kind), M(e, "provider_errors_total", provider=provider, retryable=kind == "error"),
+        M(e, "http_requests_total", method=F.lit("GET"), path=path, status=F.when(kind == "error", 500).otherwise(200)),
+        M(e, "http_request_duration_seconds", F.col("value") / 1000, method=F.lit("GET"), path=path), M(_table(spark, sf_dir, "region"), "build_info", service=F.lit("worker"), environment=F.lit("test")),
+    ]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+@query(_metric_sql())
+def metric_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _samples(spark, sf_dir)
+    return d.withColumn("value", F.when(F.col("sample").endswith("_sum"), F.round("value", 4)).otherwise(F.col("value")))
+
+
+@query(f"""WITH s AS ({_metric_sql()}), b AS (SELECT labels, le, value, max(value) OVER (PARTITION BY labels) * 0.95 AS r, lag(le, 1, 0) OVER w AS lo, lag(value, 1, 0) OVER w AS below
+  FROM s WHERE sample = 'http_request_duration_seconds_bucket' WINDOW w AS (PARTITION BY labels ORDER BY le))
+SELECT labels, round(arg_min(CASE WHEN le = 'inf' THEN lo ELSE lo + (le - lo) * coalesce((r - below) / nullif(value - below, 0), 0) END, le), 6)::DOUBLE AS value FROM b WHERE value >= r GROUP BY 1""")
+def metric_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = process_metrics.quantiles(_samples(spark, sf_dir), "http_request_duration_seconds", 0.95)
+    return found.select("labels", F.round("value", 6).alias("value"))

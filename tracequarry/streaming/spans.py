@@ -66,3 +66,13 @@ def tumbling(spans: DataFrame, bucket: str, lateness: str, by: list[str] | None
         F.count("*").alias("span_count"), F.count_if(F.col("status") == "error").alias("error_count"), F.sum("duration_ms").alias("duration_ms")
     )
     return out.select(*(by or []), F.col("w.start").alias("bucket"), "span_count", "error_count", "duration_ms")
+
+
+def live_timeseries(spans: DataFrame, bucket: str, lateness: str, by: list[str] | None = None) -> DataFrame:
+    """All measures of span_timeseries, with exact percentiles, of a stream's buckets, for update mode: a bucket is given anew
+    whenever spans come for it. The state of a bucket is a count for each distinct duration, which merges; it is dropped once
+    the bucket is older than `lateness`."""
+    at = F.window("started_at", metrics.BUCKETS[bucket])
+    grouped = spans.withWatermark("started_at", lateness).groupBy(*(by or []), at.alias("w"))
+    out = metrics.measured(grouped, spans.columns)
+    return out.select(*(by or []), F.col("w.start").alias("bucket"), *[c for c in out.columns if c not in (*(by or []), "w")])
