@@ -13,8 +13,8 @@ Surroundings (dedup_passages): a chunk reaches over a passage's edge, so short p
 adjacent lines whose two line hashes an earlier place has too is a hit; hits that share a line make runs, and runs of over
 MIN_WORDS words are removed besides the chunks. The earlier places of a run's pairs need not lie in one document; the first
 occurrence of every line stays. Line hashes are confirmed by the bytes of the lines in repeated pairs: pairs with a hash
-that stands for unlike lines are no hits. First places are found by partial aggregation and written, so that the join back
-reads two plain shuffles, whose hot partitions Spark's skew join splits.
+that stands for unlike lines are no hits. First places are found by partial aggregation and written; pairs with very many
+occurrences, MOST_HOT of them at most, meet theirs by a broadcast, and the rest by a join.
 
 Defined results: null and empty texts have no lines and stay as they are; a null doc_id comes after all others; rows
 that are equal in doc_id and text are one document, treated alike; a chunk repeated within one document is removed from
