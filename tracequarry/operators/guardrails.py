@@ -73,16 +73,25 @@ def grounding_severity(text: Column, context: Column) -> Column:
 CHECKS = ("pii", "grounding", "toxicity")
 
 
-def findings(text: Column, context: Column, enabled: dict[str, Column] | None = None) -> Column:
-    """Findings (check, severity), worst first; equal ones in the order of CHECKS. enabled: conditions by check, all if None."""
+def findings(text: Column, context: Column, enabled: dict[str, Column] | None = None, more: dict[str, Column] | None = None) -> Column:
+    """Findings (check, severity), worst first; equal ones in the order of CHECKS. enabled: conditions by check, all if None.
+
+    more: checks of one's own by name, as struct(value: severity or null, error) of isolated(); one that fails gives no finding
+    for its row, and check_errors() says why."""
     severities = {"pii": pii_finding(text)["severity"], "grounding": grounding_severity(text, context), "toxicity": toxicity_severity(text)}
+    severities |= {name: c["value"] for name, c in (more or {}).items()}
     made = []
-    for i, name in enumerate(CHECKS):
+    for i, name in enumerate(severities):
         s = severities[name]
         on = F.lit(True) if enabled is None else enabled.get(name, F.lit(False))
         made.append(F.when(on & s.isNotNull(), F.struct((-s).alias("key"), F.lit(i).alias("ordinal"), F.lit(name).alias("check"), s.alias("severity"))))
     return F.transform(F.array_sort(F.array_compact(F.array(*made))), lambda f: F.struct(f["check"].alias("check"), f["severity"].alias("severity")))
 
 
+def check_errors(more: dict[str, Column]) -> Column:
+    """(check, reason) of the own checks that failed for a row."""
+    return F.array_compact(F.array(*[F.when(c["error"].isNotNull(), F.struct(F.lit(n).alias("check"), c["error"].alias("reason"))) for n, c in more.items()]))
+
+
 def worst(found: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(found, lambda f: f["severity"])), F.lit(0.0))

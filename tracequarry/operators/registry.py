@@ -47,6 +47,29 @@ def valid_labels(rows: DataFrame, column: str = "label") -> tuple[DataFrame, Dat
     return rejected(rows, {column: F.col(column).rlike(LABEL) & ~F.col(column).rlike("^[0-9]+$")})
 
 
+def updated(table: DataFrame, changes: DataFrame, about: tuple[str, ...] = ("name", "description")) -> tuple[DataFrame, DataFrame]:
+    """table (project_id, slug, ...) with the descriptive columns of changes (project_id, slug, seq and some of `about`), and
+    changes of what is not there. A null leaves a column as it is; of several changes of one column the last by seq counts.
+    Contents are not changed in this way: they make a new version."""
+    keys, given = ["project_id", "slug"], [c for c in about if c in changes.columns and c in table.columns]
+    known = changes.join(table.select(*keys).distinct(), keys, "left_semi")
+    last = known.groupBy(*keys).agg(*[F.max(F.when(F.col(c).isNotNull(), F.struct("seq", c))).alias(f"_{c}") for c in given])
+    out = table.join(last, keys, "left").withColumns({c: F.coalesce(F.col(f"_{c}")[c], F.col(c)) for c in given})
+    return out.select(*table.columns), changes.join(table.select(*keys).distinct(), keys, "left_anti")
+
+
+def created(table: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of new (project_id, slug, ...) that may join the table, and the others with reasons: a slug that is malformed, or
+    taken in its project by the table or by an earlier row (by seq)."""
+    well, bad = valid_slugs(new)
+    first = F.row_number().over(Window.partitionBy("project_id", "slug").orderBy("seq")) == 1
+    taken = table.select("project_id", "slug").distinct().withColumn("_taken", F.lit(True))
+    judged = well.withColumn("_first", first).join(taken, ["project_id", "slug"], "left")
+    free = F.col("_first") & F.col("_taken").isNull()
+    refused = judged.where(~free).select(*new.columns, F.array(F.lit("taken")).alias("reasons"))
+    return judged.where(free).select(*new.columns), bad.select(*new.columns, "reasons").unionByName(refused)
+
+
 def prompt_listing(versions: DataFrame, labels: DataFrame) -> DataFrame:
     """Latest version, number of versions and labels ('label=version', in order) of each prompt."""
     listed = labels.groupBy("prompt_slug").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "label", "version"))), ",").alias("labels"))  # a handful each

@@ -84,7 +84,7 @@ def sample_projects(traces: DataFrame, spans: DataFrame, queue: DataFrame, confi
 
     configs: project_id, enabled, sample_rate, control_sample_rate, check_pii, check_grounding, check_toxicity, last_scanned_at
     (null: a day ago). Of each project the `limit` oldest traces after its mark count; the mark moves to the last of them, or
-    to now. A check that fails gives no finding, so one project's odd trace stops no other."""
+    to now. The checks are Spark's own functions and give null for odd values, so one project's odd trace stops no other."""
     ended = F.lit(now).cast("timestamp_ntz")
     active = configs.where("enabled").withColumn("_since", F.coalesce("last_scanned_at", ended - F.expr(f"INTERVAL {LOOKBACK_SECONDS} SECONDS")))
     oldest = active.agg(F.min("_since")).first()[0]  # reaches the scan as a filter
@@ -95,7 +95,8 @@ def sample_projects(traces: DataFrame, spans: DataFrame, queue: DataFrame, confi
     marks = active.select("project_id").join(batch.groupBy("project_id").agg(F.max("started_at").alias("_last")), "project_id", "left")
     marks = marks.select("project_id", F.coalesce("_last", ended).alias("last_scanned_at"))
     sampled = sample_decision(batch, "sample_rate", "control_sample_rate").where("in_sample").drop("in_sample", "in_control")
-    seen = snapshots(spans.join(sampled.select("project_id", "trace_id"), ["project_id", "trace_id"], "left_semi"))
+    own = spans.where(F.col("started_at") >= F.lit(oldest).cast("timestamp_ntz"))  # a trace begins with its first span
+    seen = snapshots(own.join(sampled.select("project_id", "trace_id"), ["project_id", "trace_id"], "left_semi"))
     seen = seen.withColumn("context", F.transform(J.elements(F.col("context")), J.text_of))
     columns = ["project_id", "trace_id", "status", "sample_rate", "control_sample_rate", "check_pii", "check_grounding", "check_toxicity"]
     checks = {name: F.col(f"check_{name}") for name in ("pii", "grounding", "toxicity")}

@@ -10,7 +10,7 @@ SMALL = 100_000
 
 
 def scoped(df: DataFrame, project_id: str) -> DataFrame:
-    """The rows of one project; every read of project data goes through this."""
+    """The rows of one project. Reads of several projects at once carry project_id in their keys instead."""
     if not project_id:
         raise ValueError("a project is required")
     return df.where(F.col("project_id") == project_id)
@@ -47,3 +47,22 @@ def rejected(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFr
     # judged once: the generator keeps the rules from being evaluated for the filter and again for the column
     judged = df.select(F.inline(F.array(F.struct(*df.columns, failing.alias("reasons")))))
     return judged.where(F.size("reasons") == 0).drop("reasons"), judged.where(F.size("reasons") > 0)
+
+
+class Project:
+    """What one project's requests may see: its rows of each table, by name. Tables without a project_id are not given."""
+
+    def __init__(self, tables: dict[str, DataFrame], project_id: str):
+        self._tables, self.project_id = tables, project_id
+
+    def table(self, name: str) -> DataFrame:
+        if name not in self._tables or "project_id" not in self._tables[name].columns:
+            raise LookupError(f"no table {name} of projects")
+        return scoped(self._tables[name], self.project_id)
+
+    def found(self, name: str, **key: object) -> Row:
+        """One row of the project; another project's row is not found, whoever knows its key."""
+        return found(self.table(name), name, **key)
+
+    def with_ids(self, name: str, wanted: DataFrame, *keys: str) -> DataFrame:
+        return among(self.table(name), wanted, *keys)

@@ -831,3 +831,53 @@ SELECT labels, round(arg_min(CASE WHEN le = 'inf' THEN lo ELSE lo + (le - lo) *
 def metric_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = process_metrics.quantiles(_samples(spark, sf_dir), "http_request_duration_seconds", 0.95)
     return found.select("labels", F.round("value", 6).alias("value"))
+
+
+_SLUGS = """known AS (SELECT 'p' || (p_partkey % 3)::VARCHAR AS project_id, 's' || p_partkey::VARCHAR AS slug, p_name AS name, p_type AS description FROM part WHERE p_partkey % 4 <> 1)"""
+
+
+def _prompts_of_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _table(spark, sf_dir, "part")
+    key = F.col("p_partkey")
+    return p.select(F.concat(F.lit("p"), (key % 3).cast("string")).alias("project_id"), F.concat(F.lit("s"), key.cast("string")).alias("slug"), F.col("p_name").alias("name"), F.col("p_type").alias("description"), "p_partkey")
+
+
+@query(f"""WITH {_SLUGS}, l AS (SELECT 's' || l_partkey::VARCHAR AS slug, 'p' || (l_partkey % 3)::VARCHAR AS project_id, l_orderkey * 100 + l_linenumber AS seq, CASE WHEN l_linenumber % 2 = 0 THEN 'n' || l_suppkey::VARCHAR END AS name,
+  CASE WHEN l_linenumber % 3 = 0 THEN 'd' || l_quantity::INT::VARCHAR END AS description FROM lineitem),
+n AS (SELECT project_id, slug, max(struct_pack(seq := seq, v := name)) FILTER (name IS NOT NULL) AS n, max(struct_pack(seq := seq, v := description)) FILTER (description IS NOT NULL) AS d FROM l GROUP BY 1, 2)
+SELECT k.project_id, k.slug, coalesce(n.v, name) AS name, coalesce(d.v, description) AS description FROM known k LEFT JOIN n USING (project_id, slug)""")
+def metadata_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = _prompts_of_projects(spark, sf_dir).where("p_partkey % 4 <> 1").drop("p_partkey")
+    l = _table(spark, sf_dir, "lineitem")
+    n = F.col("l_linenumber")
+    changes = l.select(
+        F.concat(F.lit("p"), (F.col("l_partkey") % 3).cast("string")).alias("project_id"), F.concat(F.lit("s"), F.col("l_partkey").cast("string")).alias("slug"), (F.col("l_orderkey") * 100 + n).alias("seq"),
+        F.when(n % 2 == 0, F.concat(F.lit("n"), F.col("l_suppkey").cast("string"))).alias("name"), F.when(n % 3 == 0, F.concat(F.lit("d"), F.col("l_quantity").cast("int").cast("string"))).alias("description"),
+    )
+    return registry.updated(known, changes)[0]
+
+
+@query(f"""WITH {_SLUGS}, n AS (SELECT 'p' || (p_partkey % 3)::VARCHAR AS project_id, CASE WHEN p_partkey % 7 = 0 THEN 'Bad Slug' WHEN p_partkey % 5 = 0 THEN 'same' ELSE 's' || p_partkey::VARCHAR END AS slug, p_partkey AS seq FROM part)
+SELECT seq, CASE WHEN slug = 'Bad Slug' THEN 'slug' WHEN row_number() OVER (PARTITION BY project_id, slug ORDER BY seq) > 1 OR EXISTS (SELECT 1 FROM known k WHERE k.project_id = n.project_id AND k.slug = n.slug) THEN 'taken' ELSE 'created' END AS outcome FROM n""")
+def slugs_created(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = _prompts_of_projects(spark, sf_dir)
+    key = F.col("p_partkey")
+    new = every.select("project_id", F.when(key % 7 == 0, "Bad Slug").when(key % 5 == 0, "same").otherwise(F.col("slug")).alias("slug"), key.alias("seq"))
+    good, refused = registry.created(every.where(key % 4 != 1), new)
+    return good.select("seq", F.lit("created").alias("outcome")).unionByName(refused.select("seq", F.get("reasons", F.lit(0)).alias("outcome")))
+
+
+@query("""SELECT event_id % 50 AS request, count(*) AS spans, count(*) FILTER (event_id % 9 <> 0) AS accepted FROM events GROUP BY 1 HAVING count(*) BETWEEN 1 AND 500""")
+def native_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with the events of one remainder each, read as a client sends them; a ninth of the spans has no name. Requests
+    over the bound are refused whole."""
+    e = _table(spark, sf_dir, "events")
+    n = F.col("event_id")
+    id_ = F.md5(n.cast("string"))
+    span = F.struct(id_.alias("trace_id"), F.substring(id_, 1, 16).alias("span_id"), F.when(n % 9 != 0, F.col("event_type")).alias("name"), F.col("ts").cast("timestamp").alias("started_at"), F.to_json(F.struct((n % 50).alias("request"))).alias("metadata"))
+    body = F.to_json(F.struct(F.collect_list(span).alias("spans")))
+    lines, refused = native.batches(e.groupBy(n % 50).agg(body.alias("body")))
+    good, bad = native.parsed(lines)
+    request = F.get_json_object("metadata", "$.request").cast("long").alias("request")
+    both = good.select(request, F.lit(1).alias("ok")).unionByName(bad.select(request, F.lit(0).alias("ok")))
+    return both.groupBy("request").agg(F.count("*").alias("spans"), F.sum("ok").alias("accepted"))
