@@ -757,7 +757,7 @@ def stored_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = written(spans.withColumn("started_at", F.date_trunc("year", "started_at").cast("timestamp_ntz")), "spans")
     path = f"{scratch_root(spark).rstrip('/')}/tracequarry/store-{uuid.uuid4().hex}"
     delete_at_end(spark, path)
-    stored = store.SpanStore(spark, path)
+    stored = store.SpanStore(spark, path, buckets=8)
     stored.flag(spans.where("trace_id < '8'").select("project_id", "trace_id").distinct(), datetime(2024, 1, 1))
     for n, kinds in enumerate((("chain", "llm"), ("llm", "tool", "retrieval"), ("retrieval", "rerank", "embedding", "other"))):
         stored.add_with_rollups(spans.where(F.col("kind").isin(*kinds)), n)
