@@ -1,6 +1,10 @@
 """Tool calls: links, order, violations and canonical form."""
 
 import json
+import math
+import random
+
+import pytest
 
 from tracequarry.llm.chat_tools import link_tool_calls
 
@@ -45,3 +49,47 @@ def test_nulls_and_repeats(spark):
     assert [(r["turn"], r["status"]) for r in out if r["call_id"] == "r" and r["kind"] == "call"] == [(1, "linked")]
     assert [json.loads(r["json"])["content"] for r in out if r["call_id"] == "r" and r["kind"] == "result"] == ["a"]
     assert link_tool_calls(calls.where("false"), results.where("false"), SCHEMAS).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_every_event_comes_after_what_it_depends_on(spark, seed):
+    """Random forests, results at any turn, one conversation with most rows; positions against a sort of the whole in Python."""
+    rng, calls, results = random.Random(seed), [], []
+    for conv, n in ((1, 400), (2, 30), (3, 1)):
+        for i in range(n):
+            parent = f"c{rng.randrange(i)}" if i and rng.random() < 0.8 else None
+            calls.append((conv, f"c{i}", rng.randrange(50), "add", '{"a": 1}', parent))
+            if rng.random() < 0.7:
+                results.append((conv, f"c{i}", rng.randrange(50), "ok"))
+    calls += [(2, "x", 1, "add", "{}", "y"), (2, "y", 1, "add", "{}", "x")]
+    rng.shuffle(calls)
+    out = linked(spark, calls, results)
+    for conv in (1, 2, 3):
+        rows = [r for r in out.values() if r["conv_id"] == conv]
+        want = sorted(rows, key=lambda r: (math.inf if r["depth"] is None else r["depth"], r["kind"], r["turn"], r["call_id"]))
+        assert [r["position"] for r in want] == list(range(len(rows)))
+    for conv, call, _, _, _, parent in calls:
+        at = out[conv, call, "call"]["position"]
+        assert (conv, call, "result") not in out or out[conv, call, "result"]["position"] > at
+        if call not in "xy" and parent is not None:
+            assert out[conv, parent, "call"]["position"] < at and ((conv, parent, "result") not in out or out[conv, parent, "result"]["position"] < at)
+    cyclic = [r["position"] for r in out.values() if r["status"] == "cyclic"]
+    assert min(cyclic) == sum(r["conv_id"] == 2 for r in out.values()) - len(cyclic)
+
+
+def test_long_texts_and_clashing_columns(spark):
+    long = "x" * 300_000
+    calls = spark.createDataFrame([(1, "a", 1, "note", json.dumps({"text": long}), None, 7, 7, "s", 7)], CALL + ", depth int, position int, status string, _one int")
+    results = spark.createDataFrame([(1, "a", 2, long, 7, "j")], RESULT + ", depth int, json string")
+    out = link_tool_calls(calls, results, SCHEMAS)
+    assert out.columns == ["conv_id", "call_id", "kind", "depth", "turn", "status", "violations", "json", "position"]
+    rows = {r["kind"]: r for r in out.collect()}
+    assert json.loads(json.loads(rows["call"]["json"])["arguments"])["text"] == json.loads(rows["result"]["json"])["content"] == long
+    assert [(rows[k]["depth"], rows[k]["position"], rows[k]["status"]) for k in ("call", "result")] == [(0, 0, "linked"), (0, 1, "linked")]
+
+
+def test_places_of_nameless_rows(spark):
+    calls = [(1, None, 1, "add", "{}", None)] * 2 + [(None, "a", 1, "add", "{}", None), (None, "a", 1, "add", '{"a":1}', None), (1, "k", None, "add", "{}", None)]
+    out = link_tool_calls(spark.createDataFrame(calls, CALL), spark.createDataFrame([], RESULT), SCHEMAS).collect()
+    assert sorted(r["position"] for r in out if r["conv_id"] == 1) == [0, 1, 2] and sorted(r["position"] for r in out if r["conv_id"] is None) == [0, 1]
+    assert [r["position"] for r in out if r["call_id"] == "k"] == [0]

@@ -3,17 +3,18 @@
 Calls and results are joined on (conv_id, call_id). A call may name a parent, a call whose result it builds on; the depth
 of a call is the length of its chain of parents, found by pointer doubling: each round joins every call with the call
 that its pointer names, so that a chain of n calls takes log2(n) joins, and no conversation is ever gathered into one
-task. Events sort by (conv_id, depth, turn, kind, call_id), calls before results: every event comes after all that it
-depends on.
+task. `position` is the place of an event in the topological order of its conversation, from 0: by depth, then calls
+before results, then turn and call_id, so that every result comes after its call and every call after its parent's
+result. Places are counted in ranges of (conv_id, order), so that a conversation of any size is spread over tasks.
 
 Arguments are checked against the schema of the called tool: SCHEMA = {tool: {field: (type, required)}} with the types
 string, integer, number, boolean, object and array; fields without a schema are violations. Arguments are written in
 canonical form: keys in order, no spaces.
 
 Defined results: calls without a result are 'unanswered', results without a call 'orphan' (depth 0); calls on a cycle of
-parents or below one get depth null and status 'cyclic'; a parent that does not exist counts as none; repeated calls or
+parents or below one get depth null, status 'cyclic' and the last positions; a parent that does not exist counts as none; repeated calls or
 results with one identifier keep the one of lowest turn, then text; a null conv_id, call_id or turn is a value like any
-other for ordering, but a null identifier links with nothing; arguments that are not a JSON object give the violation
+other for ordering (least, ties by the md5 of the JSON), but a null identifier links with nothing; arguments that are not a JSON object give the violation
 'not an object'. Extra columns are dropped.
 """
 
@@ -22,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracequarry.operators.ordering import sums_before
+
 from .common import forget, written
 
 TYPES = {"string": ["STRING"], "integer": ["BIGINT"], "number": ["BIGINT", "DOUBLE", "DECIMAL"], "boolean": ["BOOLEAN"], "object": ["OBJECT"], "array": ["ARRAY"]}
@@ -74,7 +77,7 @@ def _violations(name: Column, value: Column, schemas: dict[str, dict[str, tuple[
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
-    """conv_id, call_id, kind ('call' or 'result'), depth, turn, status, violations, json of each call and result.
+    """conv_id, call_id, kind ('call' or 'result'), depth, turn, status, violations, json, position of each call and result.
 
     calls: conv_id, call_id, parent_id, turn, name, arguments (JSON text); results: conv_id, call_id, turn, content."""
     calls = _one(calls.select("conv_id", "call_id", "turn", "name", "arguments", "parent_id"), ["turn", "name", "arguments"])
@@ -95,7 +98,18 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
     depth = F.when(F.col("call_status").isNull(), F.lit(0).cast("long")).otherwise(F.col("call_depth"))
     none = F.array().cast("array<string>")
     result_rows = got.select("conv_id", "call_id", F.lit("result").alias("kind"), depth.alias("depth"), "turn", F.coalesce("call_status", F.lit("orphan")).alias("status"), none.alias("violations"), result_json.alias("json"))
-    return call_rows.unionByName(result_rows)
+    return _placed(call_rows.unionByName(result_rows))
+
+
+def _placed(events: DataFrame) -> DataFrame:
+    """events with position, their place in the order of their conversation."""
+    nameless = F.col("conv_id").isNull() | F.col("call_id").isNull()
+    keyed = events.withColumns({
+        "_one": F.lit(1).cast("long"),
+        "_level": F.coalesce("depth", F.lit((1 << 63) - 1)),
+        "_tie": F.when(nameless, F.md5("json")),  # only rows without an identifier can tie
+    })
+    return sums_before(keyed, "position", "_one", ["conv_id"], ["_level", "kind", "turn", "call_id", "_tie"]).drop("_one", "_level", "_tie")
 
 
 def calls_and_results(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -21,8 +21,8 @@ walk AS (SELECT k.conv_id, k.call_id, CAST(0 AS BIGINT) AS depth FROM known k LE
     UNION ALL SELECT k.conv_id, k.call_id, w.depth + 1 FROM walk w JOIN known k ON k.conv_id = w.conv_id AND k.parent_id = w.call_id),
 made AS (SELECT c.*, CASE WHEN c.conv_id IS NULL OR c.call_id IS NULL THEN 0 ELSE w.depth END AS depth, r.call_id IS NOT NULL AS answered
     FROM calls c LEFT JOIN walk w ON w.conv_id = c.conv_id AND w.call_id = c.call_id LEFT JOIN results r ON r.conv_id = c.conv_id AND r.call_id = c.call_id),
-judged AS (SELECT *, CASE WHEN depth IS NULL THEN 'cyclic' WHEN answered THEN 'linked' ELSE 'unanswered' END AS status FROM made)
-SELECT conv_id, call_id, 'call' AS kind, depth, turn, status,
+judged AS (SELECT *, CASE WHEN depth IS NULL THEN 'cyclic' WHEN answered THEN 'linked' ELSE 'unanswered' END AS status FROM made),
+events AS (SELECT conv_id, call_id, 'call' AS kind, depth, turn, status,
     concat_ws('; ', CASE WHEN json_extract(arguments, '$.text') IS NULL THEN 'missing text' END, CASE WHEN json_extract(arguments, '$.turn') IS NULL THEN 'missing turn' END) AS violations,
     CASE WHEN call_id IS NULL THEN CAST(json_object('arguments', arguments, 'kind', 'call', 'name', 'reply') AS VARCHAR)
          ELSE CAST(json_object('arguments', arguments, 'id', call_id, 'kind', 'call', 'name', 'reply') AS VARCHAR) END AS json
@@ -31,7 +31,9 @@ UNION ALL
 SELECT r.conv_id, r.call_id, 'result', CASE WHEN j.call_id IS NULL THEN 0 ELSE j.depth END, r.turn, coalesce(j.status, 'orphan'), '',
     CASE WHEN r.content IS NULL AND r.call_id IS NULL THEN '{"kind":"result"}' WHEN r.content IS NULL THEN CAST(json_object('id', r.call_id, 'kind', 'result') AS VARCHAR)
          WHEN r.call_id IS NULL THEN CAST(json_object('content', r.content, 'kind', 'result') AS VARCHAR) ELSE CAST(json_object('content', r.content, 'id', r.call_id, 'kind', 'result') AS VARCHAR) END
-FROM results r LEFT JOIN judged j ON j.conv_id = r.conv_id AND j.call_id = r.call_id"""
+FROM results r LEFT JOIN judged j ON j.conv_id = r.conv_id AND j.call_id = r.call_id)
+SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY depth NULLS LAST, kind, turn NULLS FIRST, call_id NULLS FIRST, CASE WHEN conv_id IS NULL OR call_id IS NULL THEN md5(json) END NULLS FIRST) - 1 AS position
+FROM events"""
 
 
 def _listed(items: list[str]) -> str:
