@@ -103,13 +103,14 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
 
 def _placed(events: DataFrame) -> DataFrame:
     """events with position, their place in the order of their conversation."""
+    events = written(events.withColumn("_row", F.monotonically_increasing_id()), "events")  # texts lie still while keys are ordered
     nameless = F.col("conv_id").isNull() | F.col("call_id").isNull()
-    keyed = events.withColumns({
-        "_one": F.lit(1).cast("long"),
-        "_level": F.coalesce("depth", F.lit((1 << 63) - 1)),
-        "_tie": F.when(nameless, F.md5("json")),  # only rows without an identifier can tie
-    })
-    return sums_before(keyed, "position", "_one", ["conv_id"], ["_level", "kind", "turn", "call_id", "_tie"]).drop("_one", "_level", "_tie")
+    keys = events.select(
+        "_row", "conv_id", F.coalesce("depth", F.lit((1 << 63) - 1)).alias("level"), "kind", "turn", "call_id",
+        F.when(nameless, F.md5("json")).alias("tie"), F.lit(1).cast("long").alias("one"),  # only rows without an identifier can tie
+    )
+    places = sums_before(keys, "position", "one", ["conv_id"], ["level", "kind", "turn", "call_id", "tie"])
+    return events.join(places.select("_row", "position"), "_row").drop("_row")
 
 
 def calls_and_results(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
