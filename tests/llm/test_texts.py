@@ -201,3 +201,26 @@ def test_one_text_for_each_labelled_doc_id(spark):
     assert sorted((r["doc_id"], r["toxic"]) for r in rows) == [(0, 1), (2, 0)]
     assert sorted(map(tuple, rows)) == sorted(map(tuple, labelled_texts(docs.repartition(7), chosen).collect()))
     assert labelled_texts(docs.where("false"), chosen).collect() == []
+
+
+def test_sites_help_where_a_text_says_little(spark):
+    """Hosts and paths differ in quality, texts tell little of it: the score ranks better than evidence alone, at large sites
+    and over all, and hosts of one document keep close to the rate of all."""
+    rng, rows, marks = np.random.default_rng(7), [], []
+    for host in range(60):
+        rate = rng.beta(0.4, 0.4)
+        for path in range(2 if host < 30 else 1):
+            for _ in range(30 if host < 30 else 1):
+                good = int(rng.random() < rate)
+                text = " ".join("#" if x < (0.06 if good else 0.11) else f"w{int(x * 1000)}" for x in rng.random(40))
+                rows.append((len(rows), text, f"h{host}", f"p{path}"))
+                marks.append((len(marks), good))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, host string, path string")
+    got = {r["doc_id"]: r for r in classify_quality(docs, spark.createDataFrame(marks, "doc_id long, quality int")).collect()}
+    large = [i for i, _, host, _ in rows if int(host[1:]) < 30]
+    for ids in (large, list(got)):
+        y = [marks[i][1] for i in ids]
+        assert auc(y, [got[i]["score"] for i in ids]) > auc(y, [got[i]["evidence"] for i in ids])
+    every = np.mean([1 / (1 + math.exp(-got[i]["evidence"])) for i in got])
+    alone = [got[i]["host_rate"] for i in got if i not in set(large)]
+    assert len(alone) == 30 and all(abs(r - every) < 1e-9 for r in alone)
