@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -31,6 +32,24 @@ def test_vocabulary(documents, odd, name):
     assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [lib(t, 0)[:-1] for t in texts]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_steps_of_few_bytes_and_small_tables(monkeypatch, documents, odd, name):
+    """Steps cut between texts, tables cut back to a step's words, and ASCII marks behind words learned in one call."""
+    from tracequarry.llm import vocab
+
+    monkeypatch.setattr(vocab, "STEP_BYTES", 3000)
+    monkeypatch.setattr(vocab, "MAX_WORDS", 300)
+    own, lib = vocab.Vocabulary(P.path(name)), library(name)
+    texts = [r["text"] for r in odd.collect()] + [r["text"] for r in documents.limit(60).collect()]
+    texts += ["", None, "\n", "\nA", "a\n\nb", " a \n b ", *[f"Wörd{m} x{m}{m}\nWord{m}{m}" for m in map(chr, range(33, 127))], "İSTANBUL É", "ΣΑΣ À ΑΣ"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [lib(t, 0)[:-1] for t in texts]
+    calls = []
+    monkeypatch.setattr(own, "wholes", lambda ts: calls.append(ts) or [b""] * len(ts))
+    list(own.encode(["one freshly#### coined$$$ wordings*** here|"]))
+    assert {t for ts in calls for t in ts} <= {"one"}
+    assert list(own.encode(pa.array([], pa.string()))) == [] == list(own.encode([]))
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 63, 64, 129, 5000, 200_000])
 def test_coder_round_trip(n):
     rng = np.random.default_rng(n)

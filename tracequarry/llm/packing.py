@@ -42,7 +42,7 @@ def cut_pieces(docs: DataFrame, path: str, end_id: int, capacity: int, with_ids:
         words = vocabulary(path)
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, raw in zip(batch["doc_id"].to_pylist(), words.encode(batch["text"].to_pylist()), strict=True):
+            for doc_id, raw in zip(batch["doc_id"].to_pylist(), words.encode(batch["text"]), strict=True):
                 raw += end
                 for at in range(0, len(raw), width):
                     part = raw[at : at + width]

@@ -1,38 +1,34 @@
 """Token ids of whole texts by a vocabulary of the tokenizers library, each distinct word encoded once.
 
-Both kinds of vocabulary end a token at white space, so a text's ids are those of its words in a row. Words are looked
-up in a table that lives as long as the Python worker and is emptied when it holds MAX_WORDS; unseen words are encoded by
-the library, plain ones (Latin letters, then marks) many to a call. A text in which words cannot be told apart in this
-way (runs of white space, or unusual white space, where those make tokens) is encoded by the library as a whole.
+Both kinds of vocabulary end a token at white space, so a text's ids are those of its words in a row. Arrow splits the
+texts of a step and numbers their distinct words, and numpy strings the words' ids together by these numbers, so Python
+sees each distinct word of a step once. Words are looked up in a table that lives as long as the Python worker and is cut
+back to the words of the step when it holds MAX_WORDS; unseen words are encoded by the library, plain ones (Latin
+letters, then ASCII marks) many to a call. A text in which words cannot be told apart in this way (runs of white space, or
+unusual white space, where those make tokens) is encoded by the library as a whole.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 MAX_WORDS = 900_000
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
-#: Texts, and plain words, to a step.
-STEP, JOINED = 512, 4000
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Bytes of text to a step (a longer text is a step by itself), and plain words to a call.
+STEP_BYTES, JOINED = 8 << 20, 4000
 
 
 def _packed(ids: list[int]) -> bytes:
     return np.array(ids, dtype="<u4").tobytes()
 
 
-def _lowered(text: str) -> str:
-    """In lower case where that is one letter for one, as in Latin-1; fewer distinct words are then left to learn."""
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return text
-    return text.lower()
-
-
 class _Table:
     """Ids of words that follow `lead`; None where the word cannot be encoded by itself."""
 
@@ -40,17 +36,14 @@ class _Table:
         self.vocabulary, self.lead, self.starts, self.ends = vocabulary, lead, starts, ends
         self.known: dict[str, bytes | None] = {}
 
-    def of(self, words: set[str]) -> dict[str, bytes | None]:
-        """The ids of each of the words: a small table, which later lookups find in the processor's cache."""
+    def of(self, words: list[str]) -> list[bytes | None]:
+        """The ids of each of the words, which are distinct."""
         known = self.known
-        out = {w: known[w] for w in words if w in known}
-        new = [w for w in words if w not in out]
+        new = [w for w in words if w not in known]
         if len(known) + len(new) > MAX_WORDS:
-            known.clear()
+            self.known = known = {w: known[w] for w in words if w in known}
         self._learn(new)
-        for w in new:
-            out[w] = known[w]
-        return out
+        return list(map(self.known.__getitem__, words))
 
     def _learn(self, new: list[str]) -> None:
         plain, rest = {}, []
@@ -100,7 +93,7 @@ class Vocabulary:
             self.first = _Table(self, "", None, None)
 
     def ids(self, text: str) -> list[int]:
-        return self.library.encode(text, add_special_tokens=False).ids
+        return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def wholes(self, texts: list[str]) -> list[bytes]:
         return [_packed(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -116,34 +109,44 @@ class Vocabulary:
         """Whether the word's ids do not depend on the white space around it."""
         return self.drops_space or word.split() == [word] and word.isprintable()
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: list[str | None] | pa.Array) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; none for null."""
-        out: list[bytes] = []
-        step = self._dropping if self.drops_space else self._keeping
-        for i in range(0, len(texts), STEP):
-            out += step(["" if t is None else t for t in texts[i : i + STEP]])
-        return out
-
-    def _dropping(self, texts: list[str]) -> list[bytes]:
-        split = [(_lowered(t) if self.lowers else t).replace("\n", " ").split(" ") for t in texts]
-        get = self.spaced.of(set().union(*split)).__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
-
-    def _keeping(self, texts: list[str]) -> list[bytes]:
-        split = [[line.split(" ") for line in t.split("\n")] for t in texts]
-        first = self.first.of({t[0][0] for t in split})
-        on_line = self.on_line.of({line[0] for t in split for line in t[1:]})
-        spaced = self.spaced.of(set().union(*[line[1:] for t in split for line in t])).__getitem__
-        out = []
-        for text, (head, *lines) in zip(texts, split, strict=True):
-            try:
-                parts = [first[head[0]], *map(spaced, head[1:])]
-                for line in lines:
-                    parts.append(on_line[line[0]])
-                    parts.extend(map(spaced, line[1:]))
-                out.append(b"".join(parts))
-            except TypeError:  # a word that cannot be encoded by itself
-                out.append(self.wholes([text])[0])
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        step = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64) // STEP_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(texts)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield from self._step(texts[a:b])
+
+    def _step(self, texts: pa.Array) -> list[bytes]:
+        if not len(texts):
+            return []
+        written = pc.ascii_lower(texts) if self.lowers else texts  # fewer distinct words are then left to learn
+        # words that begin a line keep its end before them
+        split = pc.split_pattern(pc.replace_substring(written, "\n", " " if self.drops_space else " \n"), " ")
+        words, bounds = split.flatten().dictionary_encode(), split.offsets.to_numpy()
+        bounds, at, names = bounds - bounds[0], words.indices.to_numpy().astype(np.int64), words.dictionary.to_pylist()
+        if self.drops_space:
+            parts = self.spaced.of(names)
+        else:
+            on_line = [w.startswith("\n") for w in names]
+            inside = iter(self.spaced.of([w for w, x in zip(names, on_line, strict=True) if not x]))
+            begin = iter(self.on_line.of([w[1:] for w, x in zip(names, on_line, strict=True) if x]))
+            parts = [next(begin if x else inside) for x in on_line]
+            heads = pc.take(words.dictionary, pa.array(at[bounds[:-1]])).dictionary_encode()
+            at[bounds[:-1]] = heads.indices.to_numpy().astype(np.int64) + len(parts)
+            parts += self.first.of(heads.dictionary.to_pylist())
+        alone = np.array([p is None for p in parts])  # words that cannot be encoded by themselves
+        parts = [p or b"" for p in parts]
+        flat, sizes = np.frombuffer(b"".join(parts), "<u4"), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        n = sizes[at]
+        ends = np.cumsum(n)
+        place = np.repeat((np.cumsum(sizes) - sizes)[at] - ends + n, n)
+        place += np.arange(len(place))
+        raw, ends = flat[place].tobytes(), (4 * np.concatenate([[0], ends])[bounds]).tolist()
+        out = [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        whole = np.unique(np.searchsorted(bounds, np.flatnonzero(alone[at]), side="right") - 1).tolist()
+        for i, found in zip(whole, self.wholes([texts[i].as_py() for i in whole]), strict=True):
+            out[i] = found
         return out
 
 
