@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from sentencepiece import SentencePieceProcessor
@@ -89,5 +90,13 @@ def test_groups_of_one_text_and_emptied_tables(monkeypatch):
     assert all(a and b for a, b in groups) and len(groups) > 3 and alignment.token_groups("▁", A, B) == []
 
 
+def test_ids_after_a_space():
+    one = Tokenizer.from_file(A)
+    one.encode_special_tokens = True
+    texts = [t for _, t in EXTRA] + ["Words begin\nlines\n\nhere", "one", "\nline first", "naïve"]
+    got = alignment._AfterSpace(A).encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [one.encode(" " + t, add_special_tokens=False).ids for t in texts]
+
+
 def test_empty_table(spark, none):
     assert alignment.align_tokenizers(none, A, B).collect() == []

@@ -51,28 +51,14 @@ class _Counts(dict):
 class _AfterSpace(Vocabulary):
     """Ids of texts that follow a space, so that the first word is one like others."""
 
+    lead = " "
+
     def __init__(self, path: str):
         super().__init__(path)
         letters = _byte_of_letter()
         #: Whether tokens always spell the text: each byte is a token, and nothing is changed before.
         self.lossless = self.library.normalizer is None and all(self.library.token_to_id(c) is not None for c in letters)
 
-    def _keeping(self, texts: list[str]) -> list[bytes]:
-        split = [[line.split(" ") for line in t.split("\n")] for t in texts]
-        on_line = self.on_line.of({line[0] for t in split for line in t[1:]})
-        spaced = self.spaced.of(set().union(*[t[0] for t in split], *[line[1:] for t in split for line in t[1:]])).__getitem__
-        out = []
-        for text, (head, *lines) in zip(texts, split, strict=True):
-            try:
-                parts = list(map(spaced, head))
-                for line in lines:
-                    parts.append(on_line[line[0]])
-                    parts.extend(map(spaced, line[1:]))
-                out.append(b"".join(parts))
-            except TypeError:  # a word that cannot be encoded by itself
-                out.append(self.wholes([" " + text])[0])
-        return out
-
 
 class _Pieces:
     """Ids of a piece model. No piece goes on past a space, so that words are encoded once each, many to a call, and remembered."""
@@ -197,7 +183,7 @@ def token_groups(text: str, byte_level: str, pieces: str) -> list[tuple[list[int
     one = _aligner(byte_level, pieces)
     if not one([text])[0]:
         return []
-    a, b = np.frombuffer(one.a.encode([text])[0], "<u4"), one.b.encode([text])[0][0]
+    a, b = np.frombuffer(next(one.a.encode([text])), "<u4"), one.b.encode([text])[0][0]
     labels = np.zeros(len(text.encode()) + 1, dtype=np.uint8)
     labels[np.cumsum(one.length_a[a]) - 1] |= A_ENDS
     labels[np.cumsum(one.length_b[b]) - 1] |= B_ENDS

@@ -75,6 +75,9 @@ class _Table:
 
 
 class Vocabulary:
+    #: What every text follows: nothing, or a space, after which a first word is one like others.
+    lead = ""
+
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
@@ -132,9 +135,10 @@ class Vocabulary:
             inside = iter(self.spaced.of([w for w, x in zip(names, on_line, strict=True) if not x]))
             begin = iter(self.on_line.of([w[1:] for w, x in zip(names, on_line, strict=True) if x]))
             parts = [next(begin if x else inside) for x in on_line]
-            heads = pc.take(words.dictionary, pa.array(at[bounds[:-1]])).dictionary_encode()
-            at[bounds[:-1]] = heads.indices.to_numpy().astype(np.int64) + len(parts)
-            parts += self.first.of(heads.dictionary.to_pylist())
+            if not self.lead:
+                heads = pc.take(words.dictionary, pa.array(at[bounds[:-1]])).dictionary_encode()
+                at[bounds[:-1]] = heads.indices.to_numpy().astype(np.int64) + len(parts)
+                parts += self.first.of(heads.dictionary.to_pylist())
         alone = np.array([p is None for p in parts])  # words that cannot be encoded by themselves
         parts = [p or b"" for p in parts]
         flat, sizes = np.frombuffer(b"".join(parts), "<u4"), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
@@ -145,7 +149,7 @@ class Vocabulary:
         raw, ends = flat[place].tobytes(), (4 * np.concatenate([[0], ends])[bounds]).tolist()
         out = [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
         whole = np.unique(np.searchsorted(bounds, np.flatnonzero(alone[at]), side="right") - 1).tolist()
-        for i, found in zip(whole, self.wholes([texts[i].as_py() for i in whole]), strict=True):
+        for i, found in zip(whole, self.wholes([self.lead + texts[i].as_py() for i in whole]), strict=True):
             out[i] = found
         return out
 
