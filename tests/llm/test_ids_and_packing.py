@@ -24,6 +24,20 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_words_are_forgotten_when_idle(monkeypatch, name):
+    from tracequarry.llm import vocab
+
+    monkeypatch.setattr(vocab, "IDLE", 0.2)
+    own, texts = vocab.Vocabulary(P.path(name)), ["Some words,\nand more words", None, "others  here"]
+    first = list(own.encode(texts))
+    assert own.spaced.known
+    own.timer.join(20)
+    assert not own.spaced.known and not own.marks
+    assert list(own.encode(texts)) == first == list(vocabulary(P.path(name)).encode(texts))
+
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_vocabulary(documents, odd, name):
     own, lib = vocabulary(P.path(name)), library(name)

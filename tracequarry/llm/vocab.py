@@ -2,8 +2,9 @@
 
 Both kinds of vocabulary end a token at white space, so a text's ids are those of its words in a row. Arrow splits the
 texts of a step and numbers their distinct words, and numpy strings the words' ids together by these numbers, so Python
-sees each distinct word of a step once. Words are looked up in a table that lives as long as the Python worker and is cut
-back to the words of the step when it holds MAX_WORDS; unseen words are encoded by the library, plain ones (Latin
+sees each distinct word of a step once. Words are looked up in a table that lives on in the Python worker from task to
+task, is cut back to the words of the step when it holds MAX_WORDS, and is emptied when no text has come for IDLE seconds, so
+that idle workers do not hold it while other stages run; unseen words are encoded by the library, plain ones (Latin
 letters, then ASCII marks) many to a call. A text in which words cannot be told apart in this way (runs of white space, or
 unusual white space, where those make tokens) is encoded by the library as a whole.
 """
@@ -11,6 +12,7 @@ unusual white space, where those make tokens) is encoded by the library as a who
 from __future__ import annotations
 
 import re
+import threading
 from collections.abc import Iterator
 from functools import cache
 
@@ -23,6 +25,8 @@ MAX_WORDS = 900_000
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 #: Bytes of text to a step (a longer text is a step by itself), and plain words to a call.
 STEP_BYTES, JOINED = 8 << 20, 4000
+#: Seconds after the last text until the words are forgotten.
+IDLE = 10.0
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -84,6 +88,7 @@ class Vocabulary:
         size = self.library.get_vocab_size()
         names = [self.library.id_to_token(i) or "" for i in range(size)]
         self.marks: dict[str, bytes] = {}
+        self.lock, self.timer = threading.Lock(), None
         self.drops_space = sum(n.endswith("</w>") for n in names) > size // 10
         self.lowers = self.drops_space and self.ids("A B É") == self.ids("a b é")
         if self.drops_space:
@@ -114,11 +119,31 @@ class Vocabulary:
 
     def encode(self, texts: list[str | None] | pa.Array) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; none for null."""
+        if self.timer:
+            self.timer.cancel()
         texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         step = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64) // STEP_BYTES
         cuts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(texts)]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            yield from self._step(texts[a:b])
+            with self.lock:
+                found = self._step(texts[a:b])
+            yield from found
+        self._rest()
+
+    def _rest(self) -> None:
+        """Gives back the memory of the last steps now, and that of the words unless more texts come."""
+        pa.default_memory_pool().release_unused()
+        self.timer = threading.Timer(IDLE, self.forget)
+        self.timer.daemon = True
+        self.timer.start()
+
+    def forget(self) -> None:
+        """Empties the tables of words, which later steps fill again."""
+        with self.lock:
+            for table in (self.spaced, *(() if self.drops_space else (self.on_line, self.first))):
+                table.known = {}
+            self.marks = {}
+        pa.system_memory_pool().release_unused()  # what the C library holds of them
 
     def _step(self, texts: pa.Array) -> list[bytes]:
         if not len(texts):
