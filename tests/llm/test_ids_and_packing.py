@@ -73,6 +73,25 @@ def test_coder_round_trip(n):
     assert decode_ids(n, sizes, words, 50_000).tolist() == ids.tolist()
 
 
+@pytest.mark.parametrize("ids", [np.zeros(70_000), np.full(3000, 299), np.arange(90_000) % 300, np.arange(90_000) // 7 % 2, np.repeat(np.arange(300), 400)], ids=["zeros", "last", "cycle", "runs", "long runs"])
+def test_one_sided_and_changing_ids(ids):
+    """Slots that fill, tie, lose their ids and hold one id in both orders; digits that carry far."""
+    ids = ids.astype("<u4")
+    sizes, digits = encode_ids(ids, 300)
+    assert decode_ids(len(ids), sizes, digits, 300).tolist() == ids.tolist()
+
+
+def test_full_block_takes_few_steps():
+    """A step's calls of numpy are shared by thousands of ids, which is what keeps the coder's time down."""
+    from tracequarry.llm import id_codec
+
+    lanes, steps = id_codec._lanes(id_codec.BLOCK_IDS)
+    assert lanes * steps >= id_codec.BLOCK_IDS and lanes >= 8192
+    model = id_codec._Model(50_257)
+    model.predict(np.zeros(lanes, np.int64), np.zeros(lanes, np.int64))
+    assert all(a.dtype == np.int32 for a in (model.table2, model.base, model.total, *model.ends))
+
+
 def test_damage_is_found():
     data = write_block([1, None], [2, 1], np.array([5, 6, 7], "<u4"), 10)
     doc_ids, lengths, ids = read_block(data)

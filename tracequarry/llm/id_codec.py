@@ -5,13 +5,17 @@ every lane at once in numpy, under one model of the block, and then updates the
 model starts anew in each block, so blocks can be read in any order and a damaged one harms no other; a CRC-32 over the
 block's body is checked on reading.
 
-Model. Order 2 and order 1 keep SLOTS ids with counts for each context (the two ids before, hashed, or the one before);
-order 0 keeps the frequencies of all ids that the others missed, with a share for new ones. The three distributions are
-mixed by weights that are learned for each pair of confidences (how often the contexts were seen, and how one-sidedly):
-an order's weight is the mean share that it had in the probabilities of the ids that came. An id's probability is the sum
-over the orders of weight times probability, so each id takes one coding step; ids in slots come first in the coding
-interval, the others follow in id order with the slots' ids left out. All quantities are integers, so that every machine
-decodes alike.
+Model. Order 2 keeps one id with a count for each context (the two ids before, hashed), order 1 two ids (by the one
+before); order 0 keeps the frequencies of all ids that the others missed, with a share for new ones. The three
+distributions are mixed by weights that are learned for each pair of confidences (how often the contexts were seen, and how
+one-sidedly): an order's weight is the mean share that it had in the probabilities of the ids that came. An id's
+probability is the sum over the orders of weight times probability, so each id takes one coding step; ids in slots come
+first in the coding interval, all ids follow in id order by order 0. The parts that the slots' ids have there a second time
+are never used, and each lane's interval is as much longer. All quantities are integers, some kept in doubles that hold
+them exactly, so that every machine decodes alike.
+
+A step costs some hundred calls of numpy whatever the lanes, so blocks have many lanes, numbers are of 32 bits, and choices
+are made by masks of bits.
 
 Coder. Each lane keeps a range coder of 48 bits that puts out 16-bit digits; carries are added up in the digits and
 resolved when the lane ends.
@@ -33,7 +37,6 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,160 +47,185 @@ from pyspark.sql import functions as F
 from .common import delete_at_end, scratch_root
 from .vocab import vocabulary
 
-MAGIC, VERSION = b"TQID", 2
+MAGIC, VERSION = b"TQID", 3
 HEAD = struct.Struct("<4sBIIIIIIII")
-BLOCK_IDS, LANES, LANE_LEAST = 1 << 20, 2048, 512
+BLOCK_IDS, LANES, LANE_LEAST = 1 << 22, 8192, 512
 #: Bytes of text to a shard, about.
 SHARD_BYTES = 64 << 20
-#: Bits of a lane's range at least, of a digit, of the mixed total, and of order 0's total; weights sum to 2 ** 8.
-LOW_BITS, DIGIT, TOTAL_BITS, BASE_BITS = 32, 16, 30, 22
-LEAST, DIGIT_MASK, LOW_MASK = 1 << LOW_BITS, (1 << DIGIT) - 1, (1 << LOW_BITS) - 1
-#: Slots of a context of order 2 and order 1; rows of the order-2 table; greatest count.
-SLOTS2, SLOTS1, ROWS2, MOST = 2, 3, 1 << 18, 60
-COUNT_BITS = 8
-RECIPROCALS = np.array([0, *((1 << 16) // n for n in range(1, MOST * 4))], np.int64)
+#: A lane's least range, the place of its digit to put out, and the digits' base.
+LEAST, HIGH, DIGIT_BITS, DIGIT = float(1 << 32), 2.0**-32, 16, float(1 << 16)
+#: Bits of order 0's total and of a share; weights sum to 2 ** 8.
+BASE_BITS, SHARE_BITS = 22, 14
+#: Rows of the order-2 table; greatest count. A slot is a count above an id of ID_BITS.
+ROWS2, MOST, ID_BITS = 1 << 18, 15, 24
+ID_MASK, ONE, TWO, FULL = (np.int32(n) for n in ((1 << ID_BITS) - 1, 1 << ID_BITS, 2 << ID_BITS, MOST << ID_BITS))
+#: Part of order 0's total for which the first id is kept, in bits.
+NEAR_BITS = 7
+CLASSES2, CLASSES1 = 6, 9
+CLASSES = CLASSES2 * CLASSES1
 
 
-def _confidences() -> np.ndarray:
-    """Class of a context by the sum of its counts and the greatest one: 0 unseen, then seen more often, one-sided or not."""
-    total, top = np.arange(256)[:, None], np.arange(64)[None, :]
-    often = (total > 1).astype(int) + (total > 3) + (total > 15)
-    return np.where(total == 0, 0, 1 + 2 * often + (4 * top >= 3 * total)).astype(np.int64).reshape(-1)
+def _states() -> tuple[np.ndarray, np.ndarray]:
+    """By the counts of order 2's slot and of order 1's two: the pair of confidences (0 unseen, then seen more often, in order
+    1 one-sided or not), and order 1's shares."""
+    n2, a, b = np.indices((MOST + 1,) * 3).reshape(3, -1).astype(np.int64)
+    total = a + b
+    often = (total > 1).astype(np.int64) + (total > 3) + (total > 12)
+    order2 = sum((n2 > k).astype(np.int64) for k in (0, 1, 3, 7, 14))
+    order1 = np.where(total == 0, 0, 1 + 2 * often + (4 * np.maximum(a, b) >= 3 * total))
+    return order2 * CLASSES1 + order1, np.stack([a, b]) * (1 << SHARE_BITS) // np.maximum(total, 1)
 
 
-CONFIDENCES = _confidences()
-CLASSES = 9
+PAIRS, SHARES = _states()
 
 
-def _sum(rows: np.ndarray) -> np.ndarray:
-    """Of a few long rows; quicker than numpy's sum over the first axis."""
-    return reduce(np.add, rows)
+def _equal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """All bits where equal, else none; of numbers from 0."""
+    out = x ^ y
+    out -= 1
+    out >>= 31
+    return out
 
 
-class _Order:
-    """Slots of ids and their counts by context, one array for each slot; an empty slot has id -1 and count 0."""
+def _less(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    out = x - y
+    out >>= 31
+    return out
 
-    def __init__(self, rows: int, slots: int):
-        self.table = np.full((slots, rows), -1 << COUNT_BITS, np.int64)
 
-    def look(self, at: np.ndarray) -> None:
-        self.at = at
-        packed = np.stack([slot[at] for slot in self.table])
-        self.ids, self.counts = packed >> COUNT_BITS, packed & ((1 << COUNT_BITS) - 1)
-        total = _sum(self.counts)
-        self.confidence = CONFIDENCES[total * 64 + reduce(np.maximum, self.counts)]
-        self.shares = self.counts * RECIPROCALS[total]  # of 2 ** 16
+def _pick(mask: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """x where the mask has all bits, y where it has none; quicker than numpy's where."""
+    out = x ^ y
+    out &= mask
+    out ^= y
+    return out
 
-    def learn(self, x: np.ndarray, hit: np.ndarray) -> None:
-        counts, ids = np.minimum(self.counts + hit, MOST), self.ids
-        missed = np.flatnonzero(~reduce(np.logical_or, hit))
-        if len(missed):
-            left, least = counts[0][missed], np.zeros(len(missed), np.int64)
-            for k in range(1, len(counts)):
-                other = counts[k][missed]
-                less = other < left
-                left, least = np.where(less, other, left), np.where(less, k, least)
-            new = left <= 1
-            counts[least, missed] = np.where(new, 1, left - 1)
-            ids[least[new], missed[new]] = x[missed[new]]
-        for slot, packed in zip(self.table, ids << COUNT_BITS | counts, strict=True):
-            slot[self.at] = packed
+
+def _missed(slot: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """A slot whose id did not come: one less, or the new id's."""
+    return _pick(_less(slot, TWO), new, slot - ONE)
 
 
 class _Model:
-    """The mixed distribution of each lane's next id; encoder and decoder apply the same updates."""
+    """The mixed distribution of each lane's next id; encoder and decoder apply the same updates. An empty slot has the
+    vocabulary's size as its id, and count 0."""
 
     def __init__(self, vocabulary_size: int):
         self.size = vocabulary_size
-        self.order2, self.order1 = _Order(ROWS2, SLOTS2), _Order(vocabulary_size, SLOTS1)
+        self.table2 = np.full(ROWS2, vocabulary_size, np.int32)
+        self.table1 = np.full((vocabulary_size, 2), vocabulary_size, np.int32).view(np.int64).reshape(-1)  # both slots at once
         self.counts = np.zeros(vocabulary_size, np.int64)
         self.waiting: list[np.ndarray] = []
         self.steps, self.due = 0, 1
         # shares that order 2 and order 1 had, and what they are shares of, by pair of confidences
-        self.had = np.tile(np.array([[90], [60]], np.int64), (1, CLASSES * CLASSES)) * 16
-        self.seen = np.full(CLASSES * CLASSES, 256 * 16, np.int64)
-        known2, known1 = np.divmod(np.arange(CLASSES * CLASSES), CLASSES)
+        self.had = np.tile(np.array([[90], [60]], np.int64), (1, CLASSES)) * 16
+        self.seen = np.full(CLASSES, 256 * 16, np.int64)
+        known2, known1 = np.divmod(np.arange(CLASSES), CLASSES1)
         self.known = np.stack([known2 > 0, known1 > 0])
         self._weigh()
         self._cumulate()
 
     def _weigh(self) -> None:
-        w = np.where(self.known, np.maximum(1, self.had * 250 // self.seen), 0)
-        self.weights = np.vstack([w, 256 - w.sum(axis=0)])
+        w2, w1 = np.where(self.known, np.maximum(1, self.had * 250 // self.seen), 0)
+        w0 = 256 - w2 - w1
+        slots1 = w1[PAIRS] * SHARES << BASE_BITS - SHARE_BITS
+        self.mixed = np.stack([w2[PAIRS] << BASE_BITS, *slots1, w0[PAIRS]]).astype(np.int32)
 
     def _cumulate(self) -> None:
         total = int(self.counts.sum())
         kinds = int(np.count_nonzero(self.counts))
         floor = max(1, ((1 << BASE_BITS) // self.size) * (kinds + 8) // (total + kinds + 8))
         room = (1 << BASE_BITS) - floor * self.size
-        self.base = self.counts * room // max(1, total) + floor
-        self.cumulative = np.concatenate([[0], np.cumsum(self.base)])
+        self.base = np.append(self.counts * room // max(1, total) + floor, 0).astype(np.int32)  # none for empty slots
+        self.cumulative = np.concatenate([[0], np.cumsum(self.base[:-1])]).astype(np.int32)
+        self.near: np.ndarray | None = None
 
     def predict(self, before1: np.ndarray, before2: np.ndarray) -> None:
-        self.order1.look(before1)
-        self.order2.look((before1 * 40_503 + before2 * 2_654_435_761 >> 5) & (ROWS2 - 1))
-        self.pair = self.order2.confidence * CLASSES + self.order1.confidence
-        w2, w1, self.w0 = self.weights[:, self.pair]
-        self.p2 = self.order2.shares * w2 << (BASE_BITS - 16)
-        self.p1 = self.order1.shares * w1 << (BASE_BITS - 16)
-        # an id in slots of both orders counts in order 2's; slots without a count are empty
-        self.slot_ids, both = np.concatenate([self.order2.ids, self.order1.ids]), np.concatenate([self.p2, self.p1])
-        live = self.slot_ids >= 0
-        for j in range(SLOTS2, SLOTS2 + SLOTS1):
-            for i in range(SLOTS2):
-                same = (self.slot_ids[j] == self.slot_ids[i]) & live[j]
-                both[i] += same * both[j]
-                live[j] &= ~same
-        self.freed = self.base[self.slot_ids] * live  # order 0's part of the slots' ids
-        self.widths = (both + self.freed * self.w0) * live
-        self.live = live
-        self.ends = np.empty_like(self.widths)
-        end = 0
-        for k, width in enumerate(self.widths):
-            self.ends[k] = end = end + width
-
-    def interval(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Begin and width of each lane's id of 2 ** TOTAL_BITS, and which lanes have it in no slot."""
-        hit = (self.slot_ids == x) & self.live
-        width = _sum(hit * self.widths)
-        begin = _sum(hit * (self.ends - self.widths))
-        rest = np.flatnonzero(width == 0)
-        y = x[rest]
-        less = _sum((self.slot_ids[:, rest] < y) * self.freed[:, rest])
-        begin[rest] = self.ends[-1, rest] + (self.cumulative[y] - less) * self.w0[rest]
-        width[rest] = self.base[y] * self.w0[rest]
-        return begin, width, rest
-
-    def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The ids at the values, with their begin, width, and the lanes that have theirs in no slot."""
-        lanes = np.arange(len(value))
-        slot = _sum((value >= self.ends).astype(np.int64))
-        rest = np.flatnonzero(slot == len(self.ends))
-        slot[rest] = 0
-        x, width = self.slot_ids[slot, lanes], self.widths[slot, lanes]
-        begin = self.ends[slot, lanes] - width
-        if len(rest):
-            inside = (value[rest] - self.ends[-1, rest]) // self.w0[rest]
-            ids, freed = self.slot_ids[:, rest], self.freed[:, rest]
-            order = np.argsort(np.where(freed > 0, ids, self.size), axis=0, kind="stable")
-            less = np.zeros(len(rest), np.int64)
-            every = np.arange(len(rest))
-            for k in order:  # slots' ids in ascending order are left out
-                less += np.where(inside + less >= self.cumulative[ids[k, every]], freed[k, every], 0)
-            y = np.minimum(np.searchsorted(self.cumulative, inside + less, side="right") - 1, self.size - 1)
-            x[rest], width[rest] = y, self.base[y] * self.w0[rest]
-            begin[rest] = self.ends[-1, rest] + (self.cumulative[y] - less) * self.w0[rest]
-        return x, begin, width, rest
-
-    def update(self, x: np.ndarray, width: np.ndarray, rest: np.ndarray) -> None:
-        n, scale = CLASSES * CLASSES, 256.0 / width
-        for had, order, p in zip(self.had, (self.order2, self.order1), (self.p2, self.p1), strict=True):
-            hit = order.ids == x
-            had += np.bincount(self.pair, np.floor(_sum(hit * p) * scale), n).astype(np.int64)
-            order.learn(x, hit)
-        self.seen += np.bincount(self.pair, minlength=n) * 256
-        self.waiting.append(x[rest])
+        self.at1, self.at2 = before1, (before1 * 40_503 + before2 * 2_654_435_761 >> 5) & (ROWS2 - 1)
+        slots1 = self.table1.take(before1).view(np.int32).reshape(-1, 2)
+        self.slots = slot2, slot_a, slot_b = self.table2.take(self.at2), slots1[:, 0].copy(), slots1[:, 1].copy()
+        self.ids = id2, id_a, id_b = [slot & ID_MASK for slot in self.slots]
+        self.state = ((slot2 >> ID_BITS) << 8 | (slot_a >> ID_BITS) << 4 | slot_b >> ID_BITS).astype(np.int64)
+        p2, pa, pb, self.w0 = [p.take(self.state) for p in self.mixed]
+        # ends of the slots' intervals; an id in slots of both orders has one interval, order 2's
+        same_a, same_b = _equal(id2, id_a), _equal(id2, id_b)
+        end2, end_a, end_b = [self.base.take(x) * self.w0 for x in self.ids]
+        end2 += p2
+        end2 += pa & same_a
+        end2 += pb & same_b
+        end_a += pa
+        end_a &= ~same_a
+        end_a += end2
+        end_b += pb
+        end_b &= ~same_b
+        end_b += end_a
+        self.ends = end2, end_a, end_b
+        self.total = end_b + (self.w0 << BASE_BITS)  # below 2 ** 31
+
+    def interval(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and width of each lane's id, of the lane's total."""
+        end2, end_a, end_b = self.ends
+        self.hits = hit2, hit_a, hit_b = [_equal(x, own) for own in self.ids]
+        begin, end = _pick(hit_a, end2, end_a), _pick(hit2, end2, _pick(hit_a, end_a, end_b))
+        begin &= ~hit2
+        self._in_no_slot(np.flatnonzero((hit2 | hit_a | hit_b) == 0), x, begin, end)
+        return begin, end - begin
+
+    def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids at the values, with their begin and width."""
+        end2, end_a, end_b = self.ends
+        in2, in_a = _less(value, end2), _less(value, end_a)
+        x = _pick(in2, self.ids[0], _pick(in_a, self.ids[1], self.ids[2]))
+        begin, end = _pick(in_a, end2, end_a), _pick(in2, end2, _pick(in_a, end_a, end_b))
+        begin &= ~in2
+        rest = np.flatnonzero(value >= end_b)
+        x[rest] = self._at_base((value[rest] - end_b[rest]) // self.w0[rest])
+        self._in_no_slot(rest, x, begin, end)
+        self.hits = [_equal(x, own) for own in self.ids]
+        return x, begin, end - begin
+
+    def _in_no_slot(self, rest: np.ndarray, x: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        """Sets begin and end of the lanes that have their ids in no slot."""
+        y, w0 = x[rest], self.w0[rest]
+        self.missed = y
+        begin[rest] = at = self.ends[-1][rest] + self.cumulative[y] * w0
+        end[rest] = at + self.base[y] * w0
+
+    def _at_base(self, inside: np.ndarray) -> np.ndarray:
+        """The ids at places of order 0's total: halving, from the first ids of the parts around."""
+        if self.near is None:
+            parts = np.arange((1 << BASE_BITS - NEAR_BITS) + 1, dtype=np.int32) << NEAR_BITS
+            self.near = np.minimum(np.searchsorted(self.cumulative, parts, side="right") - 1, self.size - 1).astype(np.int32)
+        part = (inside >> NEAR_BITS).astype(np.int64)
+        found, last = self.near.take(part), self.near.take(part + 1)
+        open_ = np.flatnonzero(found < last)
+        value, low, high = inside[open_], found[open_], last[open_]
+        while len(open_):
+            middle = low + high + 1 >> 1
+            up = self.cumulative.take(middle) <= value
+            low, high = np.where(up, middle, low), np.where(up, high, middle - 1)
+            found[open_] = low
+            more = np.flatnonzero(low < high)
+            open_, value, low, high = open_[more], value[more], low[more], high[more]
+        return found
+
+    def update(self, x: np.ndarray, width: np.ndarray) -> None:
+        (slot2, slot_a, slot_b), (hit2, hit_a, hit_b) = self.slots, self.hits
         self.steps += 1
+        if self.steps < 32 or self.steps % 4 == 0:
+            p2, pa, pb, _ = self.mixed
+            pair, scale = PAIRS.take(self.state), 256.0 / width
+            for had, p in zip(self.had, (hit2 & p2.take(self.state), hit_a & pa.take(self.state) | hit_b & pb.take(self.state)), strict=True):
+                had += np.bincount(pair, np.floor(p * scale), CLASSES).astype(np.int64)
+            self.seen += np.bincount(pair, minlength=CLASSES) * 256
+        new, full = x | ONE, x | FULL
+        self.table2[self.at2] = _pick(hit2, np.minimum(slot2 + ONE, full), _missed(slot2, new))
+        slot_a, slot_b = _pick(hit_a, np.minimum(slot_a + ONE, full), slot_a), _pick(hit_b, np.minimum(slot_b + ONE, full), _pick(hit_a, slot_b, _missed(slot_b, new)))
+        slots1 = np.empty((len(x), 2), np.int32)  # the greater count first
+        np.maximum(slot_a, slot_b, out=slots1[:, 0])
+        np.minimum(slot_a, slot_b, out=slots1[:, 1])
+        self.table1[self.at1] = slots1.view(np.int64).reshape(-1)
+        self.waiting.append(self.missed)
         if self.steps < 32 or self.steps % 8 == 0:
             self._weigh()
         if self.steps == self.due:
@@ -215,62 +243,74 @@ def _lanes(n: int) -> tuple[int, int]:
 def encode_ids(ids: np.ndarray, vocabulary_size: int) -> tuple[np.ndarray, np.ndarray]:
     """Digits per lane, and the digits of all lanes in a row."""
     lanes, steps = _lanes(len(ids))
-    grid = np.zeros(lanes * steps, np.int64)
+    grid = np.zeros(lanes * steps, np.int32)
     grid[: len(ids)] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     model = _Model(vocabulary_size)
-    low, size = np.zeros(lanes, np.int64), np.full(lanes, 1 << LOW_BITS + DIGIT, np.int64)
-    digits, at = np.zeros((2 * steps + 3, lanes), np.int64), np.zeros(lanes, np.int64)
+    low, size = np.zeros(lanes), np.full(lanes, DIGIT / HIGH)
+    digits, at = np.zeros((2 * steps + 4) * lanes, np.int32), np.arange(lanes)  # a row for each digit; what is not due is overwritten
     one = two = np.zeros(lanes, np.int64)
     for x in grid:
         model.predict(one, two)
-        begin, width, rest = model.interval(x)
-        step = size >> TOTAL_BITS
+        begin, width = model.interval(x)
+        step = np.floor(size / model.total)  # exact: quotients below 2 ** 18 and 2 ** -31 apart from the next integer
         low += step * begin
         size = step * width
+        due = size < LEAST
+        digits[at] = high = np.floor(low * HIGH)
+        at += due * lanes
+        factor = due * (DIGIT - 1) + 1
+        low = (low - due * high * LEAST) * factor
+        size *= factor
         while len(own := np.flatnonzero(size < LEAST)):
-            digits[at[own], own] = low[own] >> LOW_BITS
-            at[own] += 1
-            low[own] = (low[own] & LOW_MASK) << DIGIT
-            size[own] <<= DIGIT
-        model.update(x, width, rest)
-        one, two = x, one
-    every = np.arange(lanes)
-    for k in range(3):
-        digits[at, every] = low >> LOW_BITS
-        at += 1
-        low = (low & LOW_MASK) << DIGIT
-    for k in range(len(digits) - 1, 0, -1):
-        digits[k - 1] += digits[k] >> DIGIT
+            digits[at[own]] = high = np.floor(low[own] * HIGH)
+            at[own] += lanes
+            low[own] = (low[own] - high * LEAST) * DIGIT
+            size[own] *= DIGIT
+        model.update(x, width)
+        one, two = x.astype(np.int64), one
+    low = np.ceil(low / DIGIT)  # whatever digit follows the last two stays inside
+    digits[at] = np.floor(low / DIGIT)
+    digits[at + lanes] = low % DIGIT
+    at = at // lanes + 2
+    digits = digits.reshape(-1, lanes)[: at.max()]
     kept = np.arange(len(digits))[:, None] < at
-    return at.astype("<u4"), (digits & DIGIT_MASK).T[kept.T].astype("<u2")
+    digits *= kept
+    for k in range(len(digits) - 1, 0, -1):
+        digits[k - 1] += digits[k] >> DIGIT_BITS
+    return at.astype("<u4"), digits.astype("<u2").T[kept.T]
 
 
 def decode_ids(n: int, sizes: np.ndarray, digits: np.ndarray, vocabulary_size: int) -> np.ndarray:
     """The n ids that encode_ids was given."""
     lanes, steps = _lanes(n)
-    digits = np.append(digits, np.zeros(4, "<u2")).astype(np.int64)
+    digits = np.append(digits, np.zeros(4, "<u2")).astype(np.float64)
     at = np.concatenate([[0], np.cumsum(sizes[:-1], dtype=np.int64)]).astype(np.int64)
-    code, size = np.zeros(lanes, np.int64), np.full(lanes, 1 << LOW_BITS + DIGIT, np.int64)
+    code, size = np.zeros(lanes), np.full(lanes, DIGIT / HIGH)
     for _ in range(3):
-        code = code << DIGIT | digits[at]
+        code = code * DIGIT + digits[at]
         at += 1
-    model, grid = _Model(vocabulary_size), np.zeros((steps, lanes), np.int64)
+    model, grid = _Model(vocabulary_size), np.zeros((steps, lanes), np.int32)
     one = two = np.zeros(lanes, np.int64)
     for t in range(steps):
         model.predict(one, two)
-        step = size >> TOTAL_BITS
-        value = (code.astype(np.float64) / step).astype(np.int64)  # exact: below 2 ** 48, quotients 2 ** -18 apart from the next integer
-        x, begin, width, rest = model.find(value)
+        step = np.floor(size / model.total)
+        value = np.floor(code / step).astype(np.int32)  # exact: below 2 ** 31, quotients 2 ** -18 apart from the next integer
+        x, begin, width = model.find(value)
         code -= step * begin
         size = step * width
+        due = size < LEAST
+        factor = due * (DIGIT - 1) + 1
+        code = code * factor + due * digits.take(at)
+        at += due
+        size *= factor
         while len(own := np.flatnonzero(size < LEAST)):
-            code[own] = code[own] << DIGIT | digits[at[own]]
+            code[own] = code[own] * DIGIT + digits[at[own]]
             at[own] += 1
-            size[own] <<= DIGIT
-        model.update(x, width, rest)
+            size[own] *= DIGIT
+        model.update(x, width)
         grid[t] = x
-        one, two = x, one
+        one, two = x.astype(np.int64), one
     return np.ascontiguousarray(grid.T).reshape(-1)[:n].astype("<u4")
 
 
