@@ -64,6 +64,25 @@ def test_steps_of_few_bytes_and_small_tables(monkeypatch, documents, odd, name):
     assert list(own.encode(pa.array([], pa.string()))) == [] == list(own.encode([]))
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_are_kept_in_arrays(monkeypatch, name):
+    """Under 100 bytes a word; words with marks share their letters' entry; letters that a call does not tell apart go one by one."""
+    from tracequarry.llm import vocab
+
+    own, lib = vocab.Vocabulary(P.path(name)), library(name)
+    rng = np.random.default_rng(5)
+    letters = ["".join(map(chr, rng.integers(97, 123, rng.integers(2, 12)))) for _ in range(5000)]
+    texts = [" ".join(["one", *(w + m for w in letters[i : i + 100] for m in ("", ",", "$$$"))]) for i in range(0, 5000, 100)]
+    want = [lib(t, 0)[:-1] for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == want
+    table = own.spaced
+    assert len(set(letters)) <= len(table.known) <= len(set(letters)) + 1
+    assert table.known.nbytes + table.ids.flat.nbytes + table.ids.sizes.nbytes + table.ids.alone.nbytes < 100 * len(table.known)
+    monkeypatch.setattr(vocab._Table, "_plain", lambda self, cores: None)
+    table.forget()
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == want
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 63, 64, 129, 5000, 200_000])
 def test_coder_round_trip(n):
     rng = np.random.default_rng(n)
